@@ -12,8 +12,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from touchline.oracle import sql as osql
+from touchline.oracle import summary_sql as ssql
 from touchline.plans import features as fe
+from touchline.plans import summaries as su
 from touchline.sources import adapter
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -28,6 +32,19 @@ def _fixtures(history: DataFrame) -> DataFrame:
     return history.select("home_team", "away_team").distinct()
 
 
+def _typed_fixtures(history: DataFrame) -> DataFrame:
+    """Stand-in typed input: seen pairings typed in lower case with a leading
+    space, plus same-team, misspelt and blank entries."""
+    p = history.select("home_team", "away_team").distinct()
+    return (p.select(F.concat(F.lit(" "), F.lower("home_team")).alias("home_input"),
+                     F.col("away_team").alias("away_input"))
+            .unionByName(p.select(F.col("home_team").alias("home_input"),
+                                  F.upper("home_team").alias("away_input")))
+            .unionByName(p.select(F.col("home_team").alias("home_input"),
+                                  F.concat("away_team", F.lit("x")).alias("away_input")))
+            .unionByName(p.select(F.lit("").alias("home_input"), F.col("away_team").alias("away_input"))))
+
+
 def q_matches_clean(spark, sf_dir):
     from touchline.schema import MATCH_COLUMNS
     return _matches(spark, sf_dir).select(*MATCH_COLUMNS).orderBy("match_date", "match_id")
@@ -64,6 +81,41 @@ def q_fixture_features(spark, sf_dir):
     return fe.fixture_features(m, _fixtures(m))
 
 
+def q_teams(spark, sf_dir):
+    return su.teams(_matches(spark, sf_dir))
+
+
+def q_team_exists(spark, sf_dir):
+    m = _matches(spark, sf_dir)
+    return su.validate_fixtures(m, _typed_fixtures(m))
+
+
+def q_pair_matches(spark, sf_dir):
+    m = _matches(spark, sf_dir)
+    return su.pair_matches(m, _fixtures(m))
+
+
+def q_pair_summary(spark, sf_dir):
+    m = _matches(spark, sf_dir)
+    return su.pair_summary(m, _fixtures(m))
+
+
+def q_home_record(spark, sf_dir):
+    return su.home_record(_matches(spark, sf_dir))
+
+
+def q_last5_both(spark, sf_dir):
+    return su.last_matches(_matches(spark, sf_dir))
+
+
+def q_outcome_share(spark, sf_dir):
+    return su.outcome_share(_matches(spark, sf_dir))
+
+
+def q_class_distribution(spark, sf_dir):
+    return su.class_distribution(q_training_features(spark, sf_dir))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: the 159-column training feature table at sf0.001."""
     return q_training_features(spark, SMOKE_DIR)
@@ -79,6 +131,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "interactions": q_interactions,
         "training_features": q_training_features,
         "fixture_features": q_fixture_features,
+        "teams": q_teams,
+        "team_exists": q_team_exists,
+        "pair_matches": q_pair_matches,
+        "pair_summary": q_pair_summary,
+        "home_record": q_home_record,
+        "last5_both": q_last5_both,
+        "outcome_share": q_outcome_share,
+        "class_distribution": q_class_distribution,
     }
 
 
@@ -94,4 +154,12 @@ def oracle_sql() -> dict[str, str]:
         "interactions": osql.interactions_sql(),
         "training_features": osql.training_sql(),
         "fixture_features": osql.fixture_sql(),
+        "teams": ssql.teams(),
+        "team_exists": ssql.team_exists(),
+        "pair_matches": ssql.pair_matches(),
+        "pair_summary": ssql.pair_summary(),
+        "home_record": ssql.home_record(),
+        "last5_both": ssql.last5_both(),
+        "outcome_share": ssql.outcome_share(),
+        "class_distribution": ssql.class_distribution(),
     }
