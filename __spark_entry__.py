@@ -116,6 +116,83 @@ def q_class_distribution(spark, sf_dir):
     return su.class_distribution(q_training_features(spark, sf_dir))
 
 
+_STAT_HEADERS = [("FTHG", "fthg"), ("FTAG", "ftag"), ("HTHG", "hthg"), ("HTAG", "htag"), ("HS", "hs"),
+                 ("AS", "as_"), ("HST", "hst"), ("AST", "ast"), ("HC", "hc"), ("AC", "ac"), ("HF", "hf"),
+                 ("AF", "af"), ("HY", "hy"), ("AY", "ay"), ("HR", "hr"), ("AR", "ar")]
+_ODDS_HEADERS = [("B365H", "b365h"), ("B365D", "b365d"), ("B365A", "b365a")]
+
+
+def _land_raw_seasons(spark, sf_dir) -> str:
+    """Stand-in input: the test tables written out as ragged season CSV files.
+    Seasons up to 1995 use a short header with two-digit years; later seasons
+    add Div/Time and woodwork/offside columns in another order, with
+    four-digit unpadded dates.  Rows without a result are written too."""
+    from touchline.functions.columns import season_year
+    from touchline.session import scratch_path
+    from touchline.sources.seasons import write_season_csv
+    raw = adapter.raw_matches(spark, sf_dir).withColumn("season_year", season_year("match_date"))
+    root = scratch_path(spark, "raw-seasons")
+    s = lambda c: F.col(c).cast("string")
+    old = ([("Date", F.date_format("match_date", "dd/MM/yy")), ("HomeTeam", s("home_team")),
+            ("AwayTeam", s("away_team"))] + [(h, s(c)) for h, c in _STAT_HEADERS[:2]]
+           + [("FTR", s("ftr"))] + [(h, s(c)) for h, c in _STAT_HEADERS[2:4]] + [("HTR", s("htr"))]
+           + [(h, s(c)) for h, c in _STAT_HEADERS[4:]] + [(h, s(c)) for h, c in _ODDS_HEADERS])
+    new = ([("Div", F.lit("E0")), ("Date", F.date_format("match_date", "d/M/yyyy")), ("Time", F.lit("15:00")),
+            ("HomeTeam", s("home_team")), ("AwayTeam", s("away_team")), ("FTR", s("ftr")), ("HTR", s("htr"))]
+           + [(h, s(c)) for h, c in _STAT_HEADERS]
+           + [("HHW", s("hhw")), ("AHW", s("ahw")), ("HO", s("ho")), ("AO", s("ao"))]
+           + [(h, s(c)) for h, c in reversed(_ODDS_HEADERS)])
+    write_season_csv(raw.where(F.col("season_year") <= 1995), f"{root}/short", old)
+    write_season_csv(raw.where(F.col("season_year") > 1995), f"{root}/long", new)
+    return root
+
+
+_COMPARABLE = ["match_date", "season_year", "home_team", "away_team", "ftr", "htr", "fthg", "ftag", "hthg",
+               "htag", "hs", "as_", "hst", "ast", "hhw", "ahw", "hc", "ac", "hf", "af", "ho", "ao", "hy",
+               "ay", "hr", "ar", "b365h", "b365d", "b365a"]
+
+
+def q_dates_parse(spark, sf_dir):
+    """SRC-6/7: dates written in the four day-first text forms, parsed back."""
+    from touchline.functions.columns import parse_match_date
+    m = _matches(spark, sf_dir)
+    k = F.col("match_id") % 4
+    text = (F.when(k == 0, F.date_format("match_date", "dd/MM/yy"))
+            .when(k == 1, F.date_format("match_date", "d/M/yy"))
+            .when(k == 2, F.date_format("match_date", "dd/MM/yyyy"))
+            .otherwise(F.date_format("match_date", "d/M/yyyy")))
+    t = m.select("match_id", text.alias("date_text"))
+    return t.select("match_id", "date_text", parse_match_date("date_text").alias("parsed_date"))
+
+
+def q_seasons_union(spark, sf_dir):
+    """SRC-1..5: ragged season CSVs read per header and unioned by name."""
+    from touchline.sources.seasons import load_seasons
+    return load_seasons(spark, _land_raw_seasons(spark, sf_dir)).select(*_COMPARABLE)
+
+
+def q_season_refresh(spark, sf_dir):
+    """SNK-1: land all seasons, then replace the latest season from a newly
+    landed file; the other season partitions must stay as they were."""
+    from touchline.session import scratch_path
+    from touchline.sources.seasons import land_seasons, refresh_season, write_season_csv
+    root = _land_raw_seasons(spark, sf_dir)
+    table = scratch_path(spark, "season-table")
+    full = land_seasons(spark, root, table)
+    latest = full.agg(F.max("season_year")).first()[0]
+    landed = scratch_path(spark, "landed")
+    cur = adapter.matches(spark, sf_dir).where(F.col("season_year") == latest)
+    s = lambda c: F.col(c).cast("string")
+    cols = ([("Date", F.date_format("match_date", "dd/MM/yyyy")), ("HomeTeam", s("home_team")),
+             ("AwayTeam", s("away_team")), ("FTR", s("ftr")), ("HTR", s("htr"))]
+            + [(h, s(c)) for h, c in _STAT_HEADERS + _ODDS_HEADERS]
+            + [("HHW", s("hhw")), ("AHW", s("ahw")), ("HO", s("ho")), ("AO", s("ao"))])
+    write_season_csv(cur, landed, cols, encoding="UTF-8", by_season=False)
+    t = refresh_season(spark, landed, table)
+    return t.groupBy("season_year").agg(F.count(F.lit(1)).alias("n"), F.min("match_date").alias("first_date"),
+                                        F.max("match_date").alias("last_date"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: the 159-column training feature table at sf0.001."""
     return q_training_features(spark, SMOKE_DIR)
@@ -139,6 +216,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "last5_both": q_last5_both,
         "outcome_share": q_outcome_share,
         "class_distribution": q_class_distribution,
+        "dates_parse": q_dates_parse,
+        "seasons_union": q_seasons_union,
+        "season_refresh": q_season_refresh,
     }
 
 
@@ -162,4 +242,7 @@ def oracle_sql() -> dict[str, str]:
         "last5_both": ssql.last5_both(),
         "outcome_share": ssql.outcome_share(),
         "class_distribution": ssql.class_distribution(),
+        "dates_parse": ssql.dates_parse(),
+        "seasons_union": ssql.seasons_union(),
+        "season_refresh": ssql.season_refresh(),
     }
