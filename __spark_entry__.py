@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.oracle import sql as osql
+from touchline.oracle import model_sql as msql
 from touchline.oracle import summary_sql as ssql
+from touchline.plans import evaluate as ev
 from touchline.plans import features as fe
+from touchline.plans import prep
 from touchline.plans import summaries as su
 from touchline.sources import adapter
 
@@ -193,6 +196,68 @@ def q_season_refresh(spark, sf_dir):
                                         F.max("match_date").alias("last_date"))
 
 
+def _split_features(spark, sf_dir) -> DataFrame:
+    return prep.train_test_split(q_training_features(spark, sf_dir))
+
+
+def _train_rows(spark, sf_dir) -> DataFrame:
+    return _split_features(spark, sf_dir).where(F.col("split") == "train").drop("split")
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    """Soft vote of three history baselines (bookmaker odds, meeting record,
+    home/away form) on every training row, with its split."""
+    m = _matches(spark, sf_dir)
+    t = _split_features(spark, sf_dir).join(m.select("match_id", "b365h", "b365d", "b365a"), "match_id")
+    return ev.soft_vote(t, [ev.odds_member(), ev.h2h_member(), ev.form_member()],
+                        keep=["match_id", "outcome", "split"])
+
+
+def _test_scored(spark, sf_dir) -> DataFrame:
+    return _scored(spark, sf_dir).where(F.col("split") == "test")
+
+
+def q_train_test_split(spark, sf_dir):
+    return _split_features(spark, sf_dir).select("match_id", "outcome", "split")
+
+
+def q_stratified_folds(spark, sf_dir):
+    return prep.stratified_folds(_train_rows(spark, sf_dir).select("match_id", "outcome"))
+
+
+def q_class_weights(spark, sf_dir):
+    return prep.class_weights(_train_rows(spark, sf_dir))
+
+
+def q_standardise(spark, sf_dir):
+    from touchline.schema import feature_names
+    return prep.standardise_stats(_train_rows(spark, sf_dir), feature_names())
+
+
+def q_soft_vote(spark, sf_dir):
+    return _scored(spark, sf_dir)
+
+
+def q_accuracy(spark, sf_dir):
+    return ev.accuracy(_test_scored(spark, sf_dir))
+
+
+def q_class_report(spark, sf_dir):
+    return ev.class_report(_test_scored(spark, sf_dir))
+
+
+def q_confusion(spark, sf_dir):
+    return ev.confusion(_test_scored(spark, sf_dir))
+
+
+def q_roc_points(spark, sf_dir):
+    return ev.roc_points(_test_scored(spark, sf_dir))
+
+
+def q_auc(spark, sf_dir):
+    return ev.auc(_test_scored(spark, sf_dir))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: the 159-column training feature table at sf0.001."""
     return q_training_features(spark, SMOKE_DIR)
@@ -219,6 +284,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dates_parse": q_dates_parse,
         "seasons_union": q_seasons_union,
         "season_refresh": q_season_refresh,
+        "train_test_split": q_train_test_split,
+        "stratified_folds": q_stratified_folds,
+        "class_weights": q_class_weights,
+        "standardise": q_standardise,
+        "soft_vote": q_soft_vote,
+        "accuracy": q_accuracy,
+        "class_report": q_class_report,
+        "confusion": q_confusion,
+        "roc_points": q_roc_points,
+        "auc": q_auc,
     }
 
 
@@ -245,4 +320,14 @@ def oracle_sql() -> dict[str, str]:
         "dates_parse": ssql.dates_parse(),
         "seasons_union": ssql.seasons_union(),
         "season_refresh": ssql.season_refresh(),
+        "train_test_split": msql.train_test_split(),
+        "stratified_folds": msql.stratified_folds(),
+        "class_weights": msql.class_weights(),
+        "standardise": msql.standardise(),
+        "soft_vote": msql.soft_vote(),
+        "accuracy": msql.accuracy(),
+        "class_report": msql.class_report(),
+        "confusion": msql.confusion(),
+        "roc_points": msql.roc_points(),
+        "auc": msql.auc(),
     }
