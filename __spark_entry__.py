@@ -258,6 +258,124 @@ def q_auc(spark, sf_dir):
     return ev.auc(_test_scored(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- models
+# Registered model queries use small settings (few trees / rounds, 3 trials)
+# so a check finishes in minutes; the published settings are parameters of
+# touchline.plans.models (VoteParams, random_search(trials=50), 5 folds).
+SMOKE = dict(tree_n_estimators=20, tree_max_depth=8, xgb_n_estimators=5, xgb_max_depth=3,
+             cat_iterations=5, cat_depth=3)
+_FITTED: dict = {}
+
+
+def _top(spark, sf_dir):
+    from touchline.plans import models as ml
+    from touchline.schema import feature_names
+    key = ("top", id(spark), sf_dir)
+    if key not in _FITTED:
+        imp = ml.feature_importance(_train_rows(spark, sf_dir), feature_names())
+        _FITTED[key] = [r.feature for r in ml.top_features(imp).collect()]
+    return _FITTED[key]
+
+
+def _vote(spark, sf_dir):
+    from touchline.plans import models as ml
+    key = ("vote", id(spark), sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = ml.fit_vote(_train_rows(spark, sf_dir), _top(spark, sf_dir), ml.VoteParams(**SMOKE))
+    return _FITTED[key]
+
+
+def q_feature_importance(spark, sf_dir):
+    from touchline.plans import models as ml
+    from touchline.schema import feature_names
+    return ml.feature_importance(_train_rows(spark, sf_dir), feature_names())
+
+
+def q_top_features(spark, sf_dir):
+    from touchline.plans import models as ml
+    from touchline.schema import feature_names
+    return ml.top_features(ml.feature_importance(_train_rows(spark, sf_dir), feature_names()))
+
+
+def _test_rows(spark, sf_dir):
+    return _split_features(spark, sf_dir).where(F.col("split") == "test").drop("split")
+
+
+def _member_query(member):
+    def q(spark, sf_dir):
+        from touchline.plans import models as ml
+        return ml.member_predictions(_vote(spark, sf_dir), _test_rows(spark, sf_dir).select(
+            "match_id", "outcome", *_top(spark, sf_dir)), member).drop(*_top(spark, sf_dir))
+    return q
+
+
+def q_vote_predict(spark, sf_dir):
+    model = _vote(spark, sf_dir)
+    return model.transform(_test_rows(spark, sf_dir).select("match_id", "outcome", *model.features)) \
+        .drop(*model.features)
+
+
+def q_cv_score(spark, sf_dir):
+    from touchline.plans import models as ml
+    folds = prep.stratified_folds(_train_rows(spark, sf_dir), k=5)
+    acc = ml.cv_accuracy(folds, _top(spark, sf_dir), ml.VoteParams(**SMOKE))
+    return spark.createDataFrame([(5, acc)], "folds int, cv_accuracy double")
+
+
+def q_search_trials(spark, sf_dir):
+    from touchline.plans import models as ml
+    folds = prep.stratified_folds(_train_rows(spark, sf_dir), k=2)
+    return ml.random_search(folds, _top(spark, sf_dir), trials=3, seed=42, scale=0.05)
+
+
+def q_best_model(spark, sf_dir):
+    """ML-11/13 + SNK-2/3: best trial refit on all training rows, saved,
+    loaded back and evaluated on the test rows next to the majority rate."""
+    from touchline.plans import models as ml
+    from touchline.session import scratch_path
+    trials = q_search_trials(spark, sf_dir)
+    best = ml.best_trial(trials).first()
+    model = ml.fit_vote(_train_rows(spark, sf_dir), _top(spark, sf_dir), ml.params_of(best))
+    path = scratch_path(spark, "vote-model")
+    model.save(path)
+    loaded = ml.VoteModel.load(spark, path)
+    test = _test_rows(spark, sf_dir)
+    pred = loaded.transform(test.select("match_id", "outcome", *loaded.features))
+    acc = ev.accuracy(pred).first()["accuracy"]
+    ll = ml.log_loss(pred).first()["log_loss"]
+    major = test.groupBy("outcome").count().orderBy(F.col("count").desc()).first()["count"] / test.count()
+    return spark.createDataFrame([(best["trial"], best["cv_accuracy"], acc, ll, major, path)],
+                                 "trial int, cv_accuracy double, test_accuracy double, log_loss double, "
+                                 "majority_rate double, model_path string")
+
+
+def q_score_fixtures(spark, sf_dir):
+    """UQ-9: validate typed fixtures, build their features as of the day after
+    the last match, score them with the vote and attach the pair summary."""
+    from touchline.plans import models as ml
+    m = _matches(spark, sf_dir)
+    checked = su.validate_fixtures(m, _typed_fixtures(m))
+    ok = checked.where(F.col("status") == "ok").select("home_team", "away_team").distinct()
+    feats = fe.fixture_features(m, ok)
+    scored = ml.score_fixtures(_vote(spark, sf_dir), feats, ["home_team", "away_team", "match_date"])
+    return scored.join(su.pair_summary(m, ok).select("home_team", "away_team", "summary"),
+                       ["home_team", "away_team"], "left")
+
+
+def q_score_stream(spark, sf_dir):
+    """UQ-9 as a stream: typed fixtures land as CSV files; an availableNow
+    Structured Streaming query validates, builds features, scores them and
+    appends to a results table, which is returned."""
+    from touchline.session import scratch_path
+    from touchline.streaming.fixtures import start_scoring
+    m = _matches(spark, sf_dir)
+    req_dir = scratch_path(spark, "requests")
+    _typed_fixtures(m).write.option("header", True).csv(req_dir)
+    out = scratch_path(spark, "scored")
+    start_scoring(spark, m, _vote(spark, sf_dir), req_dir, out, available_now=True).awaitTermination()
+    return spark.read.parquet(out)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: the 159-column training feature table at sf0.001."""
     return q_training_features(spark, SMOKE_DIR)
@@ -294,6 +412,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "confusion": q_confusion,
         "roc_points": q_roc_points,
         "auc": q_auc,
+        "feature_importance": q_feature_importance,
+        "top_features": q_top_features,
+        "forest_predict": _member_query("tree"),
+        "boost_a_predict": _member_query("xgb"),
+        "boost_b_predict": _member_query("cat"),
+        "vote_predict": q_vote_predict,
+        "cv_score": q_cv_score,
+        "search_trials": q_search_trials,
+        "best_model": q_best_model,
+        "score_fixtures": q_score_fixtures,
+        "score_stream": q_score_stream,
     }
 
 

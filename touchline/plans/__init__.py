@@ -1,0 +1 @@
+"""Jobs: feature blocks, summaries, preparation, evaluation, models."""

@@ -1,0 +1 @@
+"""Sources and sinks: season CSV loader, season refresh, test-table adapter."""
