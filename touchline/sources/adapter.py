@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import season_year
+from touchline.session import scratch_path
+
+_LANDED: dict = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,3 +81,16 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean history (PF-1): rows with a date and a result, plus ``season_year``."""
     m = raw_matches(spark, sf_dir).dropna(subset=["match_date", "ftr"])
     return m.withColumn("season_year", season_year("match_date"))
+
+
+def landed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean match table written once per session into the shared
+    checkpoint folder and read back, as an ingest job would leave it.  Jobs
+    then scan a pruned parquet table instead of re-deriving it per block."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    path = _LANDED.get(key)
+    if path is None:
+        path = scratch_path(spark, "matches")
+        matches(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(path)
