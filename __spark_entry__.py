@@ -103,6 +103,11 @@ def q_pair_summary(spark, sf_dir):
     return su.pair_summary(m, _fixtures(m))
 
 
+def q_guarded_report(spark, sf_dir):
+    m = _matches(spark, sf_dir)
+    return su.guarded_report(m, _typed_fixtures(m))
+
+
 def q_home_record(spark, sf_dir):
     return su.home_record(_matches(spark, sf_dir))
 
@@ -399,6 +404,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pair_matches": q_pair_matches,
         "pair_summary": q_pair_summary,
         "home_record": q_home_record,
+        "guarded_report": q_guarded_report,
         "last5_both": q_last5_both,
         "outcome_share": q_outcome_share,
         "class_distribution": q_class_distribution,
@@ -446,6 +452,7 @@ def oracle_sql() -> dict[str, str]:
         "pair_matches": ssql.pair_matches(),
         "pair_summary": ssql.pair_summary(),
         "home_record": ssql.home_record(),
+        "guarded_report": ssql.guarded_report(),
         "last5_both": ssql.last5_both(),
         "outcome_share": ssql.outcome_share(),
         "class_distribution": ssql.class_distribution(),

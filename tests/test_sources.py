@@ -43,7 +43,7 @@ def season_dir():
         HEAD_B,
         "E0,13/08/2021,15:00,Brentford,Arsenal,2,0,H,1,0,H,8,22,3,4,1,0,2,5,12,8,1,2,0,0,0,0,1.8,3.5,4.5",
         "E0,14/08/2021,15:00,Man United,Leeds,5,1,H,1,0,H,16,10,8,3,,,5,4,11,9,,,1,2,0,0,6.0,4.5,1.6",
-        "E0,14/08/2021,17:30,Cr\xe9teil,Leeds,1,1,D,0,0,D,5,5,2,2,0,0,3,3,9,9,1,1,1,1,0,0,3.0,3.0,2.5",
+        "E0,14/08/2021,17:30,Cr\xe9teil,Leeds,1,1,D,0,0,D,5,5,2,2,0,0,3,3,9,9,1,1,1,1,0,0,3.0,3.0,NaN",
     ])
     return d
 
@@ -64,6 +64,7 @@ def test_loader_edge_rows(spark, season_dir):
     assert (b.fthg, b.ftag, b.hs, b.as_, b.hhw, b.ahw, b.ho, b.ao) == (2, 0, 8, 22, 1, 0, 1, 2)
     assert (b.b365h, b.b365d, b.b365a) == (4.5, 3.5, 1.8)
     assert (dt.date(2021, 8, 14), "Créteil", "Leeds") in keys          # latin-1 decoded
+    assert rows[(dt.date(2021, 8, 14), "Créteil", "Leeds")].b365h is None  # NaN text -> null
     a = rows[(dt.date(2000, 8, 19), "Arsenal", "Chelsea")]
     assert a.hhw is None and a.season_year == 2000
     assert b.season_year == 2021 and short.season_year == 1993

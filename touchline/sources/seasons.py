@@ -52,6 +52,12 @@ def _field_count(text: F.Column) -> F.Column:
     return F.size(F.split(bare, ",", -1))
 
 
+def _number(v: F.Column) -> F.Column:
+    """Text -> double; unparsable text and NaN become null (SC-12)."""
+    d = v.try_cast("double")
+    return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+
+
 def _canonical(raw: DataFrame, header: tuple) -> list[F.Column]:
     cols = []
     for raw_name, (name, typ) in RAW_COLUMNS.items():
@@ -62,9 +68,9 @@ def _canonical(raw: DataFrame, header: tuple) -> list[F.Column]:
         if name == "match_date":
             cols.append(parse_match_date(v).alias(name))
         elif isinstance(typ, T.IntegerType):
-            cols.append(v.try_cast("double").try_cast("int").alias(name))
+            cols.append(_number(v).try_cast("int").alias(name))
         elif isinstance(typ, T.DoubleType):
-            cols.append(v.try_cast("double").alias(name))
+            cols.append(_number(v).alias(name))
         else:
             cols.append(v.alias(name))
     return cols
