@@ -29,9 +29,43 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.functions.cache import per_context
 from touchline.schema import LAST_N
 
 
+@per_context
+def _frame_cols(aggs_id: int, aggs_ref: tuple, keys: tuple, lag_cols: tuple, n: int, date_col: str,
+                id_col: str, through: bool) -> list:
+    """Window columns of the last-N operators, built once per context.
+    ``aggs_ref`` keeps the aggregate mapping alive so its id stays unique."""
+    aggs = aggs_ref[0]
+    w = Window.partitionBy(*keys).orderBy(date_col, id_col)
+    if through:
+        frame = w.rowsBetween(-(n - 1), 0)
+        cols = [*keys, date_col, F.lead(date_col, 1).over(w).alias("_next_day")]
+    else:
+        frame = w.rowsBetween(-n, -1)
+        cols = [*keys, date_col, F.lag(date_col, 1).over(w).alias("_prev_day")]
+    cols += [agg.over(frame).alias(name) for name, agg in aggs.items()]
+    for c in lag_cols:
+        if through:
+            cols.append(F.col(c).alias(f"{c}__1"))
+            cols += [F.lag(c, i - 1).over(w).alias(f"{c}__{i}") for i in range(2, n + 1)]
+        else:
+            cols += [F.lag(c, i).over(w).alias(f"{c}__{i}") for i in range(1, n + 1)]
+    return cols
+
+
+class _Ref(tuple):
+    """A tuple holding one object, hashed and compared by that object's id."""
+
+    def __hash__(self):
+        return id(self[0])
+
+    def __eq__(self, other):
+        return isinstance(other, _Ref) and self[0] is other[0]
+
+
 def _tails(history: DataFrame, keys: Sequence[str], date_col: str, id_col: str, n: int) -> DataFrame:
     w = Window.partitionBy(*keys, date_col).orderBy(F.col(id_col).desc())
     return history.withColumn("_rd", F.row_number().over(w)).where(F.col("_rd") <= n).drop("_rd")
@@ -44,11 +78,7 @@ def last_n_before_days(history: DataFrame, keys: Sequence[str], aggs: Mapping[st
     latest rows of the key strictly before that day, plus ``{c}__{i}`` = value
     of ``c`` in the i-th latest of those rows (i = 1 is the newest)."""
     tails = _tails(history, keys, date_col, id_col, n)
-    w = Window.partitionBy(*keys).orderBy(date_col, id_col)
-    frame = w.rowsBetween(-n, -1)
-    cols = [*keys, date_col, F.lag(date_col, 1).over(w).alias("_prev_day")]
-    cols += [agg.over(frame).alias(name) for name, agg in aggs.items()]
-    cols += [F.lag(c, i).over(w).alias(f"{c}__{i}") for c in lag_cols for i in range(1, n + 1)]
+    cols = _frame_cols(id(aggs), _Ref((aggs,)), tuple(keys), tuple(lag_cols), n, date_col, id_col, False)
     first_of_day = F.col("_prev_day").isNull() | (F.col("_prev_day") != F.col(date_col))
     return tails.select(*cols).where(first_of_day).drop("_prev_day")
 
@@ -59,13 +89,7 @@ def last_n_through_days(history: DataFrame, keys: Sequence[str], aggs: Mapping[s
     """Like :func:`last_n_before_days` but the state at the end of each day
     (the day's own rows included).  Feed it to :func:`asof_before`."""
     tails = _tails(history, keys, date_col, id_col, n)
-    w = Window.partitionBy(*keys).orderBy(date_col, id_col)
-    frame = w.rowsBetween(-(n - 1), 0)
-    cols = [*keys, date_col, F.lead(date_col, 1).over(w).alias("_next_day")]
-    cols += [agg.over(frame).alias(name) for name, agg in aggs.items()]
-    for c in lag_cols:
-        cols.append(F.col(c).alias(f"{c}__1"))
-        cols += [F.lag(c, i - 1).over(w).alias(f"{c}__{i}") for i in range(2, n + 1)]
+    cols = _frame_cols(id(aggs), _Ref((aggs,)), tuple(keys), tuple(lag_cols), n, date_col, id_col, True)
     last_of_day = F.col("_next_day").isNull() | (F.col("_next_day") != F.col(date_col))
     return tails.select(*cols).where(last_of_day).drop("_next_day")
 
@@ -99,3 +123,30 @@ def asof_before(state: DataFrame, probes: DataFrame, keys: Sequence[str],
            .select(*keys, date_col, "_h", F.last("_s", ignorenulls=True).over(w).alias("_v"))
            .where(F.col("_h") == 0))
     return out.select(*keys, date_col, *[F.col("_v")[c].alias(c) for c in value_cols])
+
+
+def last_n_at(history: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], as_of,
+              lag_cols: Sequence[str] = (), n: int = LAST_N,
+              date_col: str = "match_date", id_col: str = "match_id") -> DataFrame:
+    """One row per key: ``aggs`` over the key's ``n`` latest rows dated
+    strictly before the single date ``as_of``, and ``{c}__{i}`` for the i-th
+    latest.  Same output columns as :func:`last_n_before_days` (with
+    ``date_col`` = ``as_of``), for scoring fixtures that share one date: a
+    filtered scan, a per-key top-n (partial ``WindowGroupLimit`` before the
+    shuffle) and one ``groupBy``."""
+    day = F.lit(as_of).cast("date")
+    w = Window.partitionBy(*keys).orderBy(F.col(date_col).desc(), F.col(id_col).desc())
+    top = (history.where(F.col(date_col) < day)
+           .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n))
+    cols = [agg.alias(name) for name, agg in aggs.items()]
+    cols += [F.max(F.when(F.col("_r") == i, F.col(c))).alias(f"{c}__{i}") for c in lag_cols
+             for i in range(1, n + 1)]
+    return top.groupBy(*keys).agg(*cols).withColumn(date_col, day)
+
+
+def totals_at(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], as_of,
+              date_col: str = "match_date") -> DataFrame:
+    """Totals per key over all rows dated strictly before ``as_of``."""
+    day = F.lit(as_of).cast("date")
+    return (rows.where(F.col(date_col) < day).groupBy(*keys)
+            .agg(*[agg.alias(name) for name, agg in sums.items()]).withColumn(date_col, day))
