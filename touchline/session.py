@@ -43,16 +43,31 @@ def get_session(master: str | None = None, app: str = "touchline",
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        return None
+
+
+def session_key(spark: SparkSession) -> str:
+    """Identifies the running application (for per-session memos)."""
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", str(id(spark)))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a local one only when none is configured."""
-    sc = spark.sparkContext
-    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder, read from the session; a local one is
+    set only when none is configured (tests, local runs)."""
+    sc = _context(spark)
+    path = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="touchline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+        path = sc.getCheckpointDir() or path
+    return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import season_year
-from touchline.session import scratch_path
+from touchline.session import scratch_path, session_key
 
 _LANDED: dict = {}
 
@@ -87,7 +87,7 @@ def landed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean match table written once per session into the shared
     checkpoint folder and read back, as an ingest job would leave it.  Jobs
     then scan a pruned parquet table instead of re-deriving it per block."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (session_key(spark), sf_dir.rstrip("/"))
     path = _LANDED.get(key)
     if path is None:
         path = scratch_path(spark, "matches")
