@@ -61,6 +61,15 @@ def top_features(importance: DataFrame, k: int = TOP_K_FEATURES) -> DataFrame:
     return importance.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def importance_report(importance: DataFrame, n: int = 20) -> DataFrame:
+    """SL-5 / EV-7: the n most important features, listed in ascending order
+    of importance (the order of a horizontal bar chart), with the share in
+    percent."""
+    top = importance.orderBy(F.col("importance").desc(), F.col("feature")).limit(n)
+    return top.select("feature", "importance", (F.col("importance") * 100).alias("importance_pct")) \
+        .orderBy(F.col("importance").asc(), F.col("feature").desc())
+
+
 # ---------------------------------------------------------------- members
 @dataclass
 class VoteParams:

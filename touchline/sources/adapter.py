@@ -91,8 +91,10 @@ def landed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _LANDED.get(key)
     if path is None:
         path = scratch_path(spark, "matches")
-        # hash-partitioned write: AQE sizes the files (>= 1 MB each), so later
-        # scans run in parallel even when the source is a single small file
-        matches(spark, sf_dir).repartition("match_id").write.mode("overwrite").parquet(path)
+        # the production layout (partitioned by season, like land_seasons); a
+        # hash-partitioned write lets AQE size the files, so later scans run in
+        # parallel even when the source is a single small file
+        (matches(spark, sf_dir).repartition("match_id").write.mode("overwrite")
+         .partitionBy("season_year").parquet(path))
         _LANDED[key] = path
     return spark.read.parquet(path)
