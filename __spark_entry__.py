@@ -24,6 +24,7 @@ from touchline.plans import summaries as su
 from touchline.sources import adapter
 
 SMOKE_DIR = "/root/testdata/sf0.001"
+_FITTED: dict = {}  # per-session memo: written tables and fitted models
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +203,16 @@ def q_season_refresh(spark, sf_dir):
 
 
 def _split_features(spark, sf_dir) -> DataFrame:
-    return prep.train_test_split(q_training_features(spark, sf_dir))
+    """Training features with their split, written once per session into the
+    shared checkpoint folder (as the feature step hands over to selection,
+    CV, training and evaluation) and read back by every model/eval query."""
+    from touchline.session import scratch_path, session_key
+    key = ("features", session_key(spark), sf_dir.rstrip("/"))
+    if key not in _FITTED:
+        path = scratch_path(spark, "features")
+        prep.train_test_split(q_training_features(spark, sf_dir)).write.mode("overwrite").parquet(path)
+        _FITTED[key] = path
+    return spark.read.parquet(_FITTED[key])
 
 
 def _train_rows(spark, sf_dir) -> DataFrame:
@@ -269,7 +279,6 @@ def q_auc(spark, sf_dir):
 # touchline.plans.models (VoteParams, random_search(trials=50), 5 folds).
 SMOKE = dict(tree_n_estimators=20, tree_max_depth=8, xgb_n_estimators=5, xgb_max_depth=3,
              cat_iterations=5, cat_depth=3)
-_FITTED: dict = {}
 
 
 def _top(spark, sf_dir):

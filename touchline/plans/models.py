@@ -47,8 +47,12 @@ def feature_importance(train: DataFrame, features: list[str], num_trees: int = 1
     """(feature, importance) from a random forest fit, sorted by importance
     (name breaks ties).  The importance vector has one value per feature."""
     rf = RandomForestClassifier(labelCol=LABEL, featuresCol=VEC, numTrees=num_trees, maxDepth=max_depth,
-                                seed=seed, featureSubsetStrategy="sqrt")
-    model = rf.fit(assemble(train, features))
+                                seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True)
+    data = assemble(train, features).persist()  # read by several passes of the fit
+    try:
+        model = rf.fit(data)
+    finally:
+        data.unpersist()
     imp = model.featureImportances.toArray().tolist()
     spark = train.sparkSession
     return spark.createDataFrame(list(zip(features, [float(x) for x in imp])), "feature string, importance double")
@@ -110,7 +114,8 @@ def _forest(p: VoteParams) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol=LABEL, featuresCol=VEC, weightCol="weight",
                                   numTrees=p.tree_n_estimators, maxDepth=min(30, p.tree_max_depth),
                                   minInstancesPerNode=p.tree_min_samples_leaf, seed=p.seed,
-                                  featureSubsetStrategy="sqrt", probabilityCol="prob_tree",
+                                  featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True,
+                                  probabilityCol="prob_tree",
                                   rawPredictionCol="raw_tree", predictionCol="pred_tree")
 
 
@@ -222,6 +227,8 @@ def cv_accuracy(train_with_folds: DataFrame, features: list[str], params: VotePa
                 parallelism: int = 2) -> float:
     """Mean held-out accuracy over the folds of column ``fold``."""
     folds = k or train_with_folds.agg(F.max("fold")).first()[0] + 1
+    if not train_with_folds.is_cached:
+        train_with_folds = train_with_folds.persist()  # every fold reads it twice
 
     def one(f):
         model = fit_vote(train_with_folds.where(F.col("fold") != f), features, params)
@@ -238,6 +245,7 @@ def random_search(train_with_folds: DataFrame, features: list[str], trials: int
     """ML-10: seeded random search over the published ranges, each trial
     scored by CV accuracy; returns the trial table (ML-13)."""
     rng = random.Random(seed)
+    train_with_folds = train_with_folds.persist()
     rows = []
     for t in range(trials):
         p = VoteParams.sample(rng, scale)
@@ -245,6 +253,7 @@ def random_search(train_with_folds: DataFrame, features: list[str], trials: int
         d = asdict(p)
         d.pop("extra")
         rows.append((t, json.dumps(d), acc))
+    train_with_folds.unpersist()
     spark = train_with_folds.sparkSession
     return spark.createDataFrame(rows, "trial int, params string, cv_accuracy double")
 
