@@ -281,13 +281,21 @@ SMOKE = dict(tree_n_estimators=20, tree_max_depth=8, xgb_n_estimators=5, xgb_max
              cat_iterations=5, cat_depth=3)
 
 
-def _top(spark, sf_dir):
+def _importance(spark, sf_dir):
+    """Forest importance of all 159 features on the train split (one fit per session)."""
     from touchline.plans import models as ml
     from touchline.schema import feature_names
+    key = ("importance", id(spark), sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = ml.feature_importance(_train_rows(spark, sf_dir), feature_names()).cache()
+    return _FITTED[key]
+
+
+def _top(spark, sf_dir):
+    from touchline.plans import models as ml
     key = ("top", id(spark), sf_dir)
     if key not in _FITTED:
-        imp = ml.feature_importance(_train_rows(spark, sf_dir), feature_names())
-        _FITTED[key] = [r.feature for r in ml.top_features(imp).collect()]
+        _FITTED[key] = [r.feature for r in ml.top_features(_importance(spark, sf_dir)).collect()]
     return _FITTED[key]
 
 
@@ -300,15 +308,17 @@ def _vote(spark, sf_dir):
 
 
 def q_feature_importance(spark, sf_dir):
-    from touchline.plans import models as ml
-    from touchline.schema import feature_names
-    return ml.feature_importance(_train_rows(spark, sf_dir), feature_names())
+    return _importance(spark, sf_dir)
 
 
 def q_top_features(spark, sf_dir):
     from touchline.plans import models as ml
-    from touchline.schema import feature_names
-    return ml.top_features(ml.feature_importance(_train_rows(spark, sf_dir), feature_names()))
+    return ml.top_features(_importance(spark, sf_dir))
+
+
+def q_importance_report(spark, sf_dir):
+    from touchline.plans import models as ml
+    return ml.importance_report(_importance(spark, sf_dir))
 
 
 def _test_rows(spark, sf_dir):
@@ -432,6 +442,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "auc": q_auc,
         "feature_importance": q_feature_importance,
         "top_features": q_top_features,
+        "importance_report": q_importance_report,
         "forest_predict": _member_query("tree"),
         "boost_a_predict": _member_query("xgb"),
         "boost_b_predict": _member_query("cat"),
