@@ -236,6 +236,16 @@ def q_train_test_split(spark, sf_dir):
     return _split_features(spark, sf_dir).select("match_id", "outcome", "split")
 
 
+def q_time_split(spark, sf_dir):
+    """D5 option: hold out the latest season (cut-off = its first day)."""
+    import datetime as dt
+    m = _matches(spark, sf_dir)
+    latest = m.agg(F.max("season_year")).first()[0]  # one scalar
+    feats = q_training_features(spark, sf_dir).select("match_id", "outcome")
+    dated = feats.join(m.select("match_id", "match_date"), "match_id")
+    return prep.time_split(dated, dt.date(latest, 8, 1)).select("match_id", "outcome", "split")
+
+
 def q_stratified_folds(spark, sf_dir):
     return prep.stratified_folds(_train_rows(spark, sf_dir).select("match_id", "outcome"))
 
@@ -431,6 +441,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "seasons_union": q_seasons_union,
         "season_refresh": q_season_refresh,
         "train_test_split": q_train_test_split,
+        "time_split": q_time_split,
         "stratified_folds": q_stratified_folds,
         "class_weights": q_class_weights,
         "standardise": q_standardise,
@@ -480,6 +491,7 @@ def oracle_sql() -> dict[str, str]:
         "seasons_union": ssql.seasons_union(),
         "season_refresh": ssql.season_refresh(),
         "train_test_split": msql.train_test_split(),
+        "time_split": msql.time_split(),
         "stratified_folds": msql.stratified_folds(),
         "class_weights": msql.class_weights(),
         "standardise": msql.standardise(),

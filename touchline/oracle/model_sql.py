@@ -41,6 +41,13 @@ def train_test_split() -> str:
     return training_ctes() + f" SELECT match_id, outcome, {SPLIT} AS split FROM tf"
 
 
+def time_split() -> str:
+    return training_ctes() + (
+        ", cut AS (SELECT MAKE_DATE(CAST(MAX(season_year) AS BIGINT), 8, 1) AS d FROM m)"
+        " SELECT tf.match_id, tf.outcome, CASE WHEN mm.match_date < cut.d THEN 'train' ELSE 'test' END AS split "
+        "FROM tf JOIN (SELECT match_id AS mid, match_date FROM m) mm ON mm.mid = tf.match_id CROSS JOIN cut")
+
+
 def stratified_folds() -> str:
     return training_ctes() + (
         f", tr AS (SELECT match_id, outcome, ({PH}) % 1024 AS b FROM tf WHERE {SPLIT} = 'train')"
