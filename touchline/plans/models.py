@@ -77,7 +77,7 @@ def importance_report(importance: DataFrame, n: int = 20) -> DataFrame:
 # ---------------------------------------------------------------- members
 @dataclass
 class VoteParams:
-    """One point of the search space (mt ranges); defaults are mid-range."""
+    """One point of the published search space; defaults are small mid-range values."""
     tree_n_estimators: int = 100
     tree_max_depth: int = 10
     tree_min_samples_split: int = 2
