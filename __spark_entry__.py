@@ -2,8 +2,9 @@
 
 Every query reads the driver's test tables through the match adapter
 (``touchline.sources.adapter``), so its work grows with them.  Oracle SQL
-uses the same adapter text as a CTE prefix and selects history by brute
-force, independently of the Spark plan.
+uses the same adapter text as a CTE prefix; for the history features it
+selects each match's earlier rows by brute force (join + rank), independently
+of the Spark plan.
 """
 
 from __future__ import annotations
