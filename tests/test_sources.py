@@ -102,3 +102,15 @@ def test_strict_reader_raises_on_long_row(spark):
     _write(landed, "cur.csv", ["Date,HomeTeam,AwayTeam,FTR", "20/08/2021,Arsenal,Chelsea,A,EXTRA"])
     with pytest.raises(Exception):
         read_seasons(spark, landed, encoding="UTF-8", strict=True).collect()
+
+
+def test_file_order_does_not_matter(spark, season_dir):
+    """Same files under other names (so listed in the other order): same rows."""
+    other = tempfile.mkdtemp(prefix="seasons-swapped-")
+    for src, dst in (("s1.csv", "z_first.csv"), ("s2.csv", "a_second.csv")):
+        with open(os.path.join(season_dir, src), "rb") as f, open(os.path.join(other, dst), "wb") as g:
+            g.write(f.read())
+    cols = [c for c in read_seasons(spark, season_dir).columns if c != "match_id"]
+    a = sorted(tuple(r) for r in read_seasons(spark, season_dir).select(*cols).collect())
+    b = sorted(tuple(r) for r in read_seasons(spark, other).select(*cols).collect())
+    assert a == b and len(a) == 5
