@@ -227,16 +227,20 @@ def cv_accuracy(train_with_folds: DataFrame, features: list[str], params: VotePa
                 parallelism: int = 2) -> float:
     """Mean held-out accuracy over the folds of column ``fold``."""
     folds = k or train_with_folds.agg(F.max("fold")).first()[0] + 1
-    if not train_with_folds.is_cached:
-        train_with_folds = train_with_folds.persist()  # every fold reads it twice
+    owned = not train_with_folds.is_cached
+    data = train_with_folds.persist() if owned else train_with_folds  # every fold reads it twice
 
     def one(f):
-        model = fit_vote(train_with_folds.where(F.col("fold") != f), features, params)
-        held = model.transform(train_with_folds.where(F.col("fold") == f))
+        model = fit_vote(data.where(F.col("fold") != f), features, params)
+        held = model.transform(data.where(F.col("fold") == f))
         return held.agg(F.avg((F.col("predicted") == F.col(LABEL)).cast("double"))).first()[0]
 
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = list(pool.map(one, range(folds)))
+    try:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            scores = list(pool.map(one, range(folds)))
+    finally:
+        if owned:
+            data.unpersist()
     return float(sum(scores) / len(scores))
 
 
@@ -245,15 +249,15 @@ def random_search(train_with_folds: DataFrame, features: list[str], trials: int
     """ML-10: seeded random search over the published ranges, each trial
     scored by CV accuracy; returns the trial table (ML-13)."""
     rng = random.Random(seed)
-    train_with_folds = train_with_folds.persist()
+    data = train_with_folds.persist()
     rows = []
     for t in range(trials):
         p = VoteParams.sample(rng, scale)
-        acc = cv_accuracy(train_with_folds, features, p)
+        acc = cv_accuracy(data, features, p)
         d = asdict(p)
         d.pop("extra")
         rows.append((t, json.dumps(d), acc))
-    train_with_folds.unpersist()
+    data.unpersist()
     spark = train_with_folds.sparkSession
     return spark.createDataFrame(rows, "trial int, params string, cv_accuracy double")
 
