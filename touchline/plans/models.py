@@ -178,7 +178,7 @@ class VoteModel:
         self.forest.write().overwrite().save(f"{path}/forest")
         self.boost_a.write().overwrite().save(f"{path}/boost_a")
         self.boost_b.write().overwrite().save(f"{path}/boost_b")
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         save_feature_list(spark, self.features, f"{path}/features")
         spark.createDataFrame([(json.dumps(asdict(self.params)),)], "params string") \
             .write.mode("overwrite").json(f"{path}/params")
