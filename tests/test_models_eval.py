@@ -84,3 +84,15 @@ def test_vote_fit_save_load_round_trip(spark):
     assert back.features == feats and back.params.xgb_n_estimators == 2
     b = {r.match_id: (r.predicted, round(r.p_home, 12)) for r in back.transform(test).collect()}
     assert b == {r.match_id: (r.predicted, round(r.p_home, 12)) for r in a.collect()}
+
+
+def test_standardise_uses_train_statistics(spark):
+    train = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, 5.0), (3, 6.0, 5.0)], "match_id long, a double, b double")
+    test = spark.createDataFrame([(4, 3.0, 7.0)], "match_id long, a double, b double")
+    out = prep.standardise(test, ["a", "b"], train=train).first()
+    mean = 3.0
+    std = ((1 - mean) ** 2 + (2 - mean) ** 2 + (6 - mean) ** 2) ** 0.5 / 3 ** 0.5  # population deviation
+    assert out.a == pytest.approx((3.0 - mean) / std)
+    assert out.b == pytest.approx(7.0 - 5.0)  # zero deviation scales by 1
+    stats = {r.feature: r for r in prep.standardise_stats(train, ["a", "b"]).collect()}
+    assert stats["a"].mean == 3.0 and stats["a"].std == pytest.approx(round(std, 6)) and stats["b"].std == 0
