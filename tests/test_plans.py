@@ -20,7 +20,8 @@ def test_no_cross_products(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, plan
 
 
-@pytest.mark.parametrize("name", ["h2h_features", "home_form", "away_form", "league_form"])
+@pytest.mark.parametrize("name", ["h2h_features", "home_form", "away_form", "league_form", "pair_matches",
+                                  "home_record", "last5_both"])
 def test_history_blocks_limit_before_shuffle(spark, name):
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     # the day tails run as a partial WindowGroupLimit on the map side and a
