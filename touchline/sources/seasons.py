@@ -9,9 +9,10 @@ would map columns by position and shift them.
 Rows with more fields than the header are skipped, shorter rows are kept with
 a null tail (the pandas ``on_bad_lines='skip'`` rule).  Spark flags both as
 malformed, so the loader counts the fields of a flagged row outside quotes.
-The count is only reliable when the parser tokenises every column, so the
-loader lands the parsed files into a partitioned parquet table with CSV
-column pruning switched off for that one write.
+The flag is only set when the parser tokenises every column, so the row
+filter references every field (a narrow or count-only query would otherwise
+let the parser skip them), and the landing write also runs with CSV column
+pruning switched off.
 """
 
 from __future__ import annotations
@@ -89,11 +90,14 @@ def read_group(spark: SparkSession, paths: list[str], header: tuple, encoding: s
     raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).option("encoding", encoding).csv(paths))
     long_row = F.col(CORRUPT).isNotNull() & (_field_count(F.col(CORRUPT)) > len(header))
+    # Always true, but it references every field, so even a narrow or
+    # count-only query makes the parser tokenise whole rows and flag long ones.
+    every_field = F.length(F.concat_ws("\u0001", *[F.col(f"`{c}`") for c in header])) >= 0
     if strict:
-        raw = raw.where(F.when(long_row, F.raise_error(F.concat(F.lit("too many fields: "), F.col(CORRUPT))))
-                        .otherwise(F.lit(True)))
+        raw = raw.where(every_field & F.when(long_row, F.raise_error(
+            F.concat(F.lit("too many fields: "), F.col(CORRUPT)))).otherwise(F.lit(True)))
     else:
-        raw = raw.where(~long_row)
+        raw = raw.where(every_field & ~long_row)
     rid = F.xxhash64(F.input_file_name(), *[F.col(f"`{c}`") for c in header])
     return raw.select(rid.alias("match_id"), *_canonical(raw, header))
 
@@ -105,7 +109,9 @@ def read_seasons(spark: SparkSession, source: str, encoding: str = LATIN1, stric
     Lazy; see :func:`land_seasons` for the pruning caveat."""
     groups: dict[tuple, list[str]] = defaultdict(list)
     for p in list_files(spark, source):
-        groups[header_of(spark, p, encoding)].append(p)
+        header = header_of(spark, p, encoding)
+        if "Date" in header:  # empty files (e.g. a failed download) have no header: nothing to read
+            groups[header].append(p)
     parts = [read_group(spark, ps, h, encoding, strict) for h, ps in sorted(groups.items())]
     if not parts:
         raise FileNotFoundError(f"no CSV files under {source}")
