@@ -124,3 +124,13 @@ def test_empty_file_is_ignored(spark, season_dir):
     df = read_seasons(spark, other)
     # a count-only query prunes every column: long rows must still be skipped
     assert df.count() == len(df.collect()) == 2
+
+
+def test_date_text_variants_and_season_start(spark):
+    from touchline.functions.columns import season_year
+    got = [r.d for r in spark.createDataFrame([(" 19/08/00 ",), ("2021-08-13",), ("7/1/1999",)], "t string")
+           .select(parse_match_date("t").alias("d")).collect()]
+    assert got == [dt.date(2000, 8, 19), None, dt.date(1999, 1, 7)]   # one day-first rule everywhere
+    days = spark.createDataFrame([(dt.date(2021, 7, 31),), (dt.date(2021, 8, 1),), (dt.date(2022, 1, 5),)], "d date")
+    assert [r.s for r in days.select(season_year("d").alias("s")).collect()] == [2020, 2021, 2021]
+    assert [r.s for r in days.select(season_year("d", 1).alias("s")).collect()] == [2021, 2021, 2022]
