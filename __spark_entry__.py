@@ -97,7 +97,7 @@ def q_team_exists(spark, sf_dir):
 
 def q_pair_matches(spark, sf_dir):
     m = _matches(spark, sf_dir)
-    return su.pair_matches(m, _fixtures(m))
+    return su.pair_table(m, _fixtures(m))
 
 
 def q_pair_summary(spark, sf_dir):
