@@ -24,6 +24,14 @@ from touchline.plans import prep
 from touchline.plans import summaries as su
 from touchline.sources import adapter
 
+try:  # the corpus operators are optional: everything else works without them
+    import corpus_pipeline
+    from touchline.llm import queries as corpus_queries
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("corpus_pipeline", "touchline.llm")):
+        raise
+    corpus_pipeline = corpus_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 _FITTED: dict = {}  # per-session memo: written tables and fitted models
 
@@ -420,6 +428,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    more = {} if corpus_queries is None else {**corpus_queries.queries(), "pipeline": corpus_pipeline.run}
     return {
         "matches_clean": q_matches_clean,
         "h2h_features": q_h2h_features,
@@ -464,11 +473,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "best_model": q_best_model,
         "score_fixtures": q_score_fixtures,
         "score_stream": q_score_stream,
+        **more,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from touchline.schema import MATCH_COLUMNS
+    more = {} if corpus_queries is None else dict(corpus_queries.oracle_sql())
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL:
+        more["pipeline"] = corpus_pipeline.ORACLE_SQL
     return {
         "matches_clean": osql.with_matches() + f" SELECT {', '.join(MATCH_COLUMNS)} FROM m "
                                                "ORDER BY match_date, match_id",
@@ -502,4 +515,5 @@ def oracle_sql() -> dict[str, str]:
         "confusion": msql.confusion(),
         "roc_points": msql.roc_points(),
         "auc": msql.auc(),
+        **more,
     }
