@@ -28,6 +28,13 @@ def op1_shard(spark, sf_dir):
     return out.select("doc_id", shard.text_bytes().alias("bytes"), "shard", "shard_depth", "shard_bytes")
 
 
+@_query
+def op2_topk(spark, sf_dir):
+    """The 5 best partners of every 50th vector among all vectors."""
+    from touchline.llm import topk
+    return topk.search(tk.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @_query
 def op3_toxicity(spark, sf_dir):
     """Toxicity of every document; rows with crc32 remainder 0 of 5 are held out."""
@@ -60,6 +67,20 @@ def op6_quality(spark, sf_dir):
                            tk.id_remainder("doc_id", 3) == 1)
 
 
+@_query
+def op8_urls(spark, sf_dir):
+    """The rule and verdict of every page's URL."""
+    from touchline.llm import urls
+    return urls.judge(tk.table(spark, sf_dir, "pages"), urls.task_rules(spark))
+
+
+@_query
+def op10_pii(spark, sf_dir):
+    """Personal data of every document: counts and digest of the base spans, all spans."""
+    from touchline.llm import pii
+    return pii.digest(pii.personal_data(tk.table(spark, sf_dir, "documents")))
+
+
 @_query
 def op9_decontam(spark, sf_dir):
     """Documents that hold a benchmark item, with the items."""
@@ -68,8 +89,10 @@ def op9_decontam(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard, op3_toxicity, op4_neardup, op5_mix, op6_quality, op9_decontam)}
+    return {f.__name__: f for f in (op1_shard, op2_topk, op3_toxicity, op4_neardup, op5_mix, op6_quality,
+                                     op8_urls, op9_decontam, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from touchline.llm import topk, urls
+    return {"op2_topk": topk.ORACLE, "op8_urls": urls.ORACLE}
