@@ -67,6 +67,13 @@ def op6_quality(spark, sf_dir):
                            tk.id_remainder("doc_id", 3) == 1)
 
 
+@_query
+def op7_lm(spark, sf_dir):
+    """Language-model scores of every document; rows with crc32 remainder 1 of 5 are held out."""
+    from touchline.llm import ctw
+    return ctw.scores(tk.table(spark, sf_dir, "documents"), tk.id_remainder("doc_id", 5) == 1)
+
+
 @_query
 def op8_urls(spark, sf_dir):
     """The rule and verdict of every page's URL."""
@@ -90,7 +97,7 @@ def op9_decontam(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_shard, op2_topk, op3_toxicity, op4_neardup, op5_mix, op6_quality,
-                                     op8_urls, op9_decontam, op10_pii)}
+                                     op7_lm, op8_urls, op9_decontam, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
