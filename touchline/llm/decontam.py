@@ -274,5 +274,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
                         keep[lo + d] = False
                 yield batch.select(list(range(len(names)))).filter(pa.array(keep))
 
-        docs = docs.select("*", F.col("text").cast("string").alias("_text")).mapInArrow(run, docs.schema)
+        plain, c = tk.numbered(docs)
+        docs = plain.select("*", F.col(c["text"]).cast("string").alias("_text")).mapInArrow(run, docs.schema)
     return docs

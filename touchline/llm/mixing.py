@@ -142,7 +142,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     path = scratch_path(spark, "mix-sizes")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                        tk.word_count("text").alias("size"),
-                       F.xxhash64("doc_id", "source", "text").alias("row_key"))
+                       F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text")).alias("row_key"))
     base.write.parquet(path)
     base = spark.read.parquet(path)
     # equal rows are one entry with a count: their whole copies are known at once
@@ -198,7 +198,8 @@ def mixed(docs: DataFrame, **kw) -> DataFrame:
     m = mix(docs, **kw).where("copies > 0").groupBy("row_key").agg(F.sum("copies").alias("_copies"))
     # equal rows share a key: one of them stands for all, with the sum of their copies
     m = m.select(F.col("row_key").alias("_row_key"), "_copies")
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text")))
+    plain, c = tk.numbered(docs)
+    keyed = plain.withColumn("_row_key", F.xxhash64(*[F.col(c[x]) for x in ("doc_id", "source", "text")]))
     one = keyed.join(m, "_row_key").dropDuplicates(["_row_key"])
     return (one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*docs.columns))
+            .select(*[F.col(n).alias(x) for x, n in c.items()]))

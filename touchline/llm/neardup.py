@@ -4,18 +4,24 @@
    set and a signature of ``trees * width`` MinHash values.  Equal sets are one
    node from here on, however many copies there are.
 2. Each tree sorts the nodes by the signature, rotated to start at the tree's
-   own values.  A region is a run of nodes with a common prefix; its depth is
-   adaptive: it starts at ``min_depth`` values and only regions of more than
-   ``leaf`` nodes are cut at the next deeper prefix.
-3. Inside a region, nodes whose signatures agree on ``probe`` of all values
-   are candidates (a true pair is 4.7 standard deviations above the probe).
-   A run in which even the whole signature agrees beyond ``leaf`` nodes links
-   each node to the next ones in the sorted order.
-4. Candidates are confirmed on their full shingle sets, and confirmed links
-   give connected components.
-
-A pair at the threshold (0.85) meets in one of 16 trees at depth 4 with
-probability 1 - (1 - 0.85^4)^16 = 0.999992, and still 0.9994 at depth 6.
+   own values.  A region is a run of nodes that share at least ``min_depth``
+   values; nodes alone in theirs leave the tree.  The sorted order is dealt to
+   tasks by ranges, so a large region spreads over many.
+3. A task walks along the order.  In a region of up to ``leaf`` nodes all are
+   neighbours; in a larger one each node's neighbours are those within half a
+   leaf before or after it, which are the ones with the longest common prefix:
+   the depth adapts to the region.  Neighbours whose signatures agree on
+   ``probe`` of all values are candidates (a true pair is over 4.5 standard
+   deviations above the probe).  What is passed on is a spanning forest of the
+   candidate graph, so it grows with the nodes and not with the pairs.
+4. The forests give loose groups, outside of which there is no candidate pair.
+   The full shingle sets of a loose group meet once; every candidate pair that
+   is not yet connected is confirmed on them, and the confirmed links give the
+   components.  The sets of a loose group of more than ``leaf`` nodes meet
+   along the sorted orders instead, in every tree.
+
+A pair at the threshold (0.85) shares a region in one of 16 trees with
+probability 1 - (1 - 0.85^4)^16 = 0.999992.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import textkit as tk
-from touchline.llm.graph import components
+from touchline.llm.graph import Union, components
 from touchline.session import scratch_path
 
 
@@ -38,12 +44,10 @@ class Forest:
     trees: int = 16
     width: int = 8
     min_depth: int = 4
-    leaf: int = 2048
+    leaf: int = 4096
     probe: float = 0.70
     numerator: int = 85  # links need 100 * intersection >= numerator * union
     shingle: int = 5
-    #: prefix lengths tried for regions that are too large, in order
-    deeper: tuple[int, ...] = (6, 8, 12, 20, 40, 128)
 
     @property
     def size(self) -> int:
@@ -104,9 +108,10 @@ def sketches(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     return src.mapInArrow(run, "doc_id long, row_key long, fp binary, n_shingles long, sig binary")
 
 
-def _prefix_key(f: Forest, depth: int):
-    """Arrow function: ``(fp, sig)`` -> ``(key, fp, brief)`` for each tree; the
-    key names the tree and the first ``depth`` values of its rotated order."""
+def _orders(f: Forest):
+    """Arrow function ``(fp, sig)`` -> ``(key, fp, brief)`` for each tree: the
+    key names the tree and the first values of its order, the region; ``brief``
+    is the whole order with 8 bits of each value."""
     mult = _multipliers(f.size)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,125 +120,161 @@ def _prefix_key(f: Forest, depth: int):
             if len(fp) == 0:
                 continue
             m = np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(len(fp), f.size)
-            brief = tk.binary_array([r.tobytes() for r in (m & np.uint32(255)).astype(np.uint8)])
             for t in range(f.trees):
-                cols = [(t * f.width + j) % f.size for j in range(min(depth, f.size))]
+                turned = np.roll(m, -t * f.width, axis=1)
                 h = np.full(len(fp), (t + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
-                for j, c in enumerate(cols):
-                    h = tk.mix(h + m[:, c].astype(np.uint64) * mult[j])
+                for j in range(f.min_depth):
+                    h = tk.mix(h + turned[:, j].astype(np.uint64) * mult[j])
+                brief = tk.binary_array([r.tobytes() for r in (turned & np.uint32(255)).astype(np.uint8)])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), fp, brief],
                                                  names=["key", "fp", "brief"])
     return run
 
 
-def _compare(f: Forest, last: bool):
-    """Arrow function over rows sorted by key: candidate pairs of each region.
-    ``last`` regions may exceed the leaf size; they link sorted neighbours."""
+def _runs(f: Forest, work, columns: int):
+    """Arrow function over rows sorted by their first column (a key):
+    ``work`` gets the other columns of the rows of one key as lists and gives
+    pairs.  More than ``leaf`` rows of a key are worked on in parts of that
+    size, each sharing half of its rows with the next."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, fresh = None, [[] for _ in range(columns)], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if fresh and len(held[0]) > 1:
+                left, right = work(*held)
+                if left:
+                    yield pa.RecordBatch.from_arrays([tk.binary_array(left), tk.binary_array(right)], names=["a", "b"])
+
+        for batch in batches:
+            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(columns + 1)), strict=True):
+                if k != key or len(held[0]) >= f.leaf:
+                    yield from out()
+                    for h in held:
+                        del h[:(len(h) if k != key else f.leaf - f.leaf // 2)]
+                    key, fresh = k, 0
+                for h, x in zip(held, row, strict=True):
+                    h.append(x)
+                fresh += 1
+        yield from out()
+    return run
+
+
+def _forest(f: Forest):
+    """Spanning forest of the candidate graph of one region."""
     need = int(np.ceil(f.probe * f.size))
 
-    def pairs(fps: list[bytes], brief: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    def work(fps: list[bytes], brief: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         m = np.frombuffer(b"".join(brief), np.uint8).reshape(len(fps), f.size)
         left, right = [], []
-        for i in range(len(fps) - 1):
-            for j in np.flatnonzero((m[i + 1:] == m[i]).sum(axis=1) >= need).tolist():
-                x, y = fps[i], fps[i + 1 + j]
-                if x != y:
-                    left.append(min(x, y))
-                    right.append(max(x, y))
+        rest = np.arange(len(fps))
+        queue: list[int] = []
+        while len(rest):
+            if not queue:
+                queue.append(int(rest[0]))
+                rest = rest[1:]
+                continue
+            i = queue.pop()
+            near = (m[rest] == m[i]).sum(axis=1) >= need
+            for j in rest[near].tolist():
+                left.append(min(fps[i], fps[j]))
+                right.append(max(fps[i], fps[j]))
+                queue.append(j)
+            rest = rest[~near]
         return left, right
+    return work
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, brief = None, [], []
 
-        def out(force: bool) -> Iterator[pa.RecordBatch]:
-            if len(fps) > 1:
-                left, right = pairs(fps, brief)
-                if left:
-                    yield pa.RecordBatch.from_arrays([tk.binary_array(left), tk.binary_array(right)], names=["a", "b"])
-            # a run that goes on past the leaf size keeps its last node as a link
-            del fps[:(len(fps) if force else len(fps) - 1)], brief[:(len(brief) if force else len(brief) - 1)]
+def _confirmed(f: Forest):
+    """Spanning forest of the confirmed links of one group of whole sets."""
+    need = int(np.ceil(f.probe * f.size))
 
-        for batch in batches:
-            for k, x, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                               batch.column(2).to_pylist(), strict=True):
-                if k != key:
-                    yield from out(True)
-                    key = k
-                elif last and len(fps) >= f.leaf:
-                    yield from out(False)
-                fps.append(x)
-                brief.append(s)
-        yield from out(True)
-    return run
+    def work(fps: list[bytes], brief: list[bytes], sets: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        m = np.frombuffer(b"".join(brief), np.uint8).reshape(len(fps), f.size)
+        s = [np.frombuffer(x, np.uint64) for x in sets]
+        size = np.array([len(x) for x in s])
+        order = np.argsort(size, kind="stable")
+        m, size = m[order], size[order]
+        seen, left, right = Union(), [], []
+        for i in range(len(order) - 1):
+            end = np.searchsorted(size, size[i] * 100 // f.numerator, side="right")  # larger sets cannot link
+            near = (m[i + 1:end] == m[i]).sum(axis=1) >= need
+            x = s[order[i]]
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                if seen.find(i) == seen.find(j):
+                    continue
+                y = s[order[j]]
+                at = np.searchsorted(y, x)
+                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                if 100 * both >= f.numerator * (len(x) + len(y) - both):
+                    seen.join(i, j)
+                    p, q = fps[order[i]], fps[order[j]]
+                    left.append(min(p, q))
+                    right.append(max(p, q))
+        return left, right
+    return work
+
+
+def ordered(nodes: DataFrame, f: Forest = Forest()) -> DataFrame:
+    """``(key, fp, brief)``: the nodes ``(fp, sig)`` in every tree's order,
+    without those alone in their region."""
+    keyed = nodes.select("fp", "sig").mapInArrow(_orders(f), "key long, fp binary, brief binary")
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return keyed.join(several, "key", "left_semi")
 
 
 def candidates(nodes: DataFrame, f: Forest = Forest()) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of fingerprints from a table ``(fp, sig)``.
+    """Pairs ``(a, b)`` of fingerprints that span the candidate graph of a
+    table ``(fp, sig)``."""
+    path = scratch_path(nodes.sparkSession, "neardup-pairs")
+    (ordered(nodes, f).repartitionByRange("key", "brief").sortWithinPartitions("key", "brief", "fp")
+     .mapInArrow(_runs(f, _forest(f), 2), "a binary, b binary").write.parquet(path))
+    return nodes.sparkSession.read.parquet(path)
+
 
-    Regions of at most ``leaf`` nodes are compared; larger ones go on with a
-    deeper prefix, until none is left.  The depth at which a region is small
-    enough depends on that region only."""
+def confirm(docs: DataFrame, nodes: DataFrame, loose: DataFrame, f: Forest = Forest()) -> DataFrame:
+    """Links ``(a, b)`` that connect what full shingle sets connect, from the
+    loose groups ``(node, root)``."""
     spark = nodes.sparkSession
-    found, live = None, nodes.select("fp", "sig")
-    depths = [f.min_depth, *[d for d in f.deeper if f.min_depth < d <= f.size]]
-    within = None
-    for depth in depths:
-        keyed = live.mapInArrow(_prefix_key(f, depth), "key long, fp binary, brief binary")
-        if within is not None:  # only what was in a region that was too large
-            keyed = keyed.join(within, ["fp"], "left_semi")
-        counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        last = depth == depths[-1]
-        path = scratch_path(spark, "neardup-regions")
-        counts.write.parquet(path)
-        counts = spark.read.parquet(path)
-        fits = counts if last else counts.where(F.col("n") <= f.leaf)
-        got = (keyed.join(fits.select("key"), "key", "left_semi").repartition("key")
-               .sortWithinPartitions("key", "brief", "fp")
-               .mapInArrow(_compare(f, last), "a binary, b binary").distinct())
-        part = scratch_path(spark, "neardup-pairs")
-        got.write.parquet(part)
-        got = spark.read.parquet(part)
-        found = got if found is None else found.unionByName(got)
-        if last:
-            break
-        over = counts.where(F.col("n") > f.leaf)
-        if over.isEmpty():
-            break
-        within = keyed.join(over.select("key"), "key", "left_semi").select("fp").distinct().checkpoint()
-        live = live.join(within, "fp", "left_semi")
-    return found.distinct()
-
-
-def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, f: Forest = Forest()) -> DataFrame:
-    """The candidate pairs whose full shingle sets meet the threshold."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, rows = [], []
-            for _, part in _sets(batch.column(0), f.shingle):
-                for s in part:
-                    fps.append(_fingerprint(s))
-                    rows.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([tk.binary_array(fps), tk.binary_array(rows)], names=["fp", "shingles"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * both >= f.numerator * (len(s) + len(t) - both))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    used = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    want = nodes.join(used, "fp", "left_semi").select("row_key")
-    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row_key"),
-                        F.col("text").cast("string").alias("text")).join(want, "row_key", "left_semi")
-    full = (texts.select("text").mapInArrow(sets, "fp binary, shingles binary")
-            .groupBy("fp").agg(F.first("shingles").alias("shingles")))
-    left = pairs.join(full.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(full.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a binary, b binary")
+            group, sig = batch.column(1), batch.column(2)
+            for lo, part in _sets(batch.column(0), f.shingle):
+                rows = [s.tobytes() for s in part]
+                fps = [_fingerprint(s) for s in part]
+                m = np.frombuffer(b"".join(sig.slice(lo, len(part)).to_pylist()), np.uint32)
+                brief = (m & np.uint32(255)).astype(np.uint8).reshape(len(part), f.size)
+                yield pa.RecordBatch.from_arrays(
+                    [group.slice(lo, len(part)), tk.binary_array(fps), tk.binary_array([r.tobytes() for r in brief]),
+                     tk.binary_array(rows)], names=["group", "fp", "brief", "shingles"])
+
+    path = scratch_path(spark, "neardup-sizes")
+    loose.groupBy("root").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    sizes = spark.read.parquet(path)
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row_key"),
+                        F.col("text").cast("string").alias("text"))
+
+    def full(groups: DataFrame) -> DataFrame:
+        """Whole sets of the nodes of ``groups``, one row each (repeated rows once)."""
+        of = loose.join(groups.select("root"), "root", "left_semi")
+        want = nodes.join(of, nodes["fp"] == of["node"]).select("row_key", F.col("root").alias("group"), "sig")
+        texts = keyed.join(want, "row_key").dropDuplicates(["row_key"])
+        return texts.select("text", "group", "sig").mapInArrow(
+            sets, "group binary, fp binary, brief binary, shingles binary")
+
+    whole = (full(sizes.where(F.col("n") <= f.leaf)).repartition("group").sortWithinPartitions("group")
+             .mapInArrow(_runs(f, _confirmed(f), 3), "a binary, b binary"))
+    large = sizes.where(F.col("n") > f.leaf)
+    if large.isEmpty():
+        return whole
+    path = scratch_path(spark, "neardup-sets")
+    full(large).drop("group").write.parquet(path)
+    big = spark.read.parquet(path)
+    part = ordered(nodes.join(big.select("fp"), "fp", "left_semi"), f).join(big.drop("brief"), "fp").select(
+        "key", "fp", "brief", "shingles")
+    along = part.repartitionByRange("key", "brief").sortWithinPartitions("key", "brief", "fp").mapInArrow(
+        _runs(f, _confirmed(f), 3), "a binary, b binary")
+    return whole.unionByName(along)
 
 
 def near_duplicates(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
@@ -258,9 +299,9 @@ def near_duplicates(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
      .agg(F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.first("sig").alias("sig"))
      .write.parquet(node_path))
     nodes = spark.read.parquet(node_path)
-    pairs = candidates(nodes, f)
+    loose = components(candidates(nodes, f))
     link_path = scratch_path(spark, "neardup-links")
-    confirm(docs, nodes, pairs, f).write.parquet(link_path)
+    confirm(docs, nodes, loose, f).write.parquet(link_path)
     comp = components(spark.read.parquet(link_path))
     of = nodes.select("fp", "first_id").join(comp, nodes["fp"] == comp["node"], "left") \
         .select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
@@ -277,7 +318,8 @@ def keep_one(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     and one only where rows repeat.  Texts without words all stay."""
     kept = near_duplicates(docs, f).where("kept and n_shingles > 0")
     one = kept.groupBy("root").agg(F.min("row_key").alias("_row_key")).select("_row_key").distinct()
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    plain, c = tk.numbered(docs)
+    keyed = plain.withColumn("_row_key", F.xxhash64(F.col(c["doc_id"]).cast("long"), F.col(c["text"])))
+    worded = F.coalesce(F.col(c["text"]), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     stay = keyed.where(worded).join(one, "_row_key", "left_semi").dropDuplicates(["_row_key"])
-    return stay.drop("_row_key").unionByName(docs.where(~worded))
+    return stay.drop("_row_key").unionByName(plain.where(~worded)).toDF(*docs.columns)

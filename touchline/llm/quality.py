@@ -236,6 +236,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, train: Column, s: Settings = S
             mask = pa.array(np.concatenate(ok) if ok else np.zeros(0, bool))
             yield batch.select(list(range(len(names)))).filter(mask)
 
-    # the added columns are read by place, so clashing names do no harm
-    work = docs.select("*", F.col("text").cast("string").alias("_text"), _stated(docs).alias("_stated"))
+    plain, c = tk.numbered(docs)
+    given = F.col(c["n_chars"]) if "n_chars" in c else F.lit(None)
+    text = F.col(c["text"]).cast("string")
+    stated = F.coalesce(given.cast("double"), F.length(text).cast("double"), F.lit(0.0))
+    work = plain.select("*", text.alias("_text"), stated.alias("_stated"))
     return work.mapInArrow(run, docs.schema)

@@ -1,7 +1,8 @@
 """Sharding by extendible hashing (operator 1); DataFrame functions only.
 
 Every row gets a hash key of three words of 60 bits: from its doc_id, from its
-whole content, and from its place in the table.  The directory is indexed by
+whole content, and (only where rows equal in all overfill a bucket) from its
+place in the table.  The directory is indexed by
 the leading bits of that key.  A bucket is a prefix; one that holds more than
 ``limit`` bytes splits on its next bit, and nothing else splits.  As byte
 totals only shrink along a path, the final bucket of a row is its shortest
@@ -17,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm import textkit as tk
 from touchline.session import scratch_path
 
 #: Target size of a shard in bytes of text.
@@ -30,6 +32,7 @@ def _word(c: Column) -> Column:
 
 
 def text_bytes(text: str = "text") -> Column:
+    """Bytes of a text column; null has none."""
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
 
 
@@ -38,14 +41,13 @@ def _top(word: Column, lo: int, n: int) -> Column:
     return F.shiftright(word, WORD_BITS - lo - n).bitwiseAND(F.lit((1 << n) - 1))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    content = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
-                                      for c in ("doc_id", "text", "lang", "source") if c in docs.columns])
+def _keyed(docs: DataFrame, c: dict[str, str]) -> DataFrame:
+    content = F.concat_ws("\u001f", *[F.coalesce(F.col(c[x]).cast("string"), F.lit("\u0000"))
+                                      for x in ("doc_id", "text", "lang", "source") if x in c])
     return docs.select(
-        "*", text_bytes().alias("_bytes"),
-        F.struct(_word(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("w0"),
-                 _word(content).alias("w1"),
-                 _word(F.monotonically_increasing_id().cast("string")).alias("w2")).alias("_key"))
+        "*", text_bytes(c["text"]).alias("_bytes"),
+        F.struct(_word(F.coalesce(F.col(c["doc_id"]).cast("string"), F.lit(""))).alias("w0"),
+                 _word(content).alias("w1")).alias("_key"))
 
 
 def directory(rows: DataFrame, limit: int, word: str, lo: int, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -79,14 +81,19 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     of ``docs`` named ``shard``, ``shard_depth`` or ``shard_bytes`` are replaced.
     """
     given = [c for c in docs.columns if c not in ("shard", "shard_depth", "shard_bytes")]
-    docs = docs.select(*given)
-    total = docs.agg(F.sum(text_bytes()).alias("b")).first()["b"] or 0
+    plain, c = tk.numbered(docs.select(*given))
+    total = plain.agg(F.sum(text_bytes(c["text"])).alias("b")).first()["b"] or 0
     bits = min(WORD_BITS, max(4, math.ceil(math.log2(max(1.0, total / limit))) + 5))
-    rows = _keyed(docs).withColumn("_up", F.lit(""))
+    rows = _keyed(plain, c).withColumn("_up", F.lit(""))
     done = None
     at = 0
     while at < 3 * WORD_BITS:
         word, lo = f"w{at // WORD_BITS}", at % WORD_BITS
+        if word == "w2" and lo == 0:  # rows equal in all: their place, written down so that it stays
+            path = scratch_path(docs.sparkSession, "shard-equal")
+            place = _word(F.monotonically_increasing_id().cast("string"))
+            rows.withColumn("_key", F.struct(place.alias("w2"))).write.parquet(path)
+            rows = docs.sparkSession.read.parquet(path)
         n = min(bits, WORD_BITS - lo)
         leaves, over = directory(rows, limit, word, lo, n)
         last = at + n >= 3 * WORD_BITS
@@ -100,7 +107,7 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         table = named.select("_up", "shard", "bytes", F.explode(F.expr(
             f"sequence(shiftleft(prefix, {n} - depth), shiftleft(prefix + 1, {n} - depth) - 1)")).alias("_cell"))
         placed = rows.withColumn("_cell", cell).join(table, ["_up", "_cell"], "inner").select(
-            *given, "shard", F.length("shard").alias("shard_depth"), F.col("bytes").alias("shard_bytes"))
+            *[F.col(n).alias(x) for x, n in c.items()], "shard", F.length("shard").alias("shard_depth"), F.col("bytes").alias("shard_bytes"))
         done = placed if done is None else done.unionByName(placed)
         if last or over.isEmpty():
             break

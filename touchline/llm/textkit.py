@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns renamed by place, and the new name of each, so
+    that a stage's own columns cannot clash with those of its input."""
+    names = {c: f"given_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words of a text column (0 for null), on the JVM."""
     c = F.col(text) if isinstance(text, str) else text
