@@ -206,7 +206,7 @@ def q_season_refresh(spark, sf_dir):
             + [(h, s(c)) for h, c in _STAT_HEADERS + _ODDS_HEADERS]
             + [("HHW", s("hhw")), ("AHW", s("ahw")), ("HO", s("ho")), ("AO", s("ao"))])
     write_season_csv(cur, landed, cols, encoding="UTF-8", by_season=False)
-    t = refresh_season(spark, landed, table)
+    t = refresh_season(spark, landed, table, latest)
     return t.groupBy("season_year").agg(F.count(F.lit(1)).alias("n"), F.min("match_date").alias("first_date"),
                                         F.max("match_date").alias("last_date"))
 
@@ -293,37 +293,64 @@ def q_auc(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- models
-# Registered model queries use small settings (few trees / rounds, 3 trials)
-# so a check finishes in minutes; the published settings are parameters of
-# touchline.plans.models (VoteParams, random_search(trials=50), 5 folds).
-SMOKE = dict(tree_n_estimators=20, tree_max_depth=8, xgb_n_estimators=5, xgb_max_depth=3,
-             cat_iterations=5, cat_depth=3)
+# All fits use the whole train split and parameters inside the published
+# ranges.  The search and its refit run the first SEARCH trials of the 50 drawn
+# ones on SEARCH_FOLDS folds (README, "Model queries", has the figures).
+SEARCH = 1
+SEARCH_FOLDS = 2
+
+
+def _memo(spark, sf_dir, name, make):
+    """One result per application, table folder and name."""
+    from touchline.session import session_key
+    key = (name, session_key(spark), sf_dir.rstrip("/"))
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
+def _written(spark, df, name):
+    from touchline.session import scratch_path
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return path
 
 
 def _importance(spark, sf_dir):
     """Forest importance of all 159 features on the train split (one fit per session)."""
     from touchline.plans import models as ml
     from touchline.schema import feature_names
-    key = ("importance", id(spark), sf_dir)
-    if key not in _FITTED:
-        _FITTED[key] = ml.feature_importance(_train_rows(spark, sf_dir), feature_names()).cache()
-    return _FITTED[key]
+    return spark.read.parquet(_memo(spark, sf_dir, "importance", lambda: _written(
+        spark, ml.feature_importance(_train_rows(spark, sf_dir), feature_names()), "importance")))
 
 
 def _top(spark, sf_dir):
     from touchline.plans import models as ml
-    key = ("top", id(spark), sf_dir)
-    if key not in _FITTED:
-        _FITTED[key] = [r.feature for r in ml.top_features(_importance(spark, sf_dir)).collect()]
-    return _FITTED[key]
+    return _memo(spark, sf_dir, "top", lambda: [
+        r.feature for r in ml.top_features(_importance(spark, sf_dir)).orderBy("rank").collect()])
 
 
 def _vote(spark, sf_dir):
     from touchline.plans import models as ml
-    key = ("vote", id(spark), sf_dir)
-    if key not in _FITTED:
-        _FITTED[key] = ml.fit_vote(_train_rows(spark, sf_dir), _top(spark, sf_dir), ml.VoteParams(**SMOKE))
-    return _FITTED[key]
+    return _memo(spark, sf_dir, "vote", lambda: ml.fit_vote(
+        _train_rows(spark, sf_dir), _top(spark, sf_dir), ml.VoteParams()))
+
+
+def _vote_rows(spark, sf_dir):
+    """The fitted vote and its members on the test rows, written once."""
+    def make():
+        model = _vote(spark, sf_dir)
+        test = _test_rows(spark, sf_dir).select("match_id", "outcome", *model.features)
+        return _written(spark, model.transform(model.member_probs(test), members=False).drop(*model.features), "vote-rows")
+    return spark.read.parquet(_memo(spark, sf_dir, "vote-rows", make))
+
+
+def _sound(df, probs, *extra):
+    """Keys of predictions with what must hold for any fitted model: the
+    probabilities sum to 1, and the class is their arg-max."""
+    p = [F.col(c) for c in probs]
+    return df.select("match_id", "outcome", *extra, (F.abs(p[0] + p[1] + p[2] - 1) < 1e-9).alias("sums_to_one"),
+                     (F.col("predicted") == ev.argmax3(*p)).alias("is_argmax"))
 
 
 def q_feature_importance(spark, sf_dir):
@@ -344,34 +371,72 @@ def _test_rows(spark, sf_dir):
     return _split_features(spark, sf_dir).where(F.col("split") == "test").drop("split")
 
 
+def _member(spark, sf_dir, member):
+    rows = _vote_rows(spark, sf_dir)
+    probs = [F.col(f"p_{member}_{c}").alias(ev.P[c]) for c in range(3)]
+    out = rows.select("match_id", "outcome", *probs)
+    return out.withColumn("predicted", ev.argmax3(*[F.col(p) for p in ev.P]))
+
+
 def _member_query(member):
     def q(spark, sf_dir):
-        from touchline.plans import models as ml
-        return ml.member_predictions(_vote(spark, sf_dir), _test_rows(spark, sf_dir).select(
-            "match_id", "outcome", *_top(spark, sf_dir)), member).drop(*_top(spark, sf_dir))
+        return _member(spark, sf_dir, member)
+    return q
+
+
+def _member_check(member):
+    def q(spark, sf_dir):
+        return _sound(_member(spark, sf_dir, member), ev.P)
     return q
 
 
 def q_vote_predict(spark, sf_dir):
-    model = _vote(spark, sf_dir)
-    return model.transform(_test_rows(spark, sf_dir).select("match_id", "outcome", *model.features)) \
-        .drop(*model.features)
+    return _vote_rows(spark, sf_dir).select("match_id", "outcome", *ev.P, "predicted")
+
+
+def q_vote_check(spark, sf_dir):
+    """Keys of the fitted vote's predictions, and whether each probability is
+    the mean of the three members'."""
+    rows = _vote_rows(spark, sf_dir)
+    mean = F.lit(True)
+    for c in range(3):
+        m = (F.col(f"p_tree_{c}") + F.col(f"p_xgb_{c}") + F.col(f"p_cat_{c}")) / 3
+        mean = mean & (F.abs(F.col(ev.P[c]) - m) < 1e-9)
+    return _sound(rows, ev.P, mean.alias("is_mean"))
+
+
+def _of_vote(table):
+    """A query that evaluates the fitted vote on the test rows."""
+    def q(spark, sf_dir):
+        return table(q_vote_predict(spark, sf_dir))
+    return q
+
+
+def q_vote_log_loss(spark, sf_dir):
+    from touchline.plans import models as ml
+    return ml.log_loss(q_vote_predict(spark, sf_dir))
 
 
 def q_cv_score(spark, sf_dir):
     from touchline.plans import models as ml
-    folds = prep.stratified_folds(_train_rows(spark, sf_dir), k=5)
-    acc = ml.cv_accuracy(folds, _top(spark, sf_dir), ml.VoteParams(**SMOKE))
-    return spark.createDataFrame([(5, acc)], "folds int, cv_accuracy double")
+    folds = prep.stratified_folds(_train_rows(spark, sf_dir), k=ml.FOLDS)
+    acc = ml.cv_accuracy(folds, _top(spark, sf_dir), ml.VoteParams(), parallelism=ml.FOLDS)
+    return spark.createDataFrame([(ml.FOLDS, acc)], "folds int, cv_accuracy double")
+
+
+def q_search_parameters(spark, sf_dir):
+    """ML-10: the parameters of all 50 trials, with the rows each fold trains on."""
+    from touchline.plans import models as ml
+    folds = prep.stratified_folds(_train_rows(spark, sf_dir).select("match_id", "outcome"), k=ml.FOLDS)
+    per = folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    least = per.agg(F.sum("n") - F.max("n")).first()[0]  # one scalar
+    return ml.trial_parameters(spark).withColumn("least_fit_rows", F.lit(least).cast("long"))
 
 
 def q_search_trials(spark, sf_dir):
     from touchline.plans import models as ml
-    key = ("trials", id(spark), sf_dir)
-    if key not in _FITTED:
-        folds = prep.stratified_folds(_train_rows(spark, sf_dir), k=2)
-        _FITTED[key] = ml.random_search(folds, _top(spark, sf_dir), trials=3, seed=42, scale=0.02).cache()
-    return _FITTED[key]
+    return spark.read.parquet(_memo(spark, sf_dir, "trials", lambda: _written(spark, ml.random_search(
+        prep.stratified_folds(_train_rows(spark, sf_dir), k=SEARCH_FOLDS), _top(spark, sf_dir), trials=SEARCH), "trials")))
 
 
 def q_best_model(spark, sf_dir):
@@ -390,9 +455,9 @@ def q_best_model(spark, sf_dir):
     acc = ev.accuracy(pred).first()["accuracy"]
     ll = ml.log_loss(pred).first()["log_loss"]
     major = test.groupBy("outcome").count().orderBy(F.col("count").desc()).first()["count"] / test.count()
-    return spark.createDataFrame([(best["trial"], best["cv_accuracy"], acc, ll, major, path)],
+    return spark.createDataFrame([(best["trial"], best["cv_accuracy"], acc, ll, major)],
                                  "trial int, cv_accuracy double, test_accuracy double, log_loss double, "
-                                 "majority_rate double, model_path string")
+                                 "majority_rate double")
 
 
 def q_score_fixtures(spark, sf_dir):
@@ -422,6 +487,42 @@ def q_score_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def q_score_fixtures_check(spark, sf_dir):
+    """The columns of ``score_fixtures`` that do not depend on the fit."""
+    out = q_score_fixtures(spark, sf_dir)
+    return out.select("home_team", "away_team", "match_date", "summary", F.col("prediction").isNotNull().alias("scored"))
+
+
+def q_score_stream_check(spark, sf_dir):
+    """The columns of ``score_stream`` that do not depend on the fit."""
+    out = q_score_stream(spark, sf_dir)
+    return out.select(F.coalesce("home_input", F.lit("")).alias("home_input"), "away_input", "status", "home_team",
+                      "away_team", "match_date", F.col("prediction").isNotNull().alias("scored"))
+
+
+def q_season_refresh_guard(spark, sf_dir):
+    """SNK-1: a landed file with a stray row of another season is refused and
+    the table stays as it was."""
+    from touchline.session import scratch_path
+    from touchline.sources.seasons import land_seasons, refresh_season, write_season_csv
+    root = _land_raw_seasons(spark, sf_dir)
+    table = scratch_path(spark, "season-table")
+    full = land_seasons(spark, root, table)
+    latest = full.agg(F.max("season_year")).first()[0]
+    landed = scratch_path(spark, "landed")
+    stray = adapter.matches(spark, sf_dir).where(F.col("season_year") >= latest - 1)
+    write_season_csv(stray, landed, [("Date", F.date_format("match_date", "dd/MM/yyyy")), *[
+        (h, F.col(c)) for h, c in (("HomeTeam", "home_team"), ("AwayTeam", "away_team"), ("FTR", "ftr"))]],
+        encoding="UTF-8", by_season=False)
+    try:
+        refresh_season(spark, landed, table, latest)
+        refused = False
+    except ValueError:
+        refused = True
+    return spark.read.parquet(table).groupBy("season_year").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "refused", F.lit(refused))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: the 159-column training feature table at sf0.001."""
     return q_training_features(spark, SMOKE_DIR)
@@ -468,11 +569,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "boost_a_predict": _member_query("xgb"),
         "boost_b_predict": _member_query("cat"),
         "vote_predict": q_vote_predict,
+        "forest_check": _member_check("tree"),
+        "boost_a_check": _member_check("xgb"),
+        "boost_b_check": _member_check("cat"),
+        "vote_check": q_vote_check,
+        "vote_accuracy": _of_vote(ev.accuracy),
+        "vote_report": _of_vote(ev.class_report),
+        "vote_confusion": _of_vote(ev.confusion),
+        "vote_roc_points": _of_vote(ev.roc_points),
+        "vote_auc": _of_vote(ev.auc),
+        "vote_log_loss": q_vote_log_loss,
+        "search_parameters": q_search_parameters,
         "cv_score": q_cv_score,
         "search_trials": q_search_trials,
         "best_model": q_best_model,
         "score_fixtures": q_score_fixtures,
         "score_stream": q_score_stream,
+        "score_fixtures_check": q_score_fixtures_check,
+        "score_stream_check": q_score_stream_check,
+        "season_refresh_guard": q_season_refresh_guard,
         **more,
     }
 
@@ -515,5 +630,11 @@ def oracle_sql() -> dict[str, str]:
         "confusion": msql.confusion(),
         "roc_points": msql.roc_points(),
         "auc": msql.auc(),
+        **{f"{m}_check": msql.sound() for m in ("forest", "boost_a", "boost_b")},
+        "vote_check": msql.sound(", TRUE AS is_mean"),
+        "search_parameters": msql.search_parameters(),
+        "score_fixtures_check": ssql.score_fixtures_check(),
+        "score_stream_check": ssql.score_stream_check(),
+        "season_refresh_guard": ssql.season_refresh_guard(),
         **more,
     }

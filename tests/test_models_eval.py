@@ -47,20 +47,20 @@ def test_confusion_report_accuracy(spark):
 
 def test_auc_equals_pair_count(spark):
     rows, df = _preds(spark)
-    got = {r["class"]: r.auc for r in ev.auc(df, buckets=8).collect()}
+    got = {r["class"]: r.auc for r in ev.auc(df).collect()}
     for c in range(3):
         pos = [r[2 + c] for r in rows if r[1] == c]
         neg = [r[2 + c] for r in rows if r[1] != c]
         wins = sum(1.0 if p > q else 0.5 if p == q else 0.0 for p in pos for q in neg)
         assert got[c] == pytest.approx(wins / (len(pos) * len(neg)), abs=1e-12)
-    pts = ev.roc_points(df, buckets=8).where(F.col("class") == 0).orderBy(F.col("threshold").desc_nulls_first())
+    pts = ev.roc_points(df).where(F.col("class") == 0).orderBy(F.col("threshold").desc_nulls_first())
     tprs = [r.tpr for r in pts.collect()]
     assert tprs[0] == 0 and tprs[-1] == 1 and tprs == sorted(tprs)
 
 
 def test_folds_are_stratified(spark):
     rows, df = _preds(spark, n=500)
-    folds = prep.stratified_folds(df.select("match_id", "outcome"), k=5, buckets=16).collect()
+    folds = prep.stratified_folds(df.select("match_id", "outcome"), k=5, bucket_rows=32).collect()
     assert len(folds) == 500 and len({r.match_id for r in folds}) == 500
     for c in range(3):
         sizes = [sum(1 for r in folds if r.outcome == c and r.fold == f) for f in range(5)]
@@ -95,4 +95,29 @@ def test_standardise_uses_train_statistics(spark):
     assert out.a == pytest.approx((3.0 - mean) / std)
     assert out.b == pytest.approx(7.0 - 5.0)  # zero deviation scales by 1
     stats = {r.feature: r for r in prep.standardise_stats(train, ["a", "b"]).collect()}
-    assert stats["a"].mean == 3.0 and stats["a"].std == pytest.approx(round(std, 6)) and stats["b"].std == 0
+    assert stats["a"].mean == 3.0 and stats["a"].std == pytest.approx(std) and stats["b"].std == 0
+
+
+def test_folds_keep_rows_without_a_label(spark):
+    df = spark.createDataFrame([(1, 0), (2, None), (3, 0), (4, 1), (5, None)], "match_id long, outcome int")
+    assert sorted(r.match_id for r in prep.stratified_folds(df, k=2).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_seed_decides_the_split(spark):
+    """80/20 splits by two seeds differ on 2 * 0.8 * 0.2 = 32 % of the rows."""
+    ids = spark.range(20_000).select(F.col("id").alias("match_id"))
+    splits = [{r.match_id: r.split for r in prep.train_test_split(ids, seed=s).collect()} for s in (42, 43, 1042)]
+    for s in splits:
+        assert abs(sum(v == "test" for v in s.values()) / 20_000 - 0.2) < 0.01
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        assert abs(sum(splits[a][i] != splits[b][i] for i in splits[a]) / 20_000 - 0.32) < 0.02
+
+
+def test_trial_parameters_lie_in_the_published_ranges(spark):
+    rows = ml.trial_parameters(spark).collect()
+    assert len(rows) == 50 and len({tuple(r) for r in rows}) == 50
+    for name, (lo, hi) in {**ml.INT_RANGES, **ml.REAL_RANGES}.items():
+        v = [r[name] for r in rows]
+        assert lo <= min(v) and max(v) <= hi and max(v) - min(v) > 0.6 * (hi - lo)
+    for name, (lo, hi) in ml.INT_RANGES.items():
+        assert lo <= getattr(ml.VoteParams(), name) <= hi

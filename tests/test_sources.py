@@ -92,7 +92,7 @@ def test_refresh_replaces_only_landed_season(spark, season_dir):
         "Date,HomeTeam,AwayTeam,FTR,FTHG,FTAG",
         "20/08/2021,Arsenal,Chelsea,A,0,2",
     ], encoding="utf-8")
-    out = refresh_season(spark, landed, table)
+    out = refresh_season(spark, landed, table, 2021)
     by_season = {r.season_year: r.n for r in out.groupBy("season_year").agg(F.count("*").alias("n")).collect()}
     assert by_season == {1993: 1, 2000: 1, 2021: 1}
 
@@ -110,7 +110,7 @@ def test_file_order_does_not_matter(spark, season_dir):
     for src, dst in (("s1.csv", "z_first.csv"), ("s2.csv", "a_second.csv")):
         with open(os.path.join(season_dir, src), "rb") as f, open(os.path.join(other, dst), "wb") as g:
             g.write(f.read())
-    cols = [c for c in read_seasons(spark, season_dir).columns if c != "match_id"]
+    cols = read_seasons(spark, season_dir).columns  # the ids too
     a = sorted(tuple(r) for r in read_seasons(spark, season_dir).select(*cols).collect())
     b = sorted(tuple(r) for r in read_seasons(spark, other).select(*cols).collect())
     assert a == b and len(a) == 5
@@ -134,3 +134,69 @@ def test_date_text_variants_and_season_start(spark):
     days = spark.createDataFrame([(dt.date(2021, 7, 31),), (dt.date(2021, 8, 1),), (dt.date(2022, 1, 5),)], "d date")
     assert [r.s for r in days.select(season_year("d").alias("s")).collect()] == [2020, 2021, 2021]
     assert [r.s for r in days.select(season_year("d", 1).alias("s")).collect()] == [2021, 2021, 2022]
+
+
+ROW = "20/08/2021,Arsenal,Chelsea,{},1,0"
+HEAD = "Date,HomeTeam,AwayTeam,FTR,FTHG,FTAG"
+
+
+def _folder(lines, name="a.csv"):
+    d = tempfile.mkdtemp(prefix="seasons-")
+    _write(d, name, lines)
+    return d
+
+
+def test_repeated_lines_are_rows_of_their_own(spark):
+    from touchline.plans.features import training_features
+    days = [f"{d}/08/2021,Arsenal,Chelsea,H,1,0" for d in (20, 21, 22, 22, 23)]
+    df = load_seasons(spark, _folder([HEAD, *days]))
+    assert df.count() == 5 and df.select("match_id").distinct().count() == 5
+    assert training_features(df, keep_cold_start=True).count() == 5
+
+
+def test_ids_do_not_depend_on_the_landing_path(spark):
+    table = tempfile.mkdtemp(prefix="table-") + "/t"
+    old = _folder([HEAD, "20/08/2020,Arsenal,Leeds,A,0,1", ROW.format("H"), ROW.format("H")])
+    first = {tuple(r) for r in land_seasons(spark, old, table).select("match_id", "match_date").collect()}
+    again = refresh_season(spark, _folder([HEAD, ROW.format("H"), ROW.format("H")], "z.csv"), table, 2021)
+    assert {tuple(r) for r in again.select("match_id", "match_date").collect()} == first and len(first) == 3
+
+
+def test_refresh_refuses_rows_of_another_season(spark):
+    table = tempfile.mkdtemp(prefix="table-") + "/t"
+    full = land_seasons(spark, _folder([HEAD] + [f"{d}/09/2019,Arsenal,Leeds,H,1,0" for d in range(1, 5)]
+                                       + [ROW.format("H")]), table)
+    before = sorted(map(tuple, full.select("match_id").collect()))
+    for landed in (_folder([HEAD, ROW.format("A"), "1/9/2019,Arsenal,Leeds,H,1,0"]), _folder([HEAD])):
+        with pytest.raises(ValueError):
+            refresh_season(spark, landed, table, 2021)
+    assert sorted(map(tuple, spark.read.parquet(table).select("match_id").collect())) == before
+
+
+def test_header_without_date_raises(spark):
+    d = _folder([HEAD, ROW.format("H")])
+    _write(d, "b.csv", [HEAD.replace("Date", "Datum"), ROW.format("H")])
+    for strict in (False, True):
+        with pytest.raises(ValueError, match="Datum"):
+            read_seasons(spark, d, strict=strict)
+
+
+def test_unknown_result_raises(spark):
+    with pytest.raises(Exception, match="unknown result"):
+        read_seasons(spark, _folder([HEAD, ROW.format("H"), ROW.format("X")])).collect()
+
+
+def test_headers_take_one_job(spark):
+    """The number of jobs does not depend on the number of files."""
+    from touchline.sources.seasons import headers
+    jobs = []
+    for n in (1, 6):
+        d = tempfile.mkdtemp(prefix="seasons-")
+        for i in range(n):
+            _write(d, f"s{i}.csv", [HEAD, ROW.format("H")])
+        sc = spark.sparkContext
+        sc.setJobGroup(f"headers-{n}", "headers")
+        assert [len(v) for v in headers(spark, d).values()] == [n]
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"headers-{n}")))
+        sc.setJobGroup("", "")
+    assert jobs[0] == jobs[1]

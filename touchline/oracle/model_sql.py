@@ -4,9 +4,24 @@ evaluation tables."""
 from __future__ import annotations
 
 from touchline.oracle.sql import training_ctes
+from touchline.plans.models import INT_RANGES, REAL_RANGES
 from touchline.schema import CLASS_NAMES, feature_names
 
-PH = "((((match_id % 2147483648) + 2147483648) % 2147483648) * 1103515245 + 12387) % 2147483648"
+M31 = 2147483648
+
+
+def hash31(seed: int, c: str = "match_id") -> str:
+    """The 31-bit hash of an id and a seed, in SQL."""
+    low = f"((({c}) % {M31} + {M31}) % {M31})"
+    high = f"(((({c}) - {low}) // {M31}) % {M31} + {M31}) % {M31}"
+    h = f"xor(xor({low}, (({high}) * 1540483477) % {M31}), {(seed * 2654435769 + 12345) % M31})"
+    for mult, shift in ((1103515245, 15), (1540483477, 13), (1664525061, 16)):
+        t = f"((({h}) * {mult}) % {M31})"
+        h = f"list_reduce([{t}, 0], lambda x, y: xor(x, x >> {shift}))"
+    return h
+
+
+PH = hash31(42)
 PCT = f"(CAST(FLOOR(({PH}) / 65536) AS BIGINT) % 100)"
 SPLIT = f"(CASE WHEN {PCT} < 80 THEN 'train' ELSE 'test' END)"
 
@@ -50,7 +65,7 @@ def time_split() -> str:
 
 def stratified_folds() -> str:
     return training_ctes() + (
-        f", tr AS (SELECT match_id, outcome, ({PH}) % 1024 AS b FROM tf WHERE {SPLIT} = 'train')"
+        f", tr AS (SELECT match_id, outcome, {PH} AS b FROM tf WHERE {SPLIT} = 'train')"
         " SELECT match_id, outcome, CAST((ROW_NUMBER() OVER (PARTITION BY outcome ORDER BY b, match_id) - 1) % 5"
         " AS INTEGER) AS fold FROM tr")
 
@@ -63,7 +78,7 @@ def class_weights() -> str:
 
 def standardise() -> str:
     items = ", ".join(
-        f"{{'feature': '{f}', 'ord': {i}, 'mean': ROUND(AVG({f}), 6), 'std': ROUND(STDDEV_POP({f}), 6)}}"
+        f"{{'feature': '{f}', 'ord': {i}, 'mean': AVG({f}), 'std': STDDEV_POP({f})}}"
         for i, f in enumerate(feature_names()))
     return training_ctes() + (
         f", agg AS (SELECT [{items}] AS l FROM tf WHERE {SPLIT} = 'train')"
@@ -146,3 +161,27 @@ def auc() -> str:
         " SELECT CAST(class AS INTEGER) AS class, CASE WHEN MAX(P) > 0 AND MAX(N) > 0 THEN "
         "CAST(SUM(pos * (2 * (N - fp) + neg)) AS DOUBLE) / (2e0 * MAX(P) * MAX(N)) END AS auc "
         "FROM pts WHERE threshold IS NOT NULL GROUP BY class")
+
+
+def sound(more: str = "") -> str:
+    """Keys of the test rows with the flags that hold for any fitted model."""
+    return training_ctes() + (f" SELECT match_id, outcome{more}, TRUE AS sums_to_one, TRUE AS is_argmax "
+                              f"FROM tf WHERE {SPLIT} = 'test'")
+
+
+def search_parameters() -> str:
+    """The 50 draws, from the ranges as published."""
+    names = [*INT_RANGES, *REAL_RANGES]
+    cols = []
+    for i, name in enumerate(names):
+        h = hash31(42, f"(trial * {len(names)} + {i})")
+        lo, hi = INT_RANGES.get(name) or REAL_RANGES[name]
+        if name in INT_RANGES:
+            cols.append(f"CAST({lo} + CAST(FLOOR(({h}) / 256) AS BIGINT) % {hi - lo + 1} AS INTEGER) AS {name}")
+        else:
+            cols.append(f"{lo!r}::DOUBLE + CAST({h} AS DOUBLE) / 2147483648e0 * ({hi!r}::DOUBLE - {lo!r}::DOUBLE) AS {name}")
+    return training_ctes() + (
+        ", tr AS (SELECT COUNT(*) AS c, outcome FROM tf WHERE " + SPLIT + " = 'train' GROUP BY outcome)"
+        ", sz AS (SELECT SUM(c) - SUM(CAST(CEIL(c / 5e0) AS BIGINT)) AS least_fit_rows FROM tr)"
+        f" SELECT CAST(trial AS INTEGER) AS trial, {', '.join(cols)}, CAST(least_fit_rows AS BIGINT) AS least_fit_rows "
+        "FROM range(50) t(trial), sz")

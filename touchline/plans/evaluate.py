@@ -7,7 +7,7 @@ driver-side arrays.  Charts of the reference are replaced by these tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.prefix import running_totals
@@ -131,14 +131,26 @@ def _score_groups(pred: DataFrame, y: str) -> DataFrame:
         F.count(F.when(F.col("_y") != F.col("class"), 1)).alias("neg"))
 
 
-def roc_points(pred: DataFrame, y: str = "outcome", buckets: int = 1024) -> DataFrame:
+def _score_buckets(g: DataFrame, rows: int = 4096, cells: int = 1 << 20) -> DataFrame:
+    """Adds ``bucket`` to the distinct scores: consecutive ranges of about
+    ``rows`` of them per class, in descending order.  The scores are counted
+    in fixed value cells (a bounded table, whatever the number of rows) and the
+    running count of the cells before gives the bucket, so buckets follow the
+    density of the scores and their number the number of rows."""
+    g = g.withColumn("_cell", F.floor((F.lit(1.0) - F.col("score")) * F.lit(cells)).cast("long"))
+    per = g.groupBy("class", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("class").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("class", "_cell", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(rows))
+                     .cast("long").alias("bucket"))
+    return g.join(per, ["class", "_cell"]).drop("_cell")
+
+
+def roc_points(pred: DataFrame, y: str = "outcome") -> DataFrame:
     """EV-4: one-vs-rest ROC points per class: for every distinct score t
     (descending) the counts with score >= t; plus the origin (threshold null).
-    Running counts use bucketed prefix sums (scores are probabilities in
-    [0, 1], bucketed by value), so no window spans a whole class."""
+    Running counts use bucketed prefix sums, so no window spans a whole class."""
     g = _score_groups(pred, y)
-    bucket = F.floor((F.lit(1.0) - F.col("score")) * F.lit(buckets)).cast("int")
-    cum = running_totals(g, ["class"], bucket, [F.col("score").desc()], ["pos", "neg"])
+    cum = running_totals(_score_buckets(g), ["class"], F.col("bucket"), [F.col("score").desc()], ["pos", "neg"])
     tot = g.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     pts = cum.join(F.broadcast(tot), "class").select(
         "class", F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
@@ -153,11 +165,11 @@ def roc_points(pred: DataFrame, y: str = "outcome", buckets: int = 1024) -> Data
                        "pos", "neg", "P", "N")
 
 
-def auc(pred: DataFrame, y: str = "outcome", buckets: int = 1024) -> DataFrame:
+def auc(pred: DataFrame, y: str = "outcome") -> DataFrame:
     """EV-5: area under each class's ROC curve.  The trapezoid area equals the
     tie-corrected rank statistic  sum_t pos_t * (2 * neg_below_t + neg_t) / (2PN),
     which is an integer sum, so the result does not depend on summation order."""
-    pts = roc_points(pred, y, buckets).where(F.col("threshold").isNotNull())
+    pts = roc_points(pred, y).where(F.col("threshold").isNotNull())
     num = F.sum(F.col("pos") * (F.lit(2) * (F.col("N") - F.col("fp")) + F.col("neg")))
     return pts.groupBy("class").agg(num.alias("_num"), F.max("P").alias("P"), F.max("N").alias("N")).select(
         "class", F.when((F.col("P") > 0) & (F.col("N") > 0),

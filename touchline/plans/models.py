@@ -15,9 +15,8 @@ trials (as ``CrossValidator`` does) and holds the fitted model objects.
 from __future__ import annotations
 
 import json
-import random
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 
 from pyspark.ml.classification import (GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassificationModel,
                                        RandomForestClassifier)
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.columns import label_text, pct_text
 from touchline.plans.evaluate import P, argmax3
-from touchline.plans.prep import with_weights
+from touchline.plans.prep import portable_hash, with_weights
 from touchline.schema import TOP_K_FEATURES
 
 VEC = "features_vec"
@@ -42,10 +41,11 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- ML-3
-def feature_importance(train: DataFrame, features: list[str], num_trees: int = 100, max_depth: int = 10,
+def feature_importance(train: DataFrame, features: list[str], num_trees: int = 100, max_depth: int = 30,
                        seed: int = 42) -> DataFrame:
-    """(feature, importance) from a random forest fit, sorted by importance
-    (name breaks ties).  The importance vector has one value per feature."""
+    """(feature, importance) from a random forest fit.  The published forest
+    grows its trees fully; 30 is the deepest tree that Spark ML allows.  The
+    importance vector has one value per feature."""
     rf = RandomForestClassifier(labelCol=LABEL, featuresCol=VEC, numTrees=num_trees, maxDepth=max_depth,
                                 seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True)
     data = assemble(train, features).persist()  # read by several passes of the fit
@@ -75,44 +75,64 @@ def importance_report(importance: DataFrame, n: int = 20) -> DataFrame:
 
 
 # ---------------------------------------------------------------- members
+# The published search ranges.  Forest depths of 31 to 50 do not
+# exist in Spark ML, so its range ends at 30; a smallest split size has no
+# counterpart there and is not drawn.
+INT_RANGES = {
+    "tree_n_estimators": (50, 500), "tree_max_depth": (5, 30), "tree_min_samples_leaf": (1, 5),
+    "xgb_n_estimators": (50, 200), "xgb_max_depth": (3, 7), "cat_iterations": (100, 500), "cat_depth": (3, 8),
+}
+REAL_RANGES = {
+    "xgb_learning_rate": (0.01, 0.2), "xgb_subsample": (0.7, 1.0), "xgb_colsample_bytree": (0.7, 1.0),
+    "cat_learning_rate": (0.05, 0.1),
+}
+TRIALS = 50
+FOLDS = 5
+
+
 @dataclass
 class VoteParams:
-    """One point of the published search space; defaults are small mid-range values."""
-    tree_n_estimators: int = 100
-    tree_max_depth: int = 10
-    tree_min_samples_split: int = 2
+    """One point of the published search space; the defaults are its cheapest
+    corner (fewest trees and rounds, least depth) with mid-range rates."""
+    tree_n_estimators: int = 50
+    tree_max_depth: int = 5
     tree_min_samples_leaf: int = 1
-    xgb_n_estimators: int = 20
-    xgb_max_depth: int = 4
+    xgb_n_estimators: int = 50
+    xgb_max_depth: int = 3
     xgb_learning_rate: float = 0.1
     xgb_subsample: float = 0.9
     xgb_colsample_bytree: float = 0.9
-    cat_iterations: int = 20
-    cat_depth: int = 4
+    cat_iterations: int = 100
+    cat_depth: int = 3
     cat_learning_rate: float = 0.08
     seed: int = 42
-    extra: dict = field(default_factory=dict)
 
     @staticmethod
-    def sample(rng: random.Random, scale: float = 1.0) -> "VoteParams":
-        """Uniform draw from the published ranges; ``scale`` < 1 shrinks tree
-        counts and depth for quick runs (never below the range minimum)."""
-        def ri(lo, hi):
-            v = rng.randint(lo, hi)
-            return max(lo if scale >= 1 else 1, int(round(v * scale)))
-        return VoteParams(
-            tree_n_estimators=ri(50, 500), tree_max_depth=min(30, ri(5, 50)),
-            tree_min_samples_split=rng.randint(2, 20), tree_min_samples_leaf=rng.randint(1, 5),
-            xgb_n_estimators=ri(50, 200), xgb_max_depth=rng.randint(3, 7),
-            xgb_learning_rate=rng.uniform(0.01, 0.2), xgb_subsample=rng.uniform(0.7, 1.0),
-            xgb_colsample_bytree=rng.uniform(0.7, 1.0),
-            cat_iterations=ri(100, 500), cat_depth=rng.randint(3, 8), cat_learning_rate=rng.uniform(0.05, 0.1))
+    def drawn(row) -> "VoteParams":
+        """The parameters of one row of :func:`trial_parameters`."""
+        return VoteParams(**{k: row[k] for k in (*INT_RANGES, *REAL_RANGES)})
+
+
+def trial_parameters(spark: SparkSession, trials: int = TRIALS, seed: int = 42) -> DataFrame:
+    """ML-10: the seeded draws of the search, one row per trial, uniform over
+    the published ranges; plain integer arithmetic, so any engine draws alike."""
+    t = spark.range(trials).select(F.col("id").cast("int").alias("trial"))
+    names = [*INT_RANGES, *REAL_RANGES]
+    cols = []
+    for i, name in enumerate(names):
+        h = portable_hash(F.col("trial").cast("long") * len(names) + i, seed)
+        if name in INT_RANGES:
+            lo, hi = INT_RANGES[name]
+            cols.append((F.lit(lo) + F.floor(h / 256) % (hi - lo + 1)).cast("int").alias(name))
+        else:
+            lo, hi = REAL_RANGES[name]
+            cols.append((F.lit(lo) + h.cast("double") / 2147483648.0 * (hi - lo)).alias(name))
+    return t.select("trial", *cols)
 
 
 def _forest(p: VoteParams) -> RandomForestClassifier:
-    # min_samples_split has no Spark equivalent; min_samples_leaf -> minInstancesPerNode
     return RandomForestClassifier(labelCol=LABEL, featuresCol=VEC, weightCol="weight",
-                                  numTrees=p.tree_n_estimators, maxDepth=min(30, p.tree_max_depth),
+                                  numTrees=p.tree_n_estimators, maxDepth=p.tree_max_depth,
                                   minInstancesPerNode=p.tree_min_samples_leaf, seed=p.seed,
                                   featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True,
                                   probabilityCol="prob_tree",
@@ -164,9 +184,10 @@ class VoteModel:
         cols += [a[c].alias(f"p_xgb_{c}") for c in range(3)] + [b[c].alias(f"p_cat_{c}") for c in range(3)]
         return x.select(*df.columns, *cols)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Soft vote: mean of the three members, arg-max class."""
-        x = self.member_probs(df)
+    def transform(self, df: DataFrame, members: bool = True) -> DataFrame:
+        """Soft vote: mean of the three members, arg-max class.  With
+        ``members=False`` the rows carry the members' columns already."""
+        x = self.member_probs(df) if members else df
         probs = [((F.col(f"p_tree_{c}") + F.col(f"p_xgb_{c}") + F.col(f"p_cat_{c}")) / 3.0).alias(P[c])
                  for c in range(3)]
         out = x.select(*df.columns, *probs)
@@ -204,6 +225,8 @@ def load_feature_list(spark: SparkSession, path: str) -> list[str]:
 def fit_vote(train: DataFrame, features: list[str], params: VoteParams | None = None) -> VoteModel:
     """Fit the three members on the same rows (ML-4..ML-7, ML-11)."""
     p = params or VoteParams()
+    train = train.select(LABEL, *features).persist()  # the class counts read it too
+    train.count()
     data = assemble(with_weights(train, LABEL), features).persist()
     try:
         with ThreadPoolExecutor(max_workers=3) as pool:
@@ -211,6 +234,7 @@ def fit_vote(train: DataFrame, features: list[str], params: VoteParams | None =
             forest, a, b = (f.result() for f in fs)
     finally:
         data.unpersist()
+        train.unpersist()
     return VoteModel(list(features), forest, a, b, p)
 
 
@@ -244,19 +268,14 @@ def cv_accuracy(train_with_folds: DataFrame, features: list[str], params: VotePa
     return float(sum(scores) / len(scores))
 
 
-def random_search(train_with_folds: DataFrame, features: list[str], trials: int = 50, seed: int = 42,
-                  scale: float = 1.0) -> DataFrame:
+def random_search(train_with_folds: DataFrame, features: list[str], trials: int = TRIALS, seed: int = 42) -> DataFrame:
     """ML-10: seeded random search over the published ranges, each trial
     scored by CV accuracy; returns the trial table (ML-13)."""
-    rng = random.Random(seed)
     data = train_with_folds.persist()
     rows = []
-    for t in range(trials):
-        p = VoteParams.sample(rng, scale)
-        acc = cv_accuracy(data, features, p)
-        d = asdict(p)
-        d.pop("extra")
-        rows.append((t, json.dumps(d), acc))
+    for r in trial_parameters(data.sparkSession, trials, seed).orderBy("trial").collect():  # a row per trial
+        p = VoteParams.drawn(r)
+        rows.append((r["trial"], json.dumps(asdict(p)), cv_accuracy(data, features, p)))
     data.unpersist()
     spark = train_with_folds.sparkSession
     return spark.createDataFrame(rows, "trial int, params string, cv_accuracy double")
@@ -286,5 +305,5 @@ def log_loss(pred: DataFrame, y: str = LABEL) -> DataFrame:
 
 
 __all__ = ["assemble", "feature_importance", "top_features", "VoteParams", "VoteModel", "fit_vote",
-           "member_predictions", "cv_accuracy", "random_search", "best_trial", "score_fixtures",
+           "member_predictions", "cv_accuracy", "random_search", "trial_parameters", "best_trial", "score_fixtures",
            "save_feature_list", "load_feature_list", "log_loss"]

@@ -9,16 +9,28 @@ from pyspark.sql import functions as F
 from touchline.operators.prefix import positions
 
 _M31 = 2147483648
-_MULT = 1103515245
-_INC = 12345
+#: Odd multipliers below 2^31 and shifts of the mixing rounds.
+_ROUNDS = ((1103515245, 15), (1540483477, 13), (1664525061, 16))
+
+
+def seed_word(seed: int) -> int:
+    """The seed spread over 31 bits."""
+    return (seed * 2654435769 + 12345) % _M31
 
 
 def portable_hash(id_col="match_id", seed: int = 42) -> Column:
-    """A 31-bit multiplicative hash of an integer id, written with plain
-    integer arithmetic so any SQL engine computes the same value (no
-    overflow: both factors are below 2^31)."""
+    """A 31-bit hash of a 64-bit integer id and a seed, written with plain
+    integer arithmetic so any SQL engine computes the same value (no overflow:
+    all factors are below 2^31).  Each round multiplies and folds the high
+    bits back by xor, so every bit of the seed reaches every bit of the result."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.pmod(F.pmod(c, F.lit(_M31)) * _MULT + F.lit(_INC + seed), F.lit(_M31))
+    low = F.pmod(c, F.lit(_M31))
+    high = F.pmod(((c - low) / F.lit(_M31)).cast("long"), F.lit(_M31))
+    h = low.bitwiseXOR(F.pmod(high * 1540483477, F.lit(_M31))).bitwiseXOR(F.lit(seed_word(seed)))
+    for mult, shift in _ROUNDS:
+        h = F.pmod(h * F.lit(mult), F.lit(_M31))
+        h = h.bitwiseXOR(F.shiftright(h, shift))
+    return h
 
 
 def hash_percent(id_col="match_id", seed: int = 42) -> Column:
@@ -40,15 +52,16 @@ def time_split(df: DataFrame, cutoff_date, date_col: str = "match_date") -> Data
 
 
 def stratified_folds(df: DataFrame, k: int = 5, label: str = "outcome", id_col: str = "match_id",
-                     buckets: int = 1024, seed: int = 42) -> DataFrame:
+                     bucket_rows: int = 4096, seed: int = 42) -> DataFrame:
     """ML-9: ``fold`` in 0..k-1, dealt round-robin within each class in a
-    fixed pseudo-random order (hash bucket, id), so every fold holds each class
-    in the same proportion (sizes differ by at most one).  The within-class
+    fixed pseudo-random order (hash, id), so every fold holds each class in
+    the same proportion (sizes differ by at most one).  The within-class
     position is computed with bucketed running counts, not one window per
-    class."""
-    bucket = F.pmod(portable_hash(id_col, seed), F.lit(buckets))
-    order = [F.pmod(portable_hash(id_col, seed), F.lit(buckets)), F.col(id_col)]
-    ranked = positions(df, [label], bucket, order, name="_pos")
+    class; the number of buckets follows the number of rows."""
+    buckets = max(1, -(-df.count() // bucket_rows))
+    h = portable_hash(id_col, seed)
+    bucket = F.floor(h * F.lit(buckets) / F.lit(_M31)).cast("long")
+    ranked = positions(df, [label], bucket, [h, F.col(id_col)], name="_pos")
     return ranked.withColumn("fold", F.pmod(F.col("_pos"), F.lit(k)).cast("int")).drop("_pos")
 
 
@@ -66,7 +79,7 @@ def with_weights(df: DataFrame, label: str = "outcome") -> DataFrame:
     return df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label, "left")
 
 
-def standardise_stats(train: DataFrame, features: list[str], digits: int = 6) -> DataFrame:
+def standardise_stats(train: DataFrame, features: list[str]) -> DataFrame:
     """ML-2: mean and population standard deviation per feature on the
     training rows; one row per feature (a single aggregate pass, unpivoted)."""
     aggs = []
@@ -74,8 +87,8 @@ def standardise_stats(train: DataFrame, features: list[str], digits: int = 6) ->
         aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
     one = train.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("ord"),
-                              F.round(F.col(f"m{i}"), digits).alias("mean"),
-                              F.round(F.col(f"s{i}"), digits).alias("std"))
+                              F.col(f"m{i}").alias("mean"),
+                              F.col(f"s{i}").alias("std"))
                      for i, c in enumerate(features)])
     return one.select(F.inline(rows))
 

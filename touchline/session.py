@@ -57,11 +57,16 @@ def session_key(spark: SparkSession) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder, read from the session; a local one is
-    set only when none is configured (tests, local runs)."""
+    """The shared checkpoint folder, read from the session.  A local one is set
+    only where none is configured and one machine does all the work (tests,
+    local runs); on a cluster each node would write to its own disk, so a
+    missing setting raises."""
     sc = _context(spark)
     path = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="touchline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None and not sc.getCheckpointDir():
@@ -75,6 +80,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:") or os.path.isabs(path)

@@ -35,19 +35,22 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.round(F.col("l_discount") * 100)).cast("bigint").alias("ds"),
         F.sum(F.round(F.col("l_tax") * 100)).cast("bigint").alias("tx"),
     )
+    teams = 20 + _read(spark, sf_dir, "customer").count() // 150  # so teams grow with the data
+    home = F.col("o_custkey") % teams
     g = orders.join(per_order, orders.o_orderkey == per_order.k, "left").select(
         F.col("o_orderkey").alias("match_id"),
         F.col("o_orderdate").cast("date").alias("match_date"),
-        (F.col("o_custkey") % 20).alias("home_no"),
-        ((F.col("o_custkey") % 20 + 1 + F.col("o_orderkey") % 19) % 20).alias("away_no"),
+        home.alias("home_no"),
+        ((home + 1 + F.col("o_orderkey") % (teams - 1)) % teams).alias("away_no"),
         F.year("o_orderdate").alias("yr"),
         "n", "q", "qr", "qf", "ds", "tx",
         F.floor("o_totalprice").cast("bigint").alias("tp"),
         "o_custkey",
     )
     q, qr, qf, n, ds, tx = (F.col(c) for c in ("q", "qr", "qf", "n", "ds", "tx"))
-    fthg, ftag = q % 5, qr % 4
-    hthg, htag = F.least(q % 5, n % 3), F.least(qr % 4, qf % 2)
+    # goals are half chance, half the side's strength: history says something about the next match
+    fthg, ftag = F.expr("(q % 5 + home_no * 7 % 5) div 2"), F.expr("(qr % 4 + away_no * 7 % 5) div 2")
+    hthg, htag = F.least(fthg, n % 3), F.least(ftag, qf % 2)
     pre97 = F.col("yr") < 1997
     no_odds = F.col("match_id") % 10 < 3
 
@@ -57,8 +60,8 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return g.select(
         "match_id", "match_date",
-        F.concat(F.lit("T"), (F.lit(100) + F.col("home_no")).cast("string")).alias("home_team"),
-        F.concat(F.lit("T"), (F.lit(100) + F.col("away_no")).cast("string")).alias("away_team"),
+        F.concat(F.lit("T"), (F.lit(1000) + F.col("home_no")).cast("string")).alias("home_team"),
+        F.concat(F.lit("T"), (F.lit(1000) + F.col("away_no")).cast("string")).alias("away_team"),
         fthg.alias("fthg"), ftag.alias("ftag"), result(fthg, ftag).alias("ftr"),
         hthg.alias("hthg"), htag.alias("htag"), result(hthg, htag).alias("htr"),
         (fthg + q % 7 + qr % 11).alias("hs"), (ftag + qr % 6 + qf % 11).alias("as_"),

@@ -9,42 +9,48 @@ would map columns by position and shift them.
 Rows with more fields than the header are skipped, shorter rows are kept with
 a null tail (the pandas ``on_bad_lines='skip'`` rule).  Spark flags both as
 malformed, so the loader counts the fields of a flagged row outside quotes.
-The flag is only set when the parser tokenises every column, so the row
-filter references every field (a narrow or count-only query would otherwise
-let the parser skip them), and the landing write also runs with CSV column
-pruning switched off.
+The flag is only set when the parser tokenises every column, so the reader
+turns column pruning off and the row filter references every field (a narrow
+or count-only query would otherwise let the parser skip them).
+
+``match_id`` hashes the parsed row and numbers rows that repeat, so it is the
+same whatever file, folder or header a row comes with, and no two rows share it.
 """
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.functions.columns import parse_match_date, season_year
-from touchline.schema import MATCH_COLUMNS, RAW_COLUMNS, SEASON_START_MONTH
+from touchline.schema import MATCH_COLUMNS, OUTCOME_LABELS, RAW_COLUMNS, SEASON_START_MONTH
 from touchline.session import scratch_path
 
 LATIN1 = "ISO-8859-1"
 CORRUPT = "_corrupt_record"
-_PRUNING = "spark.sql.csv.parser.columnPruning.enabled"
-
-
-def list_files(spark: SparkSession, source: str, pattern: str = "*.csv") -> list[str]:
-    """Paths of the CSV files under ``source`` (a folder or a single file).
-    Only file names are listed (the binary source skips file contents when
-    the ``content`` column is not selected)."""
-    rows = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-            .option("recursiveFileLookup", "true").load(source).select("path").collect())
-    return sorted(r.path for r in rows)
 
 
-def header_of(spark: SparkSession, path: str, encoding: str = LATIN1) -> tuple:
-    """Column names of one file (Spark reads only its first line)."""
-    return tuple(spark.read.option("header", True).option("encoding", encoding).csv(path).columns)
+def headers(spark: SparkSession, source: str, pattern: str = "*.csv") -> dict[tuple, list[str]]:
+    """Header -> files of the CSV files under ``source``, found by one job
+    whatever the number of files: the first line of each file's first block.
+    Zero-byte files (a failed download) have none and are left out; a file
+    whose first line has no ``Date`` raises, as its rows could not be read."""
+    lines = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(source)
+             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+                     F.monotonically_increasing_id().alias("line_no")).where("at = 0"))
+    first = lines.groupBy("path").agg(F.min_by("value", "line_no").alias("line"))
+    found: dict[tuple, list[str]] = defaultdict(list)
+    for r in first.orderBy("path").collect():  # file names, which any file scan keeps on the driver too
+        names = tuple(next(csv.reader([r["line"].lstrip("\ufeff").rstrip("\r")]), []))
+        if "Date" not in names:
+            raise ValueError(f"no Date column in the header of {r['path']}: {r['line'][:200]!r}")
+        found[names].append(r["path"])
+    return dict(found)
 
 
 def _field_count(text: F.Column) -> F.Column:
@@ -79,16 +85,16 @@ def _canonical(raw: DataFrame, header: tuple) -> list[F.Column]:
 
 def read_group(spark: SparkSession, paths: list[str], header: tuple, encoding: str = LATIN1,
                strict: bool = False) -> DataFrame:
-    """Files sharing one header -> canonical columns plus ``match_id``.
+    """Files sharing one header -> canonical columns.
 
     ``strict=False`` skips over-long rows (SRC-3); ``strict=True`` fails the
-    job on the first one (SRC-4).  ``match_id`` hashes the file name and every
-    raw field, so it is stable across re-reads and recomputation.
+    job on the first one (SRC-4).
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header]
                           + [T.StructField(CORRUPT, T.StringType())])
     raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).option("encoding", encoding).csv(paths))
+           .option("columnNameOfCorruptRecord", CORRUPT).option("encoding", encoding)
+           .option("columnPruning", "false").csv(paths))
     long_row = F.col(CORRUPT).isNotNull() & (_field_count(F.col(CORRUPT)) > len(header))
     # Always true, but it references every field, so even a narrow or
     # count-only query makes the parser tokenise whole rows and flag long ones.
@@ -98,43 +104,43 @@ def read_group(spark: SparkSession, paths: list[str], header: tuple, encoding: s
             F.concat(F.lit("too many fields: "), F.col(CORRUPT)))).otherwise(F.lit(True)))
     else:
         raw = raw.where(every_field & ~long_row)
-    rid = F.xxhash64(F.input_file_name(), *[F.col(f"`{c}`") for c in header])
-    return raw.select(rid.alias("match_id"), *_canonical(raw, header))
+    return raw.select(*_canonical(raw, header))
+
+
+def with_match_id(rows: DataFrame) -> DataFrame:
+    """Adds ``match_id``: a hash of the whole row; rows that share it (repeats,
+    or a chance collision) are numbered and hashed again with their number."""
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in rows.columns]
+    base = rows.withColumn("_h", F.xxhash64(*cols)).withColumn("_tie", F.xxhash64(F.lit(1), *cols))
+    nth = F.row_number().over(Window.partitionBy("_h").orderBy("_tie"))
+    return base.withColumn("match_id", F.when(nth == 1, F.col("_h")).otherwise(F.xxhash64("_h", nth))).drop("_h", "_tie")
 
 
 def read_seasons(spark: SparkSession, source: str, encoding: str = LATIN1, strict: bool = False,
                  start_month: int = SEASON_START_MONTH) -> DataFrame:
     """All season files under ``source``: one read per distinct header, union
     by name, drop rows without date or result (PF-1), add ``season_year``.
-    Lazy; see :func:`land_seasons` for the pruning caveat."""
-    groups: dict[tuple, list[str]] = defaultdict(list)
-    for p in list_files(spark, source):
-        header = header_of(spark, p, encoding)
-        if "Date" in header:  # empty files (e.g. a failed download) have no header: nothing to read
-            groups[header].append(p)
-    parts = [read_group(spark, ps, h, encoding, strict) for h, ps in sorted(groups.items())]
+    Rows whose result is not H, D or A raise: they could not be labelled."""
+    parts = [read_group(spark, ps, h, encoding, strict) for h, ps in sorted(headers(spark, source).items())]
     if not parts:
         raise FileNotFoundError(f"no CSV files under {source}")
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    df = df.dropna(subset=["match_date", "ftr"])
-    return df.withColumn("season_year", season_year("match_date", start_month)).select(*MATCH_COLUMNS)
+    df = known_results(df.dropna(subset=["match_date", "ftr"]))
+    return with_match_id(df).withColumn("season_year", season_year("match_date", start_month)).select(*MATCH_COLUMNS)
 
 
-def _without_csv_pruning(spark: SparkSession, action):
-    prev = spark.conf.get(_PRUNING, "true")
-    spark.conf.set(_PRUNING, "false")
-    try:
-        return action()
-    finally:
-        spark.conf.set(_PRUNING, prev)
+def known_results(df: DataFrame) -> DataFrame:
+    """Fails the job on the first row whose result letter is not H, D or A."""
+    bad = ~F.col("ftr").isin(*OUTCOME_LABELS)
+    return df.withColumn("ftr", F.when(bad, F.raise_error(F.concat(F.lit("unknown result: "), F.col("ftr"))))
+                         .otherwise(F.col("ftr")))
 
 
 def land_seasons(spark: SparkSession, source: str, table_path: str, encoding: str = LATIN1) -> DataFrame:
     """UQ-1 as an ingest step: parse every season file and write the canonical
     match table partitioned by ``season_year`` (overwriting ``table_path``)."""
     df = read_seasons(spark, source, encoding)
-    _without_csv_pruning(spark, lambda: df.write.mode("overwrite").partitionBy("season_year")
-                         .parquet(table_path))
+    df.write.mode("overwrite").partitionBy("season_year").parquet(table_path)
     return spark.read.parquet(table_path).select(*MATCH_COLUMNS)
 
 
@@ -144,15 +150,22 @@ def load_seasons(spark: SparkSession, source: str, encoding: str = LATIN1) -> Da
     return land_seasons(spark, source, scratch_path(spark, "seasons"), encoding)
 
 
-def refresh_season(spark: SparkSession, landed: str, table_path: str, encoding: str = "UTF-8",
+def refresh_season(spark: SparkSession, landed: str, table_path: str, season: int, encoding: str = "UTF-8",
                    strict: bool = True) -> DataFrame:
-    """SNK-1: replace the seasons found in a freshly landed file and keep all
-    other season partitions (dynamic partition overwrite).  The file is read
-    like the current-season file: default encoding, errors raised (SRC-4)."""
+    """SNK-1: replace season ``season`` by a freshly landed file and keep all
+    other season partitions.  The file is read like the current-season file:
+    default encoding, errors raised (SRC-4).  A file with rows of another
+    season, or with none, raises before anything is written: overwriting a
+    season with a few stray rows would destroy it."""
     df = read_seasons(spark, landed, encoding, strict=strict)
-    _without_csv_pruning(spark, lambda: df.write.mode("overwrite")
-                         .option("partitionOverwriteMode", "dynamic")
-                         .partitionBy("season_year").parquet(table_path))
+    path = scratch_path(spark, "refresh")
+    df.write.parquet(path)  # parsed once, so that what is checked is what is written
+    df = spark.read.parquet(path)
+    seen = {r["season_year"]: r["n"] for r in df.groupBy("season_year").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if set(seen) != {season}:
+        raise ValueError(f"season {season} expected, the landed file has rows of {dict(sorted(seen.items()))}")
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("season_year").parquet(table_path))
     return spark.read.parquet(table_path).select(*MATCH_COLUMNS)
 
 
