@@ -21,6 +21,8 @@ def per_context(fn):
         sc = SparkContext._active_spark_context
         key = (id(sc), args)
         hit = cache.get(key)
+        if hit is None and any(k[0] != id(sc) for k in cache):
+            cache.clear()  # lists of a context that has ended
         if hit is None or hit[0] is not sc:
             hit = cache[key] = (sc, fn(*args))
         return hit[1]
