@@ -323,3 +323,18 @@ def keep_one(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     worded = F.coalesce(F.col(c["text"]), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     stay = keyed.where(worded).join(one, "_row_key", "left_semi").dropDuplicates(["_row_key"])
     return stay.drop("_row_key").unionByName(plain.where(~worded)).toDF(*docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v),
+m AS (SELECT v, min(c) AS component_id FROM r GROUP BY v)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN m ON m.v = s.doc_id
+"""

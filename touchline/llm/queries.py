@@ -101,5 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from touchline.llm import topk, urls
-    return {"op2_topk": topk.ORACLE, "op8_urls": urls.ORACLE}
+    """SQL of the queries that it can express; the others learn, draw at random
+    or normalise texts and are tested against brute force."""
+    from touchline.llm import neardup, shard, topk, urls
+    return {"op1_shard": shard.ORACLE, "op2_topk": topk.ORACLE, "op4_neardup": neardup.ORACLE, "op8_urls": urls.ORACLE}

@@ -117,3 +117,13 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
             .withColumnRenamed("_next", "_up")
         at += n
     return done
+
+
+ORACLE = f"""
+WITH k AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes,
+    lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)), {WORD_BITS}, '0') AS h FROM documents),
+t AS (SELECT d, left(h, d) AS p, CAST(sum(bytes) AS BIGINT) AS b, count(*) AS n FROM k, range({WORD_BITS} + 1) r(d)
+  GROUP BY d, p)
+SELECT doc_id, bytes, arg_min(p, d) AS shard, CAST(min(d) AS INTEGER) AS shard_depth, arg_min(b, d) AS shard_bytes
+FROM k JOIN t ON t.p = left(k.h, t.d) WHERE b <= {SHARD_BYTES} OR n = 1 GROUP BY doc_id, bytes
+"""
