@@ -48,18 +48,23 @@ def test_base_spans_equal_plain_patterns():
     ("card", "no ４２８４８９６６０９０４５８３６ ok", "４２８４８９６６０９０４５８３６"),
     ("phone", "call plus one four one four five five five seven one three four now",
      "plus one four one four five five five seven one three four"),
+    ("email", "write to ann.lee @ example.com please", "ann.lee @ example.com"),
+    ("ip", "at 1O.l2.33.144 now", "1O.l2.33.144"),
+    ("card", "no 4284 896O 9O45 8368 l ok", None),
+    ("card", "no 4284 8966 O9O4 5836 ok", "4284 8966 O9O4 5836"),
     ("phone", "call +1 four one four 555 seven one three four!", "+1 four one four 555 seven one three four"),
 ])
 def test_disguises_map_back_to_the_source(kind, text, hidden):
     base, full = pii.find(text)
     more = [(k, text[a:b]) for k, a, b in full if (k, a, b) not in base]
-    assert more == [(kind, hidden)]
+    assert more == ([(kind, hidden)] if hidden else [])
 
 
 @pytest.mark.parametrize("text", [
     "", "we met at noon dot the end", "one two three go", "at the dot", "look at example.com there",
     "El niño comió dos tacos y tres uvas", "Größe über alles, fünf vor zwölf", "un deux trois soleil",
-    "the · dot and – dashes – are prose", "привет мир", "αβγ δεζ", "five six seven eight dancers"])
+    "the · dot and – dashes – are prose", "привет мир", "αβγ δεζ", "five six seven eight dancers",
+    "room 10l and 2O4", "meet @ noon . ok", "ISO 9OOl:2015", "x @ y"])
 def test_clean_texts_have_no_spans(text):
     assert pii.find(text) == ([], [])
 

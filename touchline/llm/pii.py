@@ -126,7 +126,11 @@ _TOKEN = re.compile(rf"(?<!\w)(?:{_DIGIT_WORD}|plus)(?!\w)", re.I)
 #: Cheap signs that a text may hide something.
 _ODD = re.compile("[­​-‍⁠﻿Ͱ-ϿЀ-ԯ！-～\U0001d400-\U0001d7ff"
                   "⁰-ₜ²³¹①-⓿ıℓ․。｡∙]")
-_SIGN = re.compile(rf"[\[({{<]\s*(?:at|@|arroba|chez|dot|\.|punkt|point|punto)\s*[\])}}>]|\s(?:dot|punkt|punto|arroba)\s", re.I)
+_SIGN = re.compile(rf"[\[({{<]\s*(?:at|@|arroba|chez|dot|\.|punkt|point|punto)\s*[\])}}>]|\s(?:dot|punkt|punto|arroba|@)\s", re.I)
+#: Letters that stand for digits among digits, and numbers that hold some.
+_AS_DIGIT = str.maketrans("OoQlI|", "000111")
+_MIX = re.compile(r"[0-9][OoQlI|]|[OoQlI|][0-9]")
+_MIXED = re.compile(r"(?<!\w)\+?[0-9OoQlI|]+(?:[ .()-]{1,2}[0-9OoQlI|]+)*(?!\w)")
 _COUNT = re.compile(rf"(?<!\w)(?:{_DIGIT_WORD})[\s.()-]+(?:{_DIGIT_WORD})(?!\w)", re.I)
 _WINDOW = 120  # code points around a sign that are normalised
 
@@ -145,7 +149,8 @@ class Mapped:
         return self.start[lo], self.end[hi - 1]
 
     def rewrite(self, pattern: re.Pattern, by) -> Mapped:
-        """Each match becomes ``by(match)``, whose characters all map to the whole match."""
+        """Each match becomes ``by(match)``.  Its characters map one by one if it is
+        as long as the match, else all to the whole match."""
         text, start, end, last = [], [], [], 0
         for m in pattern.finditer(self.text):
             new = by(m)
@@ -155,9 +160,13 @@ class Mapped:
             start += self.start[last:m.start()]
             end += self.end[last:m.start()]
             text.append(new)
-            a, b = self.source(m.start(), m.end())
-            start += [a] * len(new)
-            end += [b] * len(new)
+            if len(new) == m.end() - m.start():
+                start += self.start[m.start():m.end()]
+                end += self.end[m.start():m.end()]
+            else:
+                a, b = self.source(m.start(), m.end())
+                start += [a] * len(new)
+                end += [b] * len(new)
             last = m.end()
         text.append(self.text[last:])
         return Mapped("".join(text), start + self.start[last:], end + self.end[last:])
@@ -189,7 +198,7 @@ def undo_signs(m: Mapped) -> Mapped:
     for pattern in (_HIDDEN_MAIL, _HIDDEN_IP):
         for hit in reversed(list(pattern.finditer(m.text))):
             lo, hi = hit.span()
-            bare = pattern is _HIDDEN_MAIL and not re.search(r"[@\[({<]", hit.group())
+            bare = pattern is _HIDDEN_MAIL and re.search(r"\s", hit.group()) and not re.search(r"[\[({<]", hit.group())
             if bare and re.split(r"[\s.]+", hit.group())[-1].lower() not in _ENDINGS:
                 continue  # "at noon dot the end" is no address
             part = Mapped(m.text[lo:hi], m.start[lo:hi], m.end[lo:hi])
@@ -199,6 +208,12 @@ def undo_signs(m: Mapped) -> Mapped:
     return m
 
 
+def undo_letters(m: Mapped) -> Mapped:
+    """In numbers of at least six digits, letters that look like digits become digits."""
+    return m.rewrite(_MIXED, lambda t: t.group().translate(_AS_DIGIT) if len(_digits(t.group())) >= 6 else None) \
+        if _MIX.search(m.text) else m
+
+
 def undo_digits(m: Mapped) -> Mapped:
     """Within runs of spelled digits, each word becomes its digit; the blanks between go."""
     gap = re.compile(r"(?<=[0-9+])\s+(?=[0-9])")
@@ -216,6 +231,7 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     """Further spans that show only after normalisation; none overlaps a base span of its kind."""
     signs = [x.start() for p in (() if text.isascii() else (_ODD,)) for x in p.finditer(text)]
     signs += [x.start() for x in _SIGN.finditer(text)] + [x.start() for x in _COUNT.finditer(text)]
+    signs += [x.start() for x in _MIX.finditer(text)]
     if not signs:
         return []
     stretches: list[list[int]] = []
@@ -232,7 +248,7 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     taken = {k: [s for s in base if s[0] == k] for k in KINDS}
     out: set[Span] = set()
     for lo, hi in stretches:
-        m = undo_digits(undo_signs(fold(Mapped.of(text[lo:hi], lo))))
+        m = undo_letters(undo_digits(undo_signs(fold(Mapped.of(text[lo:hi], lo)))))
         if m.text == text[lo:hi]:
             continue
         for kind, a, b in base_spans(m.text):
