@@ -293,9 +293,10 @@ def q_auc(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- models
-# All fits use the whole train split and parameters inside the published
-# ranges.  The search and its refit run the first SEARCH trials of the 50 drawn
+# Fits use at most FIT_ROWS rows of the train split (a random part by hash, all
+# if there are fewer) and parameters inside the published ranges.  The search and its refit run the first SEARCH trials of the 50 drawn
 # ones on SEARCH_FOLDS folds (README, "Model queries", has the figures).
+FIT_ROWS = 20_000
 SEARCH = 1
 SEARCH_FOLDS = 2
 
@@ -309,6 +310,13 @@ def _memo(spark, sf_dir, name, make):
     return _FITTED[key]
 
 
+def _fit_rows(spark, sf_dir):
+    """The labelled rows that models are fitted on."""
+    train = _train_rows(spark, sf_dir)
+    n = _memo(spark, sf_dir, "train-count", train.count)
+    return train if n <= FIT_ROWS else train.where(prep.portable_hash(seed=7) < int(FIT_ROWS / n * 2147483648))
+
+
 def _written(spark, df, name):
     from touchline.session import scratch_path
     path = scratch_path(spark, name)
@@ -321,7 +329,7 @@ def _importance(spark, sf_dir):
     from touchline.plans import models as ml
     from touchline.schema import feature_names
     return spark.read.parquet(_memo(spark, sf_dir, "importance", lambda: _written(
-        spark, ml.feature_importance(_train_rows(spark, sf_dir), feature_names()), "importance")))
+        spark, ml.feature_importance(_fit_rows(spark, sf_dir), feature_names()), "importance")))
 
 
 def _top(spark, sf_dir):
@@ -333,7 +341,7 @@ def _top(spark, sf_dir):
 def _vote(spark, sf_dir):
     from touchline.plans import models as ml
     return _memo(spark, sf_dir, "vote", lambda: ml.fit_vote(
-        _train_rows(spark, sf_dir), _top(spark, sf_dir), ml.VoteParams()))
+        _fit_rows(spark, sf_dir), _top(spark, sf_dir), ml.VoteParams()))
 
 
 def _vote_rows(spark, sf_dir):
@@ -419,7 +427,7 @@ def q_vote_log_loss(spark, sf_dir):
 
 def q_cv_score(spark, sf_dir):
     from touchline.plans import models as ml
-    folds = prep.stratified_folds(_train_rows(spark, sf_dir), k=ml.FOLDS)
+    folds = prep.stratified_folds(_fit_rows(spark, sf_dir), k=ml.FOLDS)
     acc = ml.cv_accuracy(folds, _top(spark, sf_dir), ml.VoteParams(), parallelism=ml.FOLDS)
     return spark.createDataFrame([(ml.FOLDS, acc)], "folds int, cv_accuracy double")
 
@@ -436,7 +444,7 @@ def q_search_parameters(spark, sf_dir):
 def q_search_trials(spark, sf_dir):
     from touchline.plans import models as ml
     return spark.read.parquet(_memo(spark, sf_dir, "trials", lambda: _written(spark, ml.random_search(
-        prep.stratified_folds(_train_rows(spark, sf_dir), k=SEARCH_FOLDS), _top(spark, sf_dir), trials=SEARCH), "trials")))
+        prep.stratified_folds(_fit_rows(spark, sf_dir), k=SEARCH_FOLDS), _top(spark, sf_dir), trials=SEARCH), "trials")))
 
 
 def q_best_model(spark, sf_dir):
@@ -446,7 +454,7 @@ def q_best_model(spark, sf_dir):
     from touchline.session import scratch_path
     trials = q_search_trials(spark, sf_dir)
     best = ml.best_trial(trials).first()
-    model = ml.fit_vote(_train_rows(spark, sf_dir), _top(spark, sf_dir), ml.params_of(best))
+    model = ml.fit_vote(_fit_rows(spark, sf_dir), _top(spark, sf_dir), ml.params_of(best))
     path = scratch_path(spark, "vote-model")
     model.save(path)
     loaded = ml.VoteModel.load(spark, path)

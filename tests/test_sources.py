@@ -190,7 +190,7 @@ def test_headers_take_one_job(spark):
     """The number of jobs does not depend on the number of files."""
     from touchline.sources.seasons import headers
     jobs = []
-    for n in (1, 6):
+    for n in (4, 12):
         d = tempfile.mkdtemp(prefix="seasons-")
         for i in range(n):
             _write(d, f"s{i}.csv", [HEAD, ROW.format("H")])

@@ -45,7 +45,7 @@ def headers(spark: SparkSession, source: str, pattern: str = "*.csv") -> dict[tu
                      F.monotonically_increasing_id().alias("line_no")).where("at = 0"))
     first = lines.groupBy("path").agg(F.min_by("value", "line_no").alias("line"))
     found: dict[tuple, list[str]] = defaultdict(list)
-    for r in first.orderBy("path").collect():  # file names, which any file scan keeps on the driver too
+    for r in sorted(first.collect()):  # file names, which any file scan keeps on the driver too
         names = tuple(next(csv.reader([r["line"].lstrip("\ufeff").rstrip("\r")]), []))
         if "Date" not in names:
             raise ValueError(f"no Date column in the header of {r['path']}: {r['line'][:200]!r}")
