@@ -48,7 +48,7 @@ STRING, WORD, COUNT, DOC = 0, 1, 2, 3
 class Settings:
     depth: int = 5  # bytes of context
     split: int = 3  # contexts longer than this are worked out inside a task
-    block_bytes: int = 64 << 20
+    block_bytes: int = 32 << 20
     subtree_rows: int = 200_000  # strings worked on at a time, whole subtrees
 
 
@@ -99,42 +99,33 @@ class Tally:
 
 
 class Lookup:
-    """Values by 64-bit key: a few direct tables, each for what the last could not place."""
+    """Values by distinct 64-bit key: a few direct tables, each for what the
+    last could not place."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.levels = []
+        self.levels, self.values = [], values
         rng = np.random.default_rng(3)
+        at = np.arange(len(keys), dtype=np.int32)
         while len(keys):
-            bits = max(4, int(np.ceil(np.log2(2 * len(keys)))))
-            odd = rng.integers(0, 2**63, dtype=U64) * U64(2) + U64(1)
-            slot = (keys * odd) >> U64(64 - bits)
-            _, first = np.unique(slot, return_index=True)
-            table, value, used = np.zeros(1 << bits, U64), np.zeros(1 << bits), np.zeros(1 << bits, bool)
-            at = slot[first]
-            table[at], value[at], used[at] = keys[first], values[first], True
-            empty = np.flatnonzero(~used)
-            table[empty] = ~keys[0]  # no key of an empty slot equals a stored one by chance and is used
-            self.levels.append((odd, U64(64 - bits), table, value, used))
-            rest = np.ones(len(keys), bool)
-            rest[first] = False
-            keys, values = keys[rest], values[rest]
+            bits = max(4, int(np.ceil(np.log2(len(keys)))))
+            odd, shift = rng.integers(0, 2**63, dtype=U64) * U64(2) + U64(1), U64(64 - bits)
+            slot = ((keys * odd) >> shift).view(np.int64)
+            table, place = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int32)
+            table[slot], place[slot] = keys, at  # of several keys the last stays
+            self.levels.append((odd, shift, table, place))
+            rest = place[slot] != at
+            keys, at = keys[rest], at[rest]
 
     def get(self, q: np.ndarray, missing: float) -> np.ndarray:
         out = np.full(len(q), missing)
-        todo = None
-        for odd, shift, table, value, used in self.levels:
-            k = q if todo is None else q[todo]
+        todo = np.arange(len(q))
+        for odd, shift, table, place in self.levels:
+            k = q[todo]
             slot = ((k * odd) >> shift).view(np.int64)
-            hit = table[slot] == k
-            found = value[slot]
-            if not used.all():
-                hit &= used[slot]
-            if todo is None:
-                out = np.where(hit, found, missing)
-                todo = np.flatnonzero(~hit)
-            else:
-                out[todo[hit]] = found[hit]
-                todo = todo[~hit]
+            found = place[slot]
+            hit = (table[slot] == k) & (found >= 0)
+            out[todo[hit]] = self.values[found[hit]]
+            todo = todo[~hit]
             if len(todo) == 0:
                 break
         return out
