@@ -21,7 +21,7 @@ class Settings:
     bits: int = 18
     per_class: int = 4000  # labelled rows fitted on, of each class
     max_bytes: int = 16 << 20  # and their text
-    ridge: float = 2e-4
+    ridge: float = 1e-3
     steps: int = 150
 
 
