@@ -504,7 +504,7 @@ def q_score_fixtures_check(spark, sf_dir):
 def q_score_stream_check(spark, sf_dir):
     """The columns of ``score_stream`` that do not depend on the fit."""
     out = q_score_stream(spark, sf_dir)
-    return out.select(F.coalesce("home_input", F.lit("")).alias("home_input"), "away_input", "status", "home_team",
+    return out.select(F.trim(F.coalesce("home_input", F.lit(""))).alias("home_input"), "away_input", "status", "home_team",
                       "away_team", "match_date", F.col("prediction").isNotNull().alias("scored"))
 
 
