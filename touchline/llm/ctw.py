@@ -10,8 +10,8 @@ the empty context down to the longest.  Counts come from all training texts.
 
 How it is spread:
 
-1. Documents get a block each (about ``block_bytes`` of text).  A pass over the
-   blocks gives the distinct (depth + 1)-byte strings of each block with their
+1. Documents get a block each (about ``block_bytes`` of text that is read
+   together).  A pass over the blocks gives the distinct (depth + 1)-byte strings of each block with their
    training counts, and the distinct words.
 2. Counts are summed over blocks by string and by word.
 3. Strings are sorted by context, most recent byte first, so subtrees are
@@ -328,7 +328,7 @@ def tree(grams: DataFrame, s: Settings) -> DataFrame:
             level = level.select("id", "n0", "n1", (top + F.log1p(F.exp(F.least(own, below) - top)) -
                                                     math.log(2.0)).alias("w"))
         path = scratch_path(spark, f"ctw-level{d}")
-        level.write.parquet(path)
+        level.write.option("compression", "zstd").parquet(path)
         levels.append(spark.read.parquet(path))
     top = None
     for d in range(q + 1):  # from the empty context down
@@ -440,15 +440,18 @@ def scores(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> DataF
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     total = docs.agg(F.sum(size)).first()[0] or 0
+    # the text by block, written once: later steps must see the same blocks.  A
+    # block is (a part of) what one task reads, so the text does not move yet
     blocks = max(1, math.ceil(total / s.block_bytes))
-    # the text by block, once: later steps must see the same blocks
+    near = docs.coalesce(2 * blocks)
+    cut = max(1, round(total / s.block_bytes / max(1, near.rdd.getNumPartitions())))
+    block = F.spark_partition_id().cast("long") * cut + F.pmod(F.xxhash64("doc_id", "text"), F.lit(cut))
     path = scratch_path(spark, "ctw-texts")
-    src = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long").alias("block"),
-                      (~held_out).alias("train"), F.col("doc_id").cast("long").alias("doc_id"),
+    src = near.select(block.alias("block"), (~held_out).alias("train"), F.col("doc_id").cast("long").alias("doc_id"),
                       held_out.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    (src.repartition(blocks, "block").sortWithinPartitions("block", "train")
-     .write.option("compression", "zstd").parquet(path))
+    src.sortWithinPartitions("block", "train").write.option("compression", "zstd").parquet(path)
     src = spark.read.parquet(path)
+    tasks = min(4 * blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 10_000))
     path = scratch_path(spark, "ctw-counts")
     (src.select("block", "train", "text").mapInArrow(_count(s), "block long, kind int, key long, n long")
      .write.option("compression", "zstd").parquet(path))
@@ -466,7 +469,7 @@ def scores(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> DataF
     kinds = int(round(some["v"] or 0.0)) + (1 if ends else 0)
     own = counts.where(F.col("kind") == STRING).select("block", "key", "n")
     path = scratch_path(spark, "ctw-strings")
-    own.groupBy("key").agg(F.sum("n").alias("n")).write.parquet(path)
+    own.groupBy("key").agg(F.sum("n").alias("n")).write.option("compression", "zstd").parquet(path)
     model = tree(spark.read.parquet(path), s)
     empty = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"),
              F.lit(None).cast("string").alias("text")]
@@ -474,7 +477,7 @@ def scores(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> DataF
     part = part.unionByName(words.where("value > 0").select("block", F.lit(WORD).alias("kind"), "key", "value", *empty))
     rows = part.unionByName(src.select("block", F.lit(DOC).alias("kind"), F.lit(0).cast("long").alias("key"),
                                        F.lit(0.0).alias("value"), "doc_id", "held_out", "text"))
-    out = rows.repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(
+    out = rows.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(
         _score(s, train_tokens, kinds, ends),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, log2 double, n_symbols long")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"),
