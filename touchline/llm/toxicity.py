@@ -19,8 +19,8 @@ from touchline.llm.train import sample, sigmoid, sums
 class Settings:
     orders: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
-    per_class: int = 4000  # labelled rows fitted on, of each class
-    max_bytes: int = 16 << 20  # and their text
+    per_class: int = 2500  # labelled rows fitted on, of each class
+    max_bytes: int = 8 << 20  # and their text
     ridge: float = 1e-3
     steps: int = 150
 
@@ -67,25 +67,30 @@ def fit(texts: list, y: np.ndarray, totals: dict[int, int], s: Settings) -> tupl
     prior = float(np.log((n1 + 0.5) / (n0 + 0.5)))
     if len(y) == 0 or y.min() == y.max():
         return w, prior
-    idx, offs = [], [np.zeros(1, int)]
-    at = 0
-    for _, _, data, o in tk.documents(pa.array([t or "" for t in texts], pa.string())):
+    text = pa.array([t or "" for t in texts], pa.string())
+    pos, neg = np.zeros(1 << s.bits), np.zeros(1 << s.bits)
+    for lo, hi, data, o in tk.documents(text, 1 << 20):  # a first pass counts, a second keeps what tells
         i, p = grams(data, o, s)
-        idx.append(i)
-        offs.append(p[1:] + at)
-        at += p[-1]
-    idx, offs = np.concatenate(idx), np.concatenate(offs)
-    doc = np.repeat(np.arange(len(y)), np.diff(offs))
-    pos = np.bincount(idx, weights=y[doc], minlength=1 << s.bits)
-    neg = np.bincount(idx, weights=1.0 - y[doc], minlength=1 << s.bits)
+        one = np.repeat(y[lo:hi], np.diff(p)) > 0
+        pos += np.bincount(i[one], minlength=1 << s.bits)
+        neg += np.bincount(i[~one], minlength=1 << s.bits)
     p, q = (pos + 1) / (y.sum() + 2), (neg + 1) / ((1 - y).sum() + 2)
     r = np.log(p / q)
     r[(pos + neg < 3) | (np.abs(r) < 0.4)] = 0.0  # says next to nothing
-    keep = r[idx] != 0
-    idx, doc = idx[keep], doc[keep]
+    idx, doc = [], []
+    for lo, _, data, o in tk.documents(text, 1 << 20):
+        i, p = grams(data, o, s)
+        keep = r[i] != 0
+        idx.append(i[keep])
+        doc.append(np.repeat(np.arange(len(p) - 1, dtype=np.int32) + lo, np.diff(p))[keep])
+    idx, doc = np.concatenate(idx), np.concatenate(doc)
     offs = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(y)))])
-    used, cols = np.unique(idx, return_inverse=True)
-    x = r[used][cols]
+    used = np.flatnonzero(np.bincount(idx, minlength=1 << s.bits))
+    place = np.zeros(1 << s.bits, np.int32)
+    place[used] = np.arange(len(used))
+    cols = place[idx]
+    x = r[idx].astype(np.float32)
+    del idx
     # classes weigh as in all training rows
     weight = np.where(y == 1, n1 / max(1, y.sum()), n0 / max(1, (1 - y).sum()))
     weight = weight / weight.sum()
