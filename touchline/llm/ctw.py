@@ -48,7 +48,7 @@ STRING, WORD, COUNT, DOC = 0, 1, 2, 3
 class Settings:
     depth: int = 5  # bytes of context
     split: int = 3  # contexts longer than this are worked out inside a task
-    block_bytes: int = 32 << 20
+    block_bytes: int = 40 << 20
     subtree_rows: int = 200_000  # strings worked on at a time, whole subtrees
 
 
@@ -443,7 +443,7 @@ def scores(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> DataF
     # the text by block, written once: later steps must see the same blocks.  A
     # block is (a part of) what one task reads, so the text does not move yet
     blocks = max(1, math.ceil(total / s.block_bytes))
-    near = docs.coalesce(2 * blocks)
+    near = docs.coalesce(blocks)
     cut = max(1, round(total / s.block_bytes / max(1, near.rdd.getNumPartitions())))
     block = F.spark_partition_id().cast("long") * cut + F.pmod(F.xxhash64("doc_id", "text"), F.lit(cut))
     path = scratch_path(spark, "ctw-texts")
