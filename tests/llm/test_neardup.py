@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from touchline.llm import neardup as nd
@@ -104,3 +105,47 @@ def test_hot_group_is_not_expanded(spark, make_docs):
     sk = nd.sketches(make_docs(rows))
     nodes = sk.groupBy("fp").agg(F.first("sig").alias("sig"))
     assert nodes.count() == 2 and nd.candidates(nodes).count() == 0
+
+
+def star(rng, n):
+    """A text and ``n`` edited copies, each of which links with the text only."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [" ".join(base)]
+    for i in range(n):
+        c = list(base)
+        for at in rng.sample(range(10, 190, 6), 3):
+            c[at] = f"x{i}y{at}"
+        rows.append(" ".join(c))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_group_above_the_leaf_keeps_links_to_its_one_hub(make_docs):
+    rows = star(random.Random(5), 120)
+    want = brute(rows)
+    assert sum(c == 0 for _, _, c in want) > 60  # most copies hang on the hub
+    assert result(nd.near_duplicates(make_docs(rows), nd.Forest(leaf=8))) == want
+
+
+def test_candidates_do_not_depend_on_the_partitions(spark, make_docs):
+    f = nd.Forest(probe=0.82)
+    nodes = nd.sketches(make_docs(star(random.Random(6), 120)), f).select("fp", "sig").cache()
+    brief = {bytes(r.fp): np.frombuffer(r.sig, np.uint32) & 255 for r in nodes.collect()}
+    pairs = {(a, b) for a in brief for b in brief if a < b and (brief[a] == brief[b]).sum() >= 105}
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    old = [spark.conf.get(k) for k in keys]
+    groups = []
+    try:
+        for n in ("1", "64"):
+            for k, v in zip(keys, (n, "false"), strict=True):
+                spark.conf.set(k, v)
+            found = {(bytes(r.a), bytes(r.b)) for r in nd.candidates(nodes, f).collect()}
+            assert found <= pairs
+            sets = nd.Union()
+            for a, b in found:
+                sets.join(a, b)
+            groups.append({x: sets.find(x) for x in brief})
+    finally:
+        for k, v in zip(keys, old, strict=True):
+            spark.conf.set(k, v)
+    assert groups[0] == groups[1]

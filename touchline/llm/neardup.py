@@ -8,17 +8,22 @@
    values; nodes alone in theirs leave the tree.  The sorted order is dealt to
    tasks by ranges, so a large region spreads over many.
 3. A task walks along the order.  In a region of up to ``leaf`` nodes all are
-   neighbours; in a larger one each node's neighbours are those within half a
-   leaf before or after it, which are the ones with the longest common prefix:
-   the depth adapts to the region.  Neighbours whose signatures agree on
-   ``probe`` of all values are candidates (a true pair is over 4.5 standard
-   deviations above the probe).  What is passed on is a spanning forest of the
-   candidate graph, so it grows with the nodes and not with the pairs.
-4. The forests give loose groups, outside of which there is no candidate pair.
+   neighbours; in a larger one each node's neighbours are at first those within
+   half a leaf before or after it, which are the ones with the longest common
+   prefix.  Neighbours whose signatures agree on ``probe`` of all values are
+   candidates (a true pair is over 4.5 standard deviations above the probe).
+   What is passed on is a spanning forest of the candidate graph, so it grows
+   with the nodes and not with the pairs.
+4. A region that is larger than ``leaf`` or lies at the border of a task is
+   open: its nodes then meet in pairs of blocks (``_across``), except those that
+   are connected already.  So every pair of every region is compared or
+   connected, whatever the number of tasks.
+5. The forests give loose groups, outside of which there is no candidate pair.
    The full shingle sets of a loose group meet once; every candidate pair that
    is not yet connected is confirmed on them, and the confirmed links give the
    components.  The sets of a loose group of more than ``leaf`` nodes meet
-   along the sorted orders instead, in every tree.
+   along the sorted orders first, in every tree, and what that leaves apart
+   meets in pairs of blocks.
 
 A pair at the threshold (0.85) shares a region in one of 16 trees with
 probability 1 - (1 - 0.85^4)^16 = 0.999992.
@@ -31,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm import textkit as tk
@@ -131,24 +136,33 @@ def _orders(f: Forest):
     return run
 
 
-def _runs(f: Forest, work, columns: int):
+def _runs(f: Forest, work, columns: int, cut: bool = True, note: bool = False):
     """Arrow function over rows sorted by their first column (a key):
     ``work`` gets the other columns of the rows of one key as lists and gives
     pairs.  More than ``leaf`` rows of a key are worked on in parts of that
-    size, each sharing half of its rows with the next."""
+    size, each sharing half of its rows with the next (not so without ``cut``).
+    With ``note``, a third column names the keys whose rows did not surely all
+    meet: those in parts, and the first and last key of the task."""
+    names = ["a", "b", "key"] if note else ["a", "b"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, fresh = None, [[] for _ in range(columns)], 0
+        noted: list[int] = []
 
         def out() -> Iterator[pa.RecordBatch]:
             if fresh and len(held[0]) > 1:
                 left, right = work(*held)
                 if left:
-                    yield pa.RecordBatch.from_arrays([tk.binary_array(left), tk.binary_array(right)], names=["a", "b"])
+                    pairs = [tk.binary_array(left), tk.binary_array(right)]
+                    yield pa.RecordBatch.from_arrays(
+                        pairs + ([pa.nulls(len(left), pa.int64())] if note else []), names=names)
 
         for batch in batches:
             for k, *row in zip(*(batch.column(i).to_pylist() for i in range(columns + 1)), strict=True):
-                if k != key or len(held[0]) >= f.leaf:
+                if k != key or (cut and len(held[0]) >= f.leaf):
                     yield from out()
+                    if note and (k == key or not noted) and k not in noted[-1:]:
+                        noted.append(k)
                     for h in held:
                         del h[:(len(h) if k != key else f.leaf - f.leaf // 2)]
                     key, fresh = k, 0
@@ -156,6 +170,10 @@ def _runs(f: Forest, work, columns: int):
                     h.append(x)
                 fresh += 1
         yield from out()
+        if note and key is not None:
+            keys = sorted({*noted, key})
+            none = pa.nulls(len(keys), pa.binary())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(keys, pa.int64())], names=names)
     return run
 
 
@@ -184,6 +202,12 @@ def _forest(f: Forest):
     return work
 
 
+def _linked(x: np.ndarray, y: np.ndarray, f: Forest) -> bool:
+    """Whether two sorted sets are similar enough for a link."""
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= f.numerator * (len(x) + len(y) - both)
+
+
 def _confirmed(f: Forest):
     """Spanning forest of the confirmed links of one group of whole sets."""
     need = int(np.ceil(f.probe * f.size))
@@ -202,10 +226,7 @@ def _confirmed(f: Forest):
             for j in (np.flatnonzero(near) + i + 1).tolist():
                 if seen.find(i) == seen.find(j):
                     continue
-                y = s[order[j]]
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                if 100 * both >= f.numerator * (len(x) + len(y) - both):
+                if _linked(x, s[order[j]], f):
                     seen.join(i, j)
                     p, q = fps[order[i]], fps[order[j]]
                     left.append(min(p, q))
@@ -214,6 +235,71 @@ def _confirmed(f: Forest):
     return work
 
 
+def _apart(f: Forest, whole: bool):
+    """Spanning forest of the links between differently labelled rows of two
+    blocks (or within one): candidates, or confirmed on ``whole`` sets."""
+    need = int(np.ceil(f.probe * f.size))
+
+    def work(fps: list[bytes], brief: list[bytes], root: list[bytes], block: list[int],
+             sets: list[bytes] | None = None) -> tuple[list[bytes], list[bytes]]:
+        m = np.frombuffer(b"".join(brief), np.uint8).reshape(len(fps), f.size)
+        code: dict[bytes, int] = {}
+        label = np.array([code.setdefault(r, len(code)) for r in root])
+        side = np.array(block)
+        first, second = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+        s = [np.frombuffer(x, np.uint64) for x in sets] if whole else []
+        size = np.array([len(x) for x in s])
+        left, right = [], []
+        for i in first.tolist():
+            rest = second[label[second] != label[i]]
+            if side[0] == side.max() == side.min():
+                rest = rest[rest > i]
+            if whole:  # sets of too different sizes cannot link
+                rest = rest[100 * np.minimum(size[rest], size[i]) >= f.numerator * np.maximum(size[rest], size[i])]
+            if not len(rest):
+                continue
+            for j in rest[(m[rest] == m[i]).sum(axis=1) >= need].tolist():
+                if label[i] == label[j] or (whole and not _linked(s[i], s[j], f)):
+                    continue
+                label[label == label[j]] = label[i]
+                left.append(min(fps[i], fps[j]))
+                right.append(max(fps[i], fps[j]))
+        return left, right
+    return work
+
+
+def _across(rows: DataFrame, f: Forest, whole: bool = False) -> DataFrame:
+    """Links ``(a, b)`` between nodes of one ``group`` that differ in ``root``,
+    of ``(group, fp, brief, root)`` and ``shingles`` if ``whole``.
+
+    The nodes of a group are dealt to blocks of half a leaf or so, a root with
+    more nodes than that to blocks of its own; each pair of blocks meets in a
+    task of its own, except two blocks of one root."""
+    size = max(1, f.leaf // 2)
+    spark = rows.sparkSession
+    path = scratch_path(spark, "neardup-blocks")
+    rows.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    counts = spark.read.parquet(path)
+    blocks = F.ceil(F.col("n") / F.lit(size))
+    before = Window.partitionBy("group").orderBy("root").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = (counts.where(F.col("n") > size)  # few roots: each has over half a leaf of nodes
+           .select("group", "root", blocks.alias("width"), F.sum(blocks).over(before).alias("end")))
+    total = (counts.groupBy("group")
+             .agg(F.sum(F.when(F.col("n") > size, blocks).otherwise(0)).alias("owned"),
+                  F.ceil(F.sum(F.when(F.col("n") > size, 0).otherwise(F.col("n"))) / F.lit(size)).alias("shared"),
+                  F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots"))
+    placed = rows.join(total, "group").join(own, ["group", "root"], "left")
+    start = F.coalesce(F.col("end") - F.col("width"), F.col("owned"))
+    width = F.coalesce(F.col("width"), F.col("shared"))
+    placed = placed.withColumn("block", start + F.pmod(F.xxhash64("fp"), width)).withColumn("other", F.explode(F.filter(
+        F.sequence(F.lit(0).cast("long"), F.col("owned") + F.col("shared") - 1),
+        lambda j: F.col("end").isNull() | (j < start) | (j >= F.col("end")))))
+    key = F.concat_ws(":", F.hex("group"), F.least("block", "other"), F.greatest("block", "other")).alias("key")
+    return (placed.select(key, "fp", "brief", "root", "block", *(["shingles"] if whole else []))
+            .repartition("key").sortWithinPartitions("key")
+            .mapInArrow(_runs(f, _apart(f, whole), 5 if whole else 4, cut=False), "a binary, b binary"))
+
+
 def ordered(nodes: DataFrame, f: Forest = Forest()) -> DataFrame:
     """``(key, fp, brief)``: the nodes ``(fp, sig)`` in every tree's order,
     without those alone in their region."""
@@ -222,13 +308,28 @@ def ordered(nodes: DataFrame, f: Forest = Forest()) -> DataFrame:
     return keyed.join(several, "key", "left_semi")
 
 
+def _rooted(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` of their ``fp``; a node of no link is its own."""
+    return rows.join(comp, rows["fp"] == comp["node"], "left").drop("node") \
+        .withColumn("root", F.coalesce("root", "fp"))
+
+
 def candidates(nodes: DataFrame, f: Forest = Forest()) -> DataFrame:
     """Pairs ``(a, b)`` of fingerprints that span the candidate graph of a
     table ``(fp, sig)``."""
-    path = scratch_path(nodes.sparkSession, "neardup-pairs")
+    spark = nodes.sparkSession
+    path = scratch_path(spark, "neardup-pairs")
     (ordered(nodes, f).repartitionByRange("key", "brief").sortWithinPartitions("key", "brief", "fp")
-     .mapInArrow(_runs(f, _forest(f), 2), "a binary, b binary").write.parquet(path))
-    return nodes.sparkSession.read.parquet(path)
+     .mapInArrow(_runs(f, _forest(f), 2, note=True), "a binary, b binary, key long").write.parquet(path))
+    found = spark.read.parquet(path)
+    pairs = found.where("key is null").select("a", "b")
+    keyed = nodes.select("fp", "sig").mapInArrow(_orders(f), "key long, fp binary, brief binary")
+    path = scratch_path(spark, "neardup-open")
+    keyed.join(found.where("key is not null").select("key").distinct(), "key", "left_semi").write.parquet(path)
+    still = _rooted(spark.read.parquet(path).withColumnRenamed("key", "group"), components(pairs))
+    path = scratch_path(spark, "neardup-more")
+    _across(still, f).write.parquet(path)
+    return pairs.unionByName(spark.read.parquet(path))
 
 
 def confirm(docs: DataFrame, nodes: DataFrame, loose: DataFrame, f: Forest = Forest()) -> DataFrame:
@@ -268,13 +369,15 @@ def confirm(docs: DataFrame, nodes: DataFrame, loose: DataFrame, f: Forest = For
     if large.isEmpty():
         return whole
     path = scratch_path(spark, "neardup-sets")
-    full(large).drop("group").write.parquet(path)
+    full(large).write.parquet(path)
     big = spark.read.parquet(path)
-    part = ordered(nodes.join(big.select("fp"), "fp", "left_semi"), f).join(big.drop("brief"), "fp").select(
+    part = ordered(nodes.join(big.select("fp"), "fp", "left_semi"), f).join(big.drop("group", "brief"), "fp").select(
         "key", "fp", "brief", "shingles")
-    along = part.repartitionByRange("key", "brief").sortWithinPartitions("key", "brief", "fp").mapInArrow(
-        _runs(f, _confirmed(f), 3), "a binary, b binary")
-    return whole.unionByName(along)
+    path = scratch_path(spark, "neardup-along")
+    part.repartitionByRange("key", "brief").sortWithinPartitions("key", "brief", "fp").mapInArrow(
+        _runs(f, _confirmed(f), 3), "a binary, b binary").write.parquet(path)
+    along = spark.read.parquet(path)
+    return whole.unionByName(along).unionByName(_across(_rooted(big, components(along)), f, whole=True))
 
 
 def near_duplicates(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
