@@ -293,12 +293,11 @@ def q_auc(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- models
-# Fits use at most FIT_ROWS rows of the train split (a random part by hash, all
-# if there are fewer) and parameters inside the published ranges.  The search and its refit run the first SEARCH trials of the 50 drawn
-# ones on SEARCH_FOLDS folds (README, "Model queries", has the figures).
+# A fit uses at most FIT_ROWS rows of the train split (a random part by hash, all
+# if there are fewer) and parameters inside the published ranges; the refit of the
+# best trial uses all.  Folds are cut from the whole train split, and every
+# held-out row is scored.
 FIT_ROWS = 20_000
-SEARCH = 1
-SEARCH_FOLDS = 2
 
 
 def _memo(spark, sf_dir, name, make):
@@ -312,9 +311,9 @@ def _memo(spark, sf_dir, name, make):
 
 def _fit_rows(spark, sf_dir):
     """The labelled rows that models are fitted on."""
+    from touchline.plans import models as ml
     train = _train_rows(spark, sf_dir)
-    n = _memo(spark, sf_dir, "train-count", train.count)
-    return train if n <= FIT_ROWS else train.where(prep.portable_hash(seed=7) < int(FIT_ROWS / n * 2147483648))
+    return ml.fit_sample(train, _memo(spark, sf_dir, "train-count", train.count), FIT_ROWS)
 
 
 def _written(spark, df, name):
@@ -427,8 +426,8 @@ def q_vote_log_loss(spark, sf_dir):
 
 def q_cv_score(spark, sf_dir):
     from touchline.plans import models as ml
-    folds = prep.stratified_folds(_fit_rows(spark, sf_dir), k=ml.FOLDS)
-    acc = ml.cv_accuracy(folds, _top(spark, sf_dir), ml.VoteParams(), parallelism=ml.FOLDS)
+    folds = prep.stratified_folds(_train_rows(spark, sf_dir), k=ml.FOLDS)
+    acc = ml.cv_accuracy(folds, _top(spark, sf_dir), ml.VoteParams(), parallelism=ml.FOLDS, fit_rows=FIT_ROWS)
     return spark.createDataFrame([(ml.FOLDS, acc)], "folds int, cv_accuracy double")
 
 
@@ -444,7 +443,8 @@ def q_search_parameters(spark, sf_dir):
 def q_search_trials(spark, sf_dir):
     from touchline.plans import models as ml
     return spark.read.parquet(_memo(spark, sf_dir, "trials", lambda: _written(spark, ml.random_search(
-        prep.stratified_folds(_fit_rows(spark, sf_dir), k=SEARCH_FOLDS), _top(spark, sf_dir), trials=SEARCH), "trials")))
+        prep.stratified_folds(_train_rows(spark, sf_dir), k=ml.FOLDS), _top(spark, sf_dir), trials=ml.TRIALS,
+        fit_rows=FIT_ROWS), "trials")))
 
 
 def q_best_model(spark, sf_dir):
@@ -454,7 +454,7 @@ def q_best_model(spark, sf_dir):
     from touchline.session import scratch_path
     trials = q_search_trials(spark, sf_dir)
     best = ml.best_trial(trials).first()
-    model = ml.fit_vote(_fit_rows(spark, sf_dir), _top(spark, sf_dir), ml.params_of(best))
+    model = ml.fit_vote(_train_rows(spark, sf_dir), _top(spark, sf_dir), ml.params_of(best))
     path = scratch_path(spark, "vote-model")
     model.save(path)
     loaded = ml.VoteModel.load(spark, path)

@@ -86,6 +86,45 @@ def test_vote_fit_save_load_round_trip(spark):
     assert b == {r.match_id: (r.predicted, round(r.p_home, 12)) for r in a.collect()}
 
 
+def test_search_folds_the_whole_train_split(spark, monkeypatch):
+    """All trials on all folds; FIT_ROWS bounds the fits, not what is scored."""
+    import __spark_entry__ as E
+    train = spark.createDataFrame([(i, i % 3, 0.0) for i in range(3000)], "match_id long, outcome int, x double")
+    fitted, scored = [], []
+
+    class Fixed:
+        features = ["x"]
+
+        def transform(self, df):
+            scored.append({r.match_id for r in df.select("match_id").collect()})
+            return df.withColumn("predicted", F.lit(0)).withColumns({p: F.lit(1 / 3) for p in ev.P})
+
+        def save(self, path):
+            pass
+
+    def fit(rows, features, params=None):
+        fitted.append(rows.count())
+        return Fixed()
+
+    monkeypatch.setattr(E, "_train_rows", lambda *_: train)
+    monkeypatch.setattr(E, "_test_rows", lambda *_: train.limit(30))
+    monkeypatch.setattr(E, "_top", lambda *_: ["x"])
+    monkeypatch.setattr(E, "_FITTED", {})
+    monkeypatch.setattr(E, "FIT_ROWS", 600)
+    monkeypatch.setattr(ml, "fit_vote", fit)
+    monkeypatch.setattr(ml.VoteModel, "load", staticmethod(lambda *_: Fixed()))
+    monkeypatch.setattr(ml, "TRIALS", 4)
+    assert E.q_cv_score(spark, "none").first().cv_accuracy == pytest.approx(1 / 3)
+    assert len(scored) == ml.FOLDS == 5 and set.union(*scored) == set(range(3000))
+    assert len(fitted) == 5 and all(400 < n < 800 for n in fitted)
+    fitted.clear(), scored.clear()
+    assert sorted(r.trial for r in E.q_search_trials(spark, "none").collect()) == [0, 1, 2, 3]
+    assert len(fitted) == len(scored) == 20 and sum(len(s) for s in scored) == 4 * 3000
+    fitted.clear()
+    E.q_best_model(spark, "none").collect()
+    assert fitted == [3000]  # the refit
+
+
 def test_standardise_uses_train_statistics(spark):
     train = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, 5.0), (3, 6.0, 5.0)], "match_id long, a double, b double")
     test = spark.createDataFrame([(4, 3.0, 7.0)], "match_id long, a double, b double")
