@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_MID
 from touchline.llm import quality, toxicity
 from touchline.llm import textkit as tk
+from touchline.llm import train
 
 
 def auc(y, s):
@@ -56,6 +57,25 @@ def test_odd_rows(spark, make_docs, odd_texts, op, label):
     assert len({r.score for r in one}) == 1 and one[0].score > 0.5
 
 
+def test_sample_skips_texts_that_do_not_fit(spark, make_docs):
+    """Long texts anywhere in hash order do not end the sample."""
+    order = [r.id for r in spark.range(120).orderBy(F.xxhash64(F.col("id"), F.lit(7))).collect()]
+    size = {i: 10 for i in order} | {order[0]: 5000, order[7]: 5000, order[8]: 900}
+    docs = make_docs([(i, "a" * n) for i, n in size.items()])
+    labels = spark.createDataFrame([(i, 1) for i in order], "doc_id long, toxic int")
+
+    def ids(per_class, max_bytes):
+        rows, totals = train.sample(docs, labels, "toxic", F.lit(True), per_class, max_bytes, ["text"])
+        assert totals == {1: 120}
+        return set(rows["doc_id"])
+    assert ids(50, 4000) == set(order[1:7] + order[8:52])
+    assert ids(50, 930) == set(order[1:7] + order[9:53])
+    assert ids(200, 600) == set(order[1:7] + order[9:63])
+    assert ids(200, 1 << 20) == set(order)
+    with pytest.raises(ValueError, match="only 5 of 120"):
+        ids(50, 50)
+
+
 def test_interactions_in_linear_time_equal_all_pairs():
     rng = np.random.default_rng(1)
     model = {"b": 0.3, "w": rng.normal(size=20), "v": rng.normal(size=(20, 3))}

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fewest sampled rows of a class, unless it has under twice as many and half of them are there.
+LEAST = 20
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: DataFrame | F.Column, per_class: int,
            max_bytes: int, columns: list[str]) -> tuple[pd.DataFrame, dict[int, int]]:
     """At most ``per_class`` labelled training rows of each class with their
@@ -15,8 +19,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train: DataFrame | F.
 
     Rows are taken in the order of a hash of their id, so the sample does not
     depend on the layout; ``max_bytes`` bounds the text that reaches the
-    driver (per class), whole texts only.  Rows without a label of 0 or 1 are
-    left out; of several labels of one id the largest counts."""
+    driver (per class), whole texts only: a text that does not fit what is left
+    of it is skipped and the next ones are tried.  A class of which too little
+    fits (``LEAST``) raises.  Rows without a label of 0 or 1 are left out; of
+    several labels of one id the largest counts."""
     lab = (labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("_id"))
            .agg(F.max(label).alias("y")))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")
@@ -25,15 +31,26 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train: DataFrame | F.
         .select("doc_id", "bytes", "o", "y")
     totals = {int(r["y"]): int(r["n"]) for r in lean.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = []
-    for y in (0, 1):  # the smallest per_class hashes: a bounded top-k
-        rows = lean.where(F.col("y") == y).orderBy("o", "doc_id").limit(per_class).toPandas()
-        if len(rows):
-            rows = rows.assign(bytes=rows["bytes"].astype(np.int64))
-            first = rows.index == 0
-            picked.append(rows[(rows["bytes"].cumsum() <= max_bytes) | first])
+    for y in sorted(totals):
+        taken, left, after = [], max_bytes, F.lit(True)
+        while len(taken) < per_class:  # a bounded top-k of the smallest hashes that can still fit
+            want = per_class - len(taken)
+            rows = (lean.where((F.col("y") == y) & (F.col("bytes") <= left) & after)
+                    .orderBy("o", "doc_id").limit(want).collect())
+            for r in rows:
+                if r["bytes"] <= left:
+                    taken.append((r["doc_id"], y))
+                    left -= r["bytes"]
+            if len(rows) < want:
+                break
+            last = rows[-1]
+            after = (F.col("o") > last["o"]) | ((F.col("o") == last["o"]) & (F.col("doc_id") > last["doc_id"]))
+        if len(taken) < min(LEAST, per_class, totals[y] / 2):
+            raise ValueError(f"only {len(taken)} of {totals[y]} texts with {label} = {y} fit {max_bytes} bytes")
+        picked.append(pd.DataFrame(taken, columns=["doc_id", "y"]))
     if not picked:
         return pd.DataFrame({"doc_id": [], "y": [], **{c: [] for c in columns}}), totals
-    ids = pd.concat(picked)[["doc_id", "y"]].drop_duplicates("doc_id")
+    ids = pd.concat(picked).drop_duplicates("doc_id")
     want = [int(x) for x in ids["doc_id"]]
     got = docs.where(train).where(F.col("doc_id").isin(want)).select("doc_id", *columns).toPandas()
     got = got.drop_duplicates("doc_id").merge(ids, on="doc_id").sort_values("doc_id").reset_index(drop=True)
