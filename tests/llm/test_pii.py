@@ -69,6 +69,25 @@ def test_clean_texts_have_no_spans(text):
     assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize("text, hidden", [
+    ("write to ann.lee at example.com please", "ann.lee at example.com"),
+    ("write to ann.lee@ example.com please", "ann.lee@ example.com"),
+    ("write to ann.lee @example.com please", "ann.lee @example.com"),
+    ("reach me at ann_lee at example.co.uk.", "ann_lee at example.co.uk"),
+    ("reach me at ann7@\nexample.org", "ann7@\nexample.org"),
+    ("look at example.com there", None),
+    ("opened 2019 at example.com there", None),
+    ("ann.lee at example.nowhere", None),
+    ("mail us @ noon.ok", None)])
+def test_a_disguise_does_not_depend_on_its_neighbours(text, hidden):
+    """Alone, and next to a sign of another disguise."""
+    want = [hidden] if hidden else []
+    assert [text[a:b] for _, a, b in pii.find(text)[1]] == want
+    for sign in ("the [dot] sign", "a \u200b b", "one two"):
+        both = f"{text} | {sign}"
+        assert [both[a:b] for _, a, b in pii.find(both)[1]] == want, both
+
+
 def test_documents(spark, make_docs, odd_texts):
     rows = [(i, t) for i, t in enumerate(odd_texts)] + [(30, "é a@b.co 1.2.3.4 +1 (414) 555-7134"), (30, "x"), (None, "a@b.co"),
                                                       (31, "w " * 50_000 + "z@y.org " + "w " * 50_000)]

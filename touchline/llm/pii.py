@@ -116,7 +116,8 @@ _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|pun
 _ATOM = r"[A-Za-z0-9_%+-]+"
 #: An address with a disguised @ or dot: name, @, labels joined by dots.
 _HIDDEN_MAIL = re.compile(
-    rf"{_ATOM}(?:(?:\.|{_DOT}){_ATOM})*\s*(?:@|{_AT})\s*[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.I)
+    rf"(?P<name>{_ATOM}(?:(?:\.|{_DOT}){_ATOM})*)(?P<at>\s*(?:@|{_AT})\s*)"
+    rf"(?P<host>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)", re.I)
 _HIDDEN_IP = re.compile(rf"[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}", re.I)
 #: At least four spelled digits near each other.
 _SPELLED_RUN = re.compile(
@@ -126,7 +127,8 @@ _TOKEN = re.compile(rf"(?<!\w)(?:{_DIGIT_WORD}|plus)(?!\w)", re.I)
 #: Cheap signs that a text may hide something.
 _ODD = re.compile("[­​-‍⁠﻿Ͱ-ϿЀ-ԯ！-～\U0001d400-\U0001d7ff"
                   "⁰-ₜ²³¹①-⓿ıℓ․。｡∙]")
-_SIGN = re.compile(rf"[\[({{<]\s*(?:at|@|arroba|chez|dot|\.|punkt|point|punto)\s*[\])}}>]|\s(?:dot|punkt|punto|arroba|@)\s", re.I)
+_SIGN = re.compile(rf"[\[({{<]\s*(?:at|@|arroba|chez|dot|\.|punkt|point|punto)\s*[\])}}>]|\s(?:dot|punkt|punto|arroba)\s"
+                   r"|\s@|@\s|\sat\s+[a-z0-9-]+\.[a-z0-9-]", re.I)
 #: Letters that stand for digits among digits, and numbers that hold some.
 _AS_DIGIT = str.maketrans("OoQlI|", "000111")
 _MIX = re.compile(r"[0-9][OoQlI|]|[OoQlI|][0-9]")
@@ -192,15 +194,34 @@ def fold(m: Mapped) -> Mapped:
     return Mapped("".join(text), start, end)
 
 
+def _address(hit: re.Match) -> bool:
+    """Whether a match of ``_HIDDEN_MAIL`` is taken as an address.  It depends on the match alone."""
+    if not re.search(r"\s", hit.group()) or re.search(r"[\[({<]", hit.group()):
+        return True
+    if re.split(r"[\s.]+", hit["host"])[-1].lower() not in _ENDINGS:
+        return False  # "at noon dot the end" is no address
+    if hit["at"].strip().lower() != "at" or re.search(r"\s", hit["host"]):
+        return True
+    # "look at example.com", "2019 at example.com" are prose; "ann.lee at example.com" is not
+    return bool(re.search(r"[\s._0-9]", hit["name"]) and re.search("[A-Za-z]", hit["name"]))
+
+
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """Disguised addresses; the host of a match that is none may be the name of the next."""
+    out, hit = [], _HIDDEN_MAIL.search(text)
+    while hit:
+        good = _address(hit)
+        if good:
+            out.append(hit.span())
+        hit = _HIDDEN_MAIL.search(text, hit.end() if good else hit.start("host"))
+    return out
+
+
 def undo_signs(m: Mapped) -> Mapped:
     """Within disguised addresses, at and dot become ``@`` and ``.``."""
     dots, ats = re.compile(_DOT, re.I), re.compile(rf"\s*(?:{_AT})\s*|\s*@\s*", re.I)
-    for pattern in (_HIDDEN_MAIL, _HIDDEN_IP):
-        for hit in reversed(list(pattern.finditer(m.text))):
-            lo, hi = hit.span()
-            bare = pattern is _HIDDEN_MAIL and re.search(r"\s", hit.group()) and not re.search(r"[\[({<]", hit.group())
-            if bare and re.split(r"[\s.]+", hit.group())[-1].lower() not in _ENDINGS:
-                continue  # "at noon dot the end" is no address
+    for found in (_addresses, lambda t: [x.span() for x in _HIDDEN_IP.finditer(t)]):
+        for lo, hi in reversed(found(m.text)):
             part = Mapped(m.text[lo:hi], m.start[lo:hi], m.end[lo:hi])
             part = part.rewrite(dots, lambda _: ".").rewrite(ats, lambda _: "@")
             m = Mapped(m.text[:lo] + part.text + m.text[hi:], m.start[:lo] + part.start + m.start[hi:],
