@@ -95,9 +95,16 @@ def op9_decontam(spark, sf_dir):
     return decontam.contaminated(tk.table(spark, sf_dir, "documents"), tk.table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op12_simhash(spark, sf_dir):
+    """SimHash components of all documents."""
+    from touchline.llm import simhash
+    return simhash.near_duplicates(tk.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_shard, op2_topk, op3_toxicity, op4_neardup, op5_mix, op6_quality,
-                                     op7_lm, op8_urls, op9_decontam, op10_pii)}
+                                     op7_lm, op8_urls, op9_decontam, op10_pii, op12_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
