@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     prints = written(fingerprints(docs, s), "simhash-prints")
     entries = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-entries")
-    roots = graph.components(links(entries.select("fp"), s))
+    roots = graph.components(written(links(entries.select("fp"), s), "simhash-links"))
     member = written(entries.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-members")
     # the smallest id of a component is a table of its own, so that the joins can split a large one
