@@ -95,6 +95,13 @@ def op9_decontam(spark, sf_dir):
     return decontam.contaminated(tk.table(spark, sf_dir, "documents"), tk.table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op11_centroids(spark, sf_dir):
+    """The vectors of ``embeddings`` around 8 integer centroids after 10 rounds."""
+    from touchline.llm import centroids
+    return centroids.cluster(tk.table(spark, sf_dir, "embeddings")).drop("checked")
+
+
 @_query
 def op12_simhash(spark, sf_dir):
     """SimHash components of all documents."""
@@ -102,13 +109,21 @@ def op12_simhash(spark, sf_dir):
     return simhash.near_duplicates(tk.table(spark, sf_dir, "documents"))
 
 
+@_query
+def op13_audit(spark, sf_dir):
+    """How five filters interact in every part, in all their orders."""
+    from touchline.llm import audit
+    return audit.interactions(tk.table(spark, sf_dir, "documents"), tk.table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_shard, op2_topk, op3_toxicity, op4_neardup, op5_mix, op6_quality,
-                                     op7_lm, op8_urls, op9_decontam, op10_pii, op12_simhash)}
+                                     op7_lm, op8_urls, op9_decontam, op10_pii, op11_centroids, op12_simhash, op13_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others learn, draw at random
     or normalise texts and are tested against brute force."""
-    from touchline.llm import neardup, shard, topk, urls
-    return {"op1_shard": shard.ORACLE, "op2_topk": topk.ORACLE, "op4_neardup": neardup.ORACLE, "op8_urls": urls.ORACLE}
+    from touchline.llm import audit, centroids, neardup, shard, topk, urls
+    return {"op1_shard": shard.ORACLE, "op2_topk": topk.ORACLE, "op4_neardup": neardup.ORACLE, "op8_urls": urls.ORACLE,
+            "op11_centroids": centroids.oracle(), "op13_audit": audit.ORACLE}
