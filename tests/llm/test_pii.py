@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -99,3 +100,38 @@ def test_documents(spark, make_docs, odd_texts):
         assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()  # nothing is hidden here
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(r.spans.count(k + ":") for k in pii.KINDS)
     assert pii.digest(pii.personal_data(make_docs([]))).count() == 0
+
+
+@pytest.mark.parametrize("name, text", [
+    ("digits", "0" * 1_000_000),
+    ("digits and letters", "0O" * 500_000),
+    ("dotted", "1." * 500_000),
+    ("large octet", "0" * 5000 + ".1.2.3 " + "9" * 5000 + ".1.2.3"),
+    ("name without end", "a." * 500_000 + " @ b"),
+    ("name and host without end", "a." * 250_000 + " @ " + "b." * 250_000 + "com"),
+    ("signs", "x[at]" * 200_000),
+    ("addresses", "ann [at] site [dot] org " * 10_000),
+    ("bare words", "a at b dot at dot " * 50_000),
+    ("blanks", "a [at] " + " " * 1_000_000 + " b [dot] c"),
+    ("spelled", "one 2 " * 150_000),
+    ("at signs", "a@" * 500_000),
+    ("brackets", "[" * 500_000 + "(at)" * 10),
+    ("odd letters", "а​" * 300_000),
+])
+def test_time_follows_the_length(name, text):
+    """Texts of about 1 MB that patterns can dwell on: a few seconds each, and
+    base spans as the plain patterns where those end."""
+    start = time.process_time()
+    base, _ = pii.find(text)
+    assert time.process_time() - start < (2 if text.isascii() and name != "addresses" else 6)
+    short = text[:300] + text[-300:]
+    assert pii.base_spans(short) == brute(short)
+    if name in ("digits", "large octet"):
+        assert base == ([("ip", 0, 5006)] if name == "large octet" else [])
+
+
+def test_pieces_of_a_long_stretch_meet():
+    """Disguised addresses across the borders of the pieces are found whole."""
+    text = "w[at]h[dot]org," * 6_000
+    got = pii.find(text)[1]
+    assert [text[a:b] for _, a, b in got] == ["w[at]h[dot]org"] * 6_000

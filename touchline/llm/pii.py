@@ -7,6 +7,12 @@ invisible characters vanish, spelled digits become digits, and "at"/"dot"
 disguises become ``@`` and ``.``.  Each output character remembers the stretch
 of source characters it came from, so a span found in the normalised text maps
 back to the source.  Offsets are code points, ends are exclusive.
+
+Every step takes time in proportion to the text, whatever it holds: digit runs
+are found once and grouped, disguised addresses are looked for around each
+``at`` only, and a disguised address has bounded pieces (a name of at most
+``_PIECES`` pieces of 64 characters, a host of at most ``_LABELS`` labels of
+63), so that a stretch of dots or letters without end is passed over at once.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +31,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -32,8 +39,11 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 Span = tuple[str, int, int]
 
 
+_NO_DIGITS = re.compile("[^0-9]+")
+
+
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return _NO_DIGITS.sub("", s)
 
 
 def luhn(digits: str) -> bool:
@@ -62,12 +72,22 @@ def _emails(text: str) -> Iterator[Span]:
             at = text.find("@", at + 1)
 
 
+def _ips(text: str) -> Iterator[Span]:
+    # a match takes whole numbers from the left, so the numbers of a dotted run go four by four
+    for run in _DOTTED.finditer(text):
+        parts = run.group().split(".")
+        lo = run.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i:i + 4]
+            hi = lo + sum(map(len, four)) + 3
+            if all(len(n := p.lstrip("0")) <= 3 and int(n or "0") <= 255 for p in four):
+                yield "ip", lo, hi
+            lo = hi + 1
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the four base patterns, in order of start, then kind."""
-    out = list(_emails(text))
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
-            out.append(("ip", m.start(), m.end()))
+    out = [*_emails(text), *_ips(text)]
     for m in _CARD.finditer(text):
         d = _digits(m.group())
         if 12 <= len(d) <= 19 and luhn(d):
@@ -113,16 +133,19 @@ _ENDINGS = frozenset("com org net edu gov mil int info biz io co app dev ai eu u
 _DIGIT_WORD = "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
 _AT = r"(?:[\[({<]\s*(?:at|@|arroba|chez)\s*[\])}>]|\s+(?:at|arroba)\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+)"
-_ATOM = r"[A-Za-z0-9_%+-]+"
-#: An address with a disguised @ or dot: name, @, labels joined by dots.
-_HIDDEN_MAIL = re.compile(
-    rf"(?P<name>{_ATOM}(?:(?:\.|{_DOT}){_ATOM})*)(?P<at>\s*(?:@|{_AT})\s*)"
-    rf"(?P<host>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)", re.I)
+_PIECES, _LABELS = 16, 32
+_ATOM = r"[A-Za-z0-9_%+-]{1,64}+(?![A-Za-z0-9_%+-])"
+_LABEL = r"[A-Za-z0-9-]{1,63}+(?![A-Za-z0-9-])"
+#: The sign of a disguised address, what follows it, and (read backwards) what leads to it.
+_AT_SIGN = re.compile(rf"\s*(?:@|{_AT})\s*", re.I)
+_HOST = re.compile(rf"{_LABEL}(?:(?:\.|{_DOT}){_LABEL}){{1,{_LABELS}}}", re.I)
+_DOT_BACK = (r"(?:\s*[\])}>]\s*(?:tod|\.|tknup|tniop|otnup)\s*[\[({<]\s*|\s+(?:tod|tknup|otnup)\s+)")
+_NAME_BACK = re.compile(rf"{_ATOM}(?:(?:\.|{_DOT_BACK}){_ATOM}){{0,{_PIECES - 1}}}", re.I)
 _HIDDEN_IP = re.compile(rf"[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}", re.I)
-#: At least four spelled digits near each other.
-_SPELLED_RUN = re.compile(
-    rf"(?<!\w)(?:\+|plus\s+)?(?:(?:{_DIGIT_WORD}|[0-9]+)(?:[\s.()-]+|$|(?=\W)))*?(?:(?:{_DIGIT_WORD})[\s.()-]+){{3,}}"
-    rf"(?:(?:{_DIGIT_WORD}|[0-9]+)[\s.()-]+)*(?:{_DIGIT_WORD}|[0-9]+)(?!\w)", re.I)
+#: Spelled digits and numbers one after another; four in a row, the first three spelled, make a run of them.
+_NUMBERS = re.compile(rf"(?<!\w)(?:{_DIGIT_WORD}|[0-9]++)(?!\w)(?:[\s.()-]++(?:{_DIGIT_WORD}|[0-9]++)(?!\w))*+", re.I)
+_FOUR = re.compile(rf"(?<!\w)(?:(?:{_DIGIT_WORD})[\s.()-]++){{3}}(?:{_DIGIT_WORD}|[0-9]++)(?!\w)", re.I)
+_LEAD = re.compile(r"(?:(?<!\w)\+|(?<!\w)plus\s{1,8})\Z", re.I)
 _TOKEN = re.compile(rf"(?<!\w)(?:{_DIGIT_WORD}|plus)(?!\w)", re.I)
 #: Cheap signs that a text may hide something.
 _ODD = re.compile("[­​-‍⁠﻿Ͱ-ϿЀ-ԯ！-～\U0001d400-\U0001d7ff"
@@ -135,6 +158,9 @@ _MIX = re.compile(r"[0-9][OoQlI|]|[OoQlI|][0-9]")
 _MIXED = re.compile(r"(?<!\w)\+?[0-9OoQlI|]+(?:[ .()-]{1,2}[0-9OoQlI|]+)*(?!\w)")
 _COUNT = re.compile(rf"(?<!\w)(?:{_DIGIT_WORD})[\s.()-]+(?:{_DIGIT_WORD})(?!\w)", re.I)
 _WINDOW = 120  # code points around a sign that are normalised
+_REACH = 4096  # code points that a stretch is widened by at most, more than an address holds
+_PIECE, _OVERLAP = 1 << 15, 2 * _REACH  # a long stretch is normalised in pieces
+_WHITE = re.compile(r"\s{9,}")
 
 
 class Mapped:
@@ -174,8 +200,24 @@ class Mapped:
         return Mapped("".join(text), start + self.start[last:], end + self.end[last:])
 
 
+    def at_places(self, spans: list[tuple[int, int]], change) -> Mapped:
+        """Each of the disjoint ``spans``, in order, becomes what ``change`` makes of it."""
+        text, start, end, last = [], [], [], 0
+        for lo, hi in [*spans, (len(self.text), len(self.text))]:
+            part = change(Mapped(self.text[lo:hi], self.start[lo:hi], self.end[lo:hi]))
+            text += [self.text[last:lo], part.text]
+            start += [*self.start[last:lo], *part.start]
+            end += [*self.end[last:lo], *part.end]
+            last = hi
+        return Mapped("".join(text), start, end)
+
+
 def fold(m: Mapped) -> Mapped:
-    """Look-alike characters become ASCII, invisible ones vanish."""
+    """Look-alike characters become ASCII, invisible ones vanish; of a long
+    run of white space eight blanks stay, which no pattern tells from more."""
+    m = m.rewrite(_WHITE, lambda _: " " * 8)
+    if m.text.isascii():
+        return m
     text, start, end = [], [], []
     for c, a, b in zip(m.text, m.start, m.end, strict=True):
         if c in _GONE:
@@ -194,38 +236,42 @@ def fold(m: Mapped) -> Mapped:
     return Mapped("".join(text), start, end)
 
 
-def _address(hit: re.Match) -> bool:
-    """Whether a match of ``_HIDDEN_MAIL`` is taken as an address.  It depends on the match alone."""
-    if not re.search(r"\s", hit.group()) or re.search(r"[\[({<]", hit.group()):
+def _address(name: str, at: str, host: str) -> bool:
+    """Whether a disguised address is taken as one.  It depends on its text alone."""
+    whole = name + at + host
+    if not re.search(r"\s", whole) or re.search(r"[\[({<]", whole):
         return True
-    if re.split(r"[\s.]+", hit["host"])[-1].lower() not in _ENDINGS:
+    if re.split(r"[\s.]+", host)[-1].lower() not in _ENDINGS:
         return False  # "at noon dot the end" is no address
-    if hit["at"].strip().lower() != "at" or re.search(r"\s", hit["host"]):
+    if at.strip().lower() != "at" or re.search(r"\s", host):
         return True
     # "look at example.com", "2019 at example.com" are prose; "ann.lee at example.com" is not
-    return bool(re.search(r"[\s._0-9]", hit["name"]) and re.search("[A-Za-z]", hit["name"]))
+    return bool(re.search(r"[\s._0-9]", name) and re.search("[A-Za-z]", name))
 
 
 def _addresses(text: str) -> list[tuple[int, int]]:
-    """Disguised addresses; the host of a match that is none may be the name of the next."""
-    out, hit = [], _HIDDEN_MAIL.search(text)
-    while hit:
-        good = _address(hit)
-        if good:
-            out.append(hit.span())
-        hit = _HIDDEN_MAIL.search(text, hit.end() if good else hit.start("host"))
+    """Disguised addresses: around each sign, a host after it and a name before it."""
+    out, last, back, n = [], 0, text[::-1], len(text)
+    for at in _AT_SIGN.finditer(text):
+        if at.start() < last:
+            continue
+        host = _HOST.match(text, at.end())
+        name = _NAME_BACK.match(back, n - at.start(), n - last) if host else None
+        if name and _address(name.group()[::-1], at.group(), host.group()):
+            last = host.end()
+            out.append((n - name.end(), last))
     return out
 
 
+_DOTS = re.compile(_DOT, re.I)
+
+
 def undo_signs(m: Mapped) -> Mapped:
     """Within disguised addresses, at and dot become ``@`` and ``.``."""
-    dots, ats = re.compile(_DOT, re.I), re.compile(rf"\s*(?:{_AT})\s*|\s*@\s*", re.I)
+    def plain(part: Mapped) -> Mapped:
+        return part.rewrite(_DOTS, lambda _: ".").rewrite(_AT_SIGN, lambda _: "@")
     for found in (_addresses, lambda t: [x.span() for x in _HIDDEN_IP.finditer(t)]):
-        for lo, hi in reversed(found(m.text)):
-            part = Mapped(m.text[lo:hi], m.start[lo:hi], m.end[lo:hi])
-            part = part.rewrite(dots, lambda _: ".").rewrite(ats, lambda _: "@")
-            m = Mapped(m.text[:lo] + part.text + m.text[hi:], m.start[:lo] + part.start + m.start[hi:],
-                       m.end[:lo] + part.end + m.end[hi:])
+        m = m.at_places(found(m.text), plain)
     return m
 
 
@@ -235,17 +281,18 @@ def undo_letters(m: Mapped) -> Mapped:
         if _MIX.search(m.text) else m
 
 
+_GAP = re.compile(r"(?<=[0-9+])\s+(?=[0-9])")
+
+
 def undo_digits(m: Mapped) -> Mapped:
     """Within runs of spelled digits, each word becomes its digit; the blanks between go."""
-    gap = re.compile(r"(?<=[0-9+])\s+(?=[0-9])")
-    for hit in reversed(list(_SPELLED_RUN.finditer(m.text))):
-        lo, hi = hit.span()
-        part = Mapped(m.text[lo:hi], m.start[lo:hi], m.end[lo:hi])
-        part = part.rewrite(_TOKEN, lambda t: _SPELLED.get(t.group().lower(), _PLUS.get(t.group().lower())))
-        part = part.rewrite(gap, lambda _: "")
-        m = Mapped(m.text[:lo] + part.text + m.text[hi:], m.start[:lo] + part.start + m.start[hi:],
-                   m.end[:lo] + part.end + m.end[hi:])
-    return m
+    spans = []
+    for hit in _NUMBERS.finditer(m.text):
+        if _FOUR.search(hit.group()):
+            lead = _LEAD.search(m.text, max(0, hit.start() - 16), hit.start())
+            spans.append((lead.start() if lead else hit.start(), hit.end()))
+    return m.at_places(spans, lambda part: part.rewrite(
+        _TOKEN, lambda t: _SPELLED.get(t.group().lower(), _PLUS.get(t.group().lower()))).rewrite(_GAP, lambda _: ""))
 
 
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:
@@ -257,25 +304,36 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
         return []
     stretches: list[list[int]] = []
     for p in sorted(signs):  # widened to white space, so that no identifier is cut
-        lo, hi = max(0, p - _WINDOW), min(len(text), p + _WINDOW)
-        while lo > 0 and not text[lo - 1].isspace():
+        done = stretches[-1][1] if stretches else 0
+        lo, hi = max(0, p - _WINDOW), max(done, min(len(text), p + _WINDOW))
+        least, most = max(done, lo - _REACH), min(len(text), hi + _REACH)
+        while lo > least and not text[lo - 1].isspace():
             lo -= 1
-        while hi < len(text) and not text[hi].isspace():
+        while hi < most and not text[hi].isspace():
             hi += 1
-        if stretches and lo <= stretches[-1][1]:
-            stretches[-1][1] = max(hi, stretches[-1][1])
+        if stretches and lo <= done:
+            stretches[-1][1] = hi
         else:
             stretches.append([lo, hi])
     taken = {k: [s for s in base if s[0] == k] for k in KINDS}
+    starts = {k: [s[1] for s in taken[k]] for k in KINDS}
+
+    def free(kind: str, lo: int, hi: int) -> bool:
+        i = bisect_right(starts[kind], lo)  # base spans of a kind do not overlap
+        return not (i and taken[kind][i - 1][2] > lo) and not (i < len(starts[kind]) and starts[kind][i] < hi)
+
     out: set[Span] = set()
-    for lo, hi in stretches:
-        m = undo_letters(undo_digits(undo_signs(fold(Mapped.of(text[lo:hi], lo)))))
-        if m.text == text[lo:hi]:
-            continue
-        for kind, a, b in base_spans(m.text):
-            s, e = m.source(a, b)
-            if not any(s < y and x < e for _, x, y in taken[kind]):
-                out.add((kind, s, e))
+    for first, last in stretches:
+        for at in range(first, last, _PIECE):
+            lo, hi = max(first, at - _OVERLAP), min(last, at + _PIECE + _OVERLAP)
+            m = undo_letters(undo_digits(undo_signs(fold(Mapped.of(text[lo:hi], lo)))))
+            if m.text == text[lo:hi]:
+                continue
+            for kind, a, b in base_spans(m.text):
+                s, e = m.source(a, b)
+                whole = (s > lo or lo in (0, first)) and (e < hi or hi in (len(text), last))
+                if at <= s < at + _PIECE and whole and free(kind, s, e):
+                    out.add((kind, s, e))
     return sorted(out, key=_order)
 
 
