@@ -294,10 +294,13 @@ def q_auc(spark, sf_dir):
 
 # ---------------------------------------------------------------- models
 # A fit uses at most FIT_ROWS rows of the train split (a random part by hash, all
-# if there are fewer) and parameters inside the published ranges; the refit of the
-# best trial uses all.  Folds are cut from the whole train split, and every
-# held-out row is scored.
+# if there are fewer), a fit of the search SEARCH_ROWS; the refit of the best trial
+# uses all.  Folds are cut from the whole train split, and every held-out row is
+# scored.  The vote has the middle of the published ranges.  The search's boosters
+# tell SEARCH_BINS codes of a feature apart, those of other fits 32.
 FIT_ROWS = 20_000
+SEARCH_ROWS = 600
+SEARCH_BINS = 16
 
 
 def _memo(spark, sf_dir, name, make):
@@ -427,12 +430,13 @@ def q_vote_log_loss(spark, sf_dir):
 def q_cv_score(spark, sf_dir):
     from touchline.plans import models as ml
     folds = prep.stratified_folds(_train_rows(spark, sf_dir), k=ml.FOLDS)
-    acc = ml.cv_accuracy(folds, _top(spark, sf_dir), ml.VoteParams(), parallelism=ml.FOLDS, fit_rows=FIT_ROWS)
+    acc = ml.cv_accuracy(folds, _top(spark, sf_dir), ml.VoteParams(), ml.FOLDS, FIT_ROWS)
     return spark.createDataFrame([(ml.FOLDS, acc)], "folds int, cv_accuracy double")
 
 
 def q_search_parameters(spark, sf_dir):
-    """ML-10: the parameters of all 50 trials, with the rows each fold trains on."""
+    """ML-10: the uniform draws of 50 trials (a search starts with the first of
+    them), with the rows outside the largest fold."""
     from touchline.plans import models as ml
     folds = prep.stratified_folds(_train_rows(spark, sf_dir).select("match_id", "outcome"), k=ml.FOLDS)
     per = folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
@@ -442,9 +446,9 @@ def q_search_parameters(spark, sf_dir):
 
 def q_search_trials(spark, sf_dir):
     from touchline.plans import models as ml
-    return spark.read.parquet(_memo(spark, sf_dir, "trials", lambda: _written(spark, ml.random_search(
-        prep.stratified_folds(_train_rows(spark, sf_dir), k=ml.FOLDS), _top(spark, sf_dir), trials=ml.TRIALS,
-        fit_rows=FIT_ROWS), "trials")))
+    return spark.read.parquet(_memo(spark, sf_dir, "trials", lambda: _written(spark, ml.search_trials(
+        prep.stratified_folds(_train_rows(spark, sf_dir), k=ml.FOLDS), _top(spark, sf_dir), ml.TRIALS, ml.FOLDS,
+        fit_rows=SEARCH_ROWS, bins=SEARCH_BINS), "trials")))
 
 
 def q_best_model(spark, sf_dir):

@@ -86,43 +86,59 @@ def test_vote_fit_save_load_round_trip(spark):
     assert b == {r.match_id: (r.predicted, round(r.p_home, 12)) for r in a.collect()}
 
 
-def test_search_folds_the_whole_train_split(spark, monkeypatch):
-    """All trials on all folds; FIT_ROWS bounds the fits, not what is scored."""
+def test_large_tables_are_fitted_in_many_tasks(spark, monkeypatch):
     import __spark_entry__ as E
-    train = spark.createDataFrame([(i, i % 3, 0.0) for i in range(3000)], "match_id long, outcome int, x double")
-    fitted, scored = [], []
-
-    class Fixed:
-        features = ["x"]
-
-        def transform(self, df):
-            scored.append({r.match_id for r in df.select("match_id").collect()})
-            return df.withColumn("predicted", F.lit(0)).withColumns({p: F.lit(1 / 3) for p in ev.P})
-
-        def save(self, path):
-            pass
+    tr = E._train_rows(spark, SF_SMALL)
+    feats = ["H2H_hometeam_wins", "home_win_rate", "away_win_rate", "points_per_game", "momentum_difference"]
+    params = ml.VoteParams(tree_n_estimators=6, xgb_n_estimators=2, xgb_max_depth=2, cat_iterations=2, cat_depth=2)
+    one = ml.fit_vote(tr, feats, params)
+    monkeypatch.setattr(ml, "TASK_ROWS", 100)
+    monkeypatch.setattr(ml, "TREE_ROWS", 500)
+    many = ml.fit_vote(tr, feats, params)
+    test = E._test_rows(spark, SF_SMALL).select("match_id", "outcome", *feats)
+    a, b = ({r.match_id: r for r in m.member_probs(test).collect()} for m in (one, many))
+    for i in a:
+        for m in ("xgb", "cat"):
+            assert all(a[i][f"p_{m}_{c}"] == pytest.approx(b[i][f"p_{m}_{c}"], abs=1e-12) for c in range(3))
+        assert sum(b[i][f"p_tree_{c}"] for c in range(3)) == pytest.approx(1.0)
 
-    def fit(rows, features, params=None):
-        fitted.append(rows.count())
-        return Fixed()
 
+def test_search_scores_the_whole_train_split(spark, monkeypatch):
+    """All trials on all folds; SEARCH_ROWS bounds the fits, not what is scored."""
+    import __spark_entry__ as E
+    from touchline.learners import fit as ft
+    from touchline.learners import search as se
+    rnd = random.Random(3)
+    train = spark.createDataFrame([(i, (i * 7) % 3, float((i * 7) % 3) + rnd.random()) for i in range(3000)],
+                                  "match_id long, outcome int, x double")
+    seen = []
+    fitted, ledgers = ft.fitted, []
+
+    def fits(session, sample, jobs):
+        seen.extend((j.trial, j.fold, j.member, len(sample.value.without(j.fold)[1])) for j in jobs)
+        return fitted(session, sample, jobs)
+
+    def at(session, path=None, made=se.Ledger.at):
+        ledgers.append(made(session, path))
+        return ledgers[-1]
+
+    small = ml.VoteParams(tree_n_estimators=5, xgb_n_estimators=2, cat_iterations=2)
+    monkeypatch.setattr(ft, "fitted", fits)
+    monkeypatch.setattr(se.Ledger, "at", staticmethod(at))
     monkeypatch.setattr(E, "_train_rows", lambda *_: train)
-    monkeypatch.setattr(E, "_test_rows", lambda *_: train.limit(30))
     monkeypatch.setattr(E, "_top", lambda *_: ["x"])
     monkeypatch.setattr(E, "_FITTED", {})
     monkeypatch.setattr(E, "FIT_ROWS", 600)
-    monkeypatch.setattr(ml, "fit_vote", fit)
-    monkeypatch.setattr(ml.VoteModel, "load", staticmethod(lambda *_: Fixed()))
-    monkeypatch.setattr(ml, "TRIALS", 4)
-    assert E.q_cv_score(spark, "none").first().cv_accuracy == pytest.approx(1 / 3)
-    assert len(scored) == ml.FOLDS == 5 and set.union(*scored) == set(range(3000))
-    assert len(fitted) == 5 and all(400 < n < 800 for n in fitted)
-    fitted.clear(), scored.clear()
-    assert sorted(r.trial for r in E.q_search_trials(spark, "none").collect()) == [0, 1, 2, 3]
-    assert len(fitted) == len(scored) == 20 and sum(len(s) for s in scored) == 4 * 3000
-    fitted.clear()
-    E.q_best_model(spark, "none").collect()
-    assert fitted == [3000]  # the refit
+    monkeypatch.setattr(E, "SEARCH_ROWS", 300)
+    monkeypatch.setattr(ml, "VoteParams", type("Small", (), {"__new__": lambda cls: small, "of": staticmethod(lambda r: small)}))
+    monkeypatch.setattr(ml, "TRIALS", 1)
+    assert E.q_cv_score(spark, "none").first().cv_accuracy > 0.9
+    assert sorted((f, m) for _, f, m, _ in seen) == sorted((f, m) for f in range(5) for m in ml.MEMBERS)
+    assert all(450 < n < 750 for *_, n in seen)
+    seen.clear()
+    assert [r.trial for r in E.q_search_trials(spark, "none").collect()] == [0]
+    assert all(200 < n < 400 for *_, n in seen) and len(seen) == 15
+    assert ledgers[0].rows().agg(F.sum("n")).first()[0] == 3000
 
 
 def test_standardise_uses_train_statistics(spark):

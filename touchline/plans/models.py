@@ -1,61 +1,79 @@
-"""Model jobs on Spark ML (ML-3..ML-13, UQ-9).
-
-* importance ranking with a 100-tree random forest, top-k features (ML-3, SL-4);
-* three voting members: a class-balanced random forest (ML-4) and two
-  one-vs-rest gradient-boosted tree members (ML-5, ML-6; Spark's GBT is binary);
-* equal-weight soft vote (ML-8), k-fold CV accuracy (ML-9), seeded random
-  search over the published ranges (ML-10), refit (ML-11), trial report (ML-13);
+"""Model jobs (ML-3..ML-13, UQ-9).
+
+* importance ranking with a fully grown 100-tree forest, top-k features (ML-3, SL-4);
+* three voting members: a class-balanced, fully grown random forest (ML-4), boosted
+  trees on softmax gradients (ML-5) and boosted symmetric trees with ordered
+  statistics (ML-6), all grown by ``touchline.learners``;
+* equal-weight soft vote (ML-8), k-fold CV accuracy (ML-9), search over the 12
+  published parameters (ML-10) with a resumable ledger (ML-13), refit (ML-11);
 * save / load of the fitted members and the kept-feature list (SNK-2, SNK-3);
 * batch scoring of a fixtures table (UQ-9).
 
-Fits are distributed Spark ML jobs; the driver only loops over folds and
-trials (as ``CrossValidator`` does) and holds the fitted model objects.
+Fits are Spark jobs with a task per fit (or per part of a forest); the driver
+holds the fitted model of a vote, whose size follows ``fit_rows``.
 """
 
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
-from pyspark.ml.classification import (GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassificationModel,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import label_text, pct_text
+from touchline.functions.ship import ensure_package
+from touchline.learners import codes as cd
+from touchline.learners import fit as ft
+from touchline.learners import large
+from touchline.learners import members as mb
+from touchline.learners import search as se
+from touchline.learners.members import INT_RANGES, MEMBERS, REAL_RANGES, VoteParams
 from touchline.plans.evaluate import P, argmax3
-from touchline.plans.prep import portable_hash, with_weights
+from touchline.plans.prep import portable_hash
 from touchline.schema import TOP_K_FEATURES
+from touchline.session import scratch_path
 
-VEC = "features_vec"
 LABEL = "outcome"
+TRIALS = 50
+FOLDS = 5
+STARTUP = 10  # trials that are uniform draws; the others follow from results
+TREES_A_TASK = 16
+TASK_ROWS = 200_000  # rows that a fit may hold in a task
+TREE_ROWS = 100_000  # rows that a tree of the forest draws from more than that
+
 
+def _coded(train: DataFrame, features: list[str], cuts: np.ndarray) -> DataFrame:
+    """``key, outcome, codes`` of each row."""
+    ensure_package(train.sparkSession)
+    key = F.col("match_id").cast("long") if "match_id" in train.columns else F.xxhash64(*features)
+    rows = train.select(key.alias("key"), F.col(LABEL).cast("int").alias(LABEL), *features)
+    return cd.with_codes(rows, features, cuts, ["key", LABEL])
 
-def assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    """Feature columns -> one vector column; nulls count as 0 (PF-15)."""
-    filled = df.fillna(0.0, subset=features)
-    return VectorAssembler(inputCols=features, outputCol=VEC, handleInvalid="keep").transform(filled)
+
+def _coded_sample(train: DataFrame, features: list[str], cuts: np.ndarray) -> ft.Sample:
+    """Codes of all rows of ``train`` on the driver; callers bound the rows."""
+    return ft.Sample.of(_coded(train, features, cuts), len(features))
 
 
 # ---------------------------------------------------------------- ML-3
-def feature_importance(train: DataFrame, features: list[str], num_trees: int = 100, max_depth: int = 30,
-                       seed: int = 42) -> DataFrame:
-    """(feature, importance) from a random forest fit.  The published forest
-    grows its trees fully; 30 is the deepest tree that Spark ML allows.  The
-    importance vector has one value per feature."""
-    rf = RandomForestClassifier(labelCol=LABEL, featuresCol=VEC, numTrees=num_trees, maxDepth=max_depth,
-                                seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True)
-    data = assemble(train, features).persist()  # read by several passes of the fit
-    try:
-        model = rf.fit(data)
-    finally:
-        data.unpersist()
-    imp = model.featureImportances.toArray().tolist()
+def feature_importance(train: DataFrame, features: list[str], num_trees: int = 100, seed: int = 42) -> DataFrame:
+    """(feature, importance) of a random forest whose trees are grown fully:
+    the decrease of impurity by feature, as a share of each tree's, averaged
+    over the trees.  Tasks grow a part of the trees each; a value per feature
+    and part is added up by Spark.  ``train`` is a bounded number of rows."""
     spark = train.sparkSession
-    return spark.createDataFrame(list(zip(features, [float(x) for x in imp])), "feature string, importance double")
+    cuts = cd.cut_points(train, features)
+    sample = spark.sparkContext.broadcast(_coded_sample(train, features, cuts))
+    p = VoteParams(tree_n_estimators=num_trees, tree_max_depth=1 << 20, tree_min_samples_split=2, tree_min_samples_leaf=1, seed=seed)
+    jobs = [j for j in ft.jobs_of(0, ft.NO_FOLD, p, 8) if j.member == "tree"]
+    parts = ft.fitted(spark, sample, jobs).select(F.posexplode("importance").alias("at", "share"))
+    total = parts.groupBy("at").agg((F.sum(F.round("share", 12).cast("decimal(30,12)")).cast("double") / num_trees).alias("importance"))
+    names = spark.createDataFrame(list(enumerate(features)), "at int, feature string")  # one row per feature
+    return names.join(total, "at", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
 
 
 def top_features(importance: DataFrame, k: int = TOP_K_FEATURES) -> DataFrame:
@@ -75,47 +93,10 @@ def importance_report(importance: DataFrame, n: int = 20) -> DataFrame:
 
 
 # ---------------------------------------------------------------- members
-# The published search ranges.  Forest depths of 31 to 50 do not
-# exist in Spark ML, so its range ends at 30; a smallest split size has no
-# counterpart there and is not drawn.
-INT_RANGES = {
-    "tree_n_estimators": (50, 500), "tree_max_depth": (5, 30), "tree_min_samples_leaf": (1, 5),
-    "xgb_n_estimators": (50, 200), "xgb_max_depth": (3, 7), "cat_iterations": (100, 500), "cat_depth": (3, 8),
-}
-REAL_RANGES = {
-    "xgb_learning_rate": (0.01, 0.2), "xgb_subsample": (0.7, 1.0), "xgb_colsample_bytree": (0.7, 1.0),
-    "cat_learning_rate": (0.05, 0.1),
-}
-TRIALS = 50
-FOLDS = 5
-
-
-@dataclass
-class VoteParams:
-    """One point of the published search space; the defaults are its cheapest
-    corner (fewest trees and rounds, least depth) with mid-range rates."""
-    tree_n_estimators: int = 50
-    tree_max_depth: int = 5
-    tree_min_samples_leaf: int = 1
-    xgb_n_estimators: int = 50
-    xgb_max_depth: int = 3
-    xgb_learning_rate: float = 0.1
-    xgb_subsample: float = 0.9
-    xgb_colsample_bytree: float = 0.9
-    cat_iterations: int = 100
-    cat_depth: int = 3
-    cat_learning_rate: float = 0.08
-    seed: int = 42
-
-    @staticmethod
-    def drawn(row) -> "VoteParams":
-        """The parameters of one row of :func:`trial_parameters`."""
-        return VoteParams(**{k: row[k] for k in (*INT_RANGES, *REAL_RANGES)})
-
-
 def trial_parameters(spark: SparkSession, trials: int = TRIALS, seed: int = 42) -> DataFrame:
-    """ML-10: the seeded draws of the search, one row per trial, uniform over
-    the published ranges; plain integer arithmetic, so any engine draws alike."""
+    """ML-10: seeded uniform draws over the published ranges, one row per
+    trial; plain integer arithmetic, so any engine draws alike.  A search
+    starts with the first of them."""
     t = spark.range(trials).select(F.col("id").cast("int").alias("trial"))
     names = [*INT_RANGES, *REAL_RANGES]
     cols = []
@@ -130,59 +111,38 @@ def trial_parameters(spark: SparkSession, trials: int = TRIALS, seed: int = 42)
     return t.select("trial", *cols)
 
 
-def _forest(p: VoteParams) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol=LABEL, featuresCol=VEC, weightCol="weight",
-                                  numTrees=p.tree_n_estimators, maxDepth=p.tree_max_depth,
-                                  minInstancesPerNode=p.tree_min_samples_leaf, seed=p.seed,
-                                  featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True,
-                                  probabilityCol="prob_tree",
-                                  rawPredictionCol="raw_tree", predictionCol="pred_tree")
-
-
-def _boost_a(p: VoteParams) -> OneVsRest:
-    gbt = GBTClassifier(featuresCol=VEC, maxIter=p.xgb_n_estimators, maxDepth=p.xgb_max_depth,
-                        stepSize=p.xgb_learning_rate, subsamplingRate=p.xgb_subsample,
-                        featureSubsetStrategy=f"{p.xgb_colsample_bytree:.4f}", seed=p.seed)
-    return OneVsRest(classifier=gbt, labelCol=LABEL, featuresCol=VEC, parallelism=3)
-
-
-def _boost_b(p: VoteParams) -> OneVsRest:
-    gbt = GBTClassifier(featuresCol=VEC, maxIter=p.cat_iterations, maxDepth=p.cat_depth,
-                        stepSize=p.cat_learning_rate, seed=p.seed)
-    return OneVsRest(classifier=gbt, labelCol=LABEL, featuresCol=VEC, parallelism=3)
-
-
-def ovr_probability(raw: str) -> list:
-    """Class probabilities of a one-vs-rest GBT: each member's margin m gives
-    1 / (1 + exp(-2m)) (Spark's GBT link); normalised over the classes."""
-    arr = vector_to_array(F.col(raw))
-    s = [F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * arr[c])) for c in range(3)]
-    tot = s[0] + s[1] + s[2]
-    return [x / tot for x in s]
-
-
 @dataclass
 class VoteModel:
     features: list
-    forest: RandomForestClassificationModel
-    boost_a: OneVsRestModel
-    boost_b: OneVsRestModel
+    cuts: np.ndarray
+    members: dict
     params: VoteParams
 
     def member_probs(self, df: DataFrame) -> DataFrame:
-        """Adds p_tree_*, p_xgb_*, p_cat_* (class 0/1/2) to ``df``."""
-        x = assemble(df, self.features)
-        x = self.forest.transform(x)
-        # one-vs-rest models keep their default output names; rename in turn
-        for model, raw in ((self.boost_a, "raw_xgb"), (self.boost_b, "raw_cat")):
-            x = model.transform(x)
-            x = x.select(*[c for c in x.columns if c not in ("rawPrediction", "prediction", "probability")],
-                         F.col("rawPrediction").alias(raw))
-        tree = vector_to_array(F.col("prob_tree"))
-        a, b = ovr_probability("raw_xgb"), ovr_probability("raw_cat")
-        cols = [tree[c].alias(f"p_tree_{c}") for c in range(3)]
-        cols += [a[c].alias(f"p_xgb_{c}") for c in range(3)] + [b[c].alias(f"p_cat_{c}") for c in range(3)]
-        return x.select(*df.columns, *cols)
+        """Adds p_tree_*, p_xgb_*, p_cat_* (class 0/1/2) to ``df``; null features count as 0 (PF-15)."""
+        spark = df.sparkSession
+        ensure_package(spark)
+        # two nodes at most per fitted row and tree, whatever is scored
+        held = spark.sparkContext.broadcast((self.cuts, {m: mb.to_bytes(x) for m, x in self.members.items()}))
+        names = [f"c{i}" for i in range(len(df.columns))]
+        out = [f"p_{m}_{c}" for m in MEMBERS for c in range(mb.CLASSES)]
+        x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(self.features)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cuts, blobs = held.value
+            members = {m: mb.from_bytes(b) for m, b in blobs.items()}
+            for b in batches:
+                values = np.stack([b.column(len(names) + j).to_numpy(zero_copy_only=False) for j in range(len(cuts))], axis=1)
+                codes = cd.encode(values, cuts)
+                p = [members[m].probabilities(codes) for m in MEMBERS]
+                cols = [pa.array(np.ascontiguousarray(q[:, c])) for q in p for c in range(mb.CLASSES)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], *cols], names=[*names, *out])
+
+        work = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)], *x)
+        schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields, strict=True)]
+                           + [f"{o} double" for o in out])
+        got = work.mapInArrow(run, schema)
+        return got.toDF(*df.columns, *out)
 
     def transform(self, df: DataFrame, members: bool = True) -> DataFrame:
         """Soft vote: mean of the three members, arg-max class.  With
@@ -194,23 +154,23 @@ class VoteModel:
         return out.withColumn("predicted", argmax3(*[F.col(p) for p in P]))
 
     def save(self, path: str) -> None:
-        """SNK-3 / SNK-2: members via Spark ML writers; feature list as a
-        one-column table; parameters as JSON next to them."""
-        self.forest.write().overwrite().save(f"{path}/forest")
-        self.boost_a.write().overwrite().save(f"{path}/boost_a")
-        self.boost_b.write().overwrite().save(f"{path}/boost_b")
+        """SNK-3 / SNK-2: members as one row each, the feature list with its cut
+        points as a table, the parameters as JSON next to them."""
         spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        spark.createDataFrame([(m, bytearray(mb.to_bytes(x))) for m, x in self.members.items()], "member string, blob binary") \
+            .write.mode("overwrite").parquet(f"{path}/members")
         save_feature_list(spark, self.features, f"{path}/features")
-        spark.createDataFrame([(json.dumps(asdict(self.params)),)], "params string") \
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.cuts)], "ord int, cuts array<double>") \
+            .write.mode("overwrite").parquet(f"{path}/cuts")
+        spark.createDataFrame([(json.dumps(self.params.plain()),)], "params string") \
             .write.mode("overwrite").json(f"{path}/params")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "VoteModel":
         feats = load_feature_list(spark, f"{path}/features")
-        raw = json.loads(spark.read.json(f"{path}/params").first()["params"])
-        return VoteModel(feats, RandomForestClassificationModel.load(f"{path}/forest"),
-                         OneVsRestModel.load(f"{path}/boost_a"), OneVsRestModel.load(f"{path}/boost_b"),
-                         VoteParams(**raw))
+        cuts = np.array([r["cuts"] for r in spark.read.parquet(f"{path}/cuts").orderBy("ord").collect()])
+        members = {r["member"]: mb.from_bytes(bytes(r["blob"])) for r in spark.read.parquet(f"{path}/members").collect()}
+        return VoteModel(feats, cuts, members, VoteParams(**json.loads(spark.read.json(f"{path}/params").first()["params"])))
 
 
 def save_feature_list(spark: SparkSession, features: list[str], path: str) -> None:
@@ -223,19 +183,24 @@ def load_feature_list(spark: SparkSession, path: str) -> list[str]:
 
 
 def fit_vote(train: DataFrame, features: list[str], params: VoteParams | None = None) -> VoteModel:
-    """Fit the three members on the same rows (ML-4..ML-7, ML-11)."""
+    """Fit the three members on the same rows (ML-4..ML-6, ML-11).  Up to
+    ``TASK_ROWS`` rows: a task for each booster and for every few trees of the
+    forest.  More: the rows stay in many tasks (``learners.large``)."""
     p = params or VoteParams()
-    train = train.select(LABEL, *features).persist()  # the class counts read it too
-    train.count()
-    data = assemble(with_weights(train, LABEL), features).persist()
-    try:
-        with ThreadPoolExecutor(max_workers=3) as pool:
-            fs = [pool.submit(est.fit, data) for est in (_forest(p), _boost_a(p), _boost_b(p))]
-            forest, a, b = (f.result() for f in fs)
-    finally:
-        data.unpersist()
-        train.unpersist()
-    return VoteModel(list(features), forest, a, b, p)
+    spark = train.sparkSession
+    cuts = cd.cut_points(train, features)
+    counts = {r[LABEL]: r["n"] for r in train.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(counts.values())
+    if n > TASK_ROWS:
+        path = scratch_path(spark, "coded-rows")
+        _coded(train, features, cuts).write.parquet(path)
+        rows, width = spark.read.parquet(path), len(features)
+        return VoteModel(list(features), cuts, {
+            "tree": large.fit_forest(rows, width, p, n, counts, TREE_ROWS), "xgb": large.fit_softmax(rows, width, p),
+            "cat": large.fit_symmetric(rows, width, p)}, p)
+    sample = spark.sparkContext.broadcast(_coded_sample(train, features, cuts))
+    rows = ft.fitted(spark, sample, ft.jobs_of(0, ft.NO_FOLD, p, TREES_A_TASK)).select("member", "part", "blob").collect()
+    return VoteModel(list(features), cuts, ft.member_of([r.asDict() for r in rows]), p)
 
 
 def member_predictions(model: VoteModel, df: DataFrame, member: str) -> DataFrame:
@@ -253,41 +218,33 @@ def fit_sample(rows: DataFrame, n: int, most: int | None) -> DataFrame:
 
 
 def cv_accuracy(train_with_folds: DataFrame, features: list[str], params: VoteParams, k: int | None = None,
-                parallelism: int = 2, fit_rows: int | None = None) -> float:
-    """Mean held-out accuracy over the folds of column ``fold``.  Each fold is
-    scored on all its rows; ``fit_rows`` bounds the rows of one fit only."""
+                fit_rows: int | None = None) -> float:
+    """Mean held-out accuracy over the folds of column ``fold``.  All fits are
+    one job; each fold is scored on all its rows, ``fit_rows`` bounds the rows
+    of one fit only."""
     folds = k or train_with_folds.agg(F.max("fold")).first()[0] + 1
-    owned = not train_with_folds.is_cached
-    data = train_with_folds.persist() if owned else train_with_folds  # every fold reads it twice
-
-    def one(f):
-        fit = data.where(F.col("fold") != f)
-        n = 0 if fit_rows is None else fit.count()
-        model = fit_vote(fit_sample(fit, n, fit_rows), features, params)
-        held = model.transform(data.where(F.col("fold") == f))
-        return held.agg(F.avg((F.col("predicted") == F.col(LABEL)).cast("double"))).first()[0]
-
-    try:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            scores = list(pool.map(one, range(folds)))
-    finally:
-        if owned:
-            data.unpersist()
-    return float(sum(scores) / len(scores))
-
-
-def random_search(train_with_folds: DataFrame, features: list[str], trials: int = TRIALS, seed: int = 42,
-                  fit_rows: int | None = None) -> DataFrame:
-    """ML-10: seeded random search over the published ranges, each trial
-    scored by CV accuracy; returns the trial table (ML-13)."""
-    data = train_with_folds.persist()
-    rows = []
-    for r in trial_parameters(data.sparkSession, trials, seed).orderBy("trial").collect():  # a row per trial
-        p = VoteParams.drawn(r)
-        rows.append((r["trial"], json.dumps(asdict(p)), cv_accuracy(data, features, p, fit_rows=fit_rows)))
-    data.unpersist()
+    work = ft.Folds.of(train_with_folds, features, folds, fit_rows)
+    got = work.scores([(0, f, params) for f in range(folds)]).collect()  # one row per fold
+    return float(sum(r["correct"] / r["n"] if r["n"] else 0.0 for r in got) / folds)
+
+
+def search_trials(train_with_folds: DataFrame, features: list[str], trials: int = TRIALS, folds: int = FOLDS, seed: int = 42,
+                  fit_rows: int | None = None, ledger: str | None = None, batch: int = 20, bins: int = 32) -> DataFrame:
+    """ML-10: ``trial, params, cv_accuracy`` of a search over the published
+    ranges (ML-13): the first trials are the uniform draws of
+    :func:`trial_parameters`, the others proposed from the results so far.
+    ``ledger`` names a folder of results to go on with; ``bins`` is how many
+    codes of a feature the boosters of the search tell apart."""
     spark = train_with_folds.sparkSession
-    return spark.createDataFrame(rows, "trial int, params string, cv_accuracy double")
+    work = ft.Folds.of(train_with_folds, features, folds, fit_rows)
+    draws = [VoteParams.of(r) for r in trial_parameters(spark, min(trials, STARTUP), seed).orderBy("trial").collect()]
+
+    def scores(votes: list[tuple[int, int, VoteParams]]) -> DataFrame:
+        return work.scores([(t, f, replace(p, bins=bins)) for t, f, p in votes])
+
+    done = se.search(se.Ledger.at(spark, ledger), scores, draws, folds, trials, seed, batch)
+    return spark.createDataFrame([(t, json.dumps(p.plain()), a) for t, p, a in done],  # a row per trial
+                                 "trial int, params string, cv_accuracy double")
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
@@ -313,6 +270,6 @@ def log_loss(pred: DataFrame, y: str = LABEL) -> DataFrame:
     return pred.agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("log_loss"))
 
 
-__all__ = ["assemble", "feature_importance", "top_features", "VoteParams", "VoteModel", "fit_vote",
-           "member_predictions", "cv_accuracy", "random_search", "trial_parameters", "best_trial", "score_fixtures",
-           "save_feature_list", "load_feature_list", "log_loss"]
+__all__ = ["feature_importance", "top_features", "VoteParams", "VoteModel", "fit_vote", "member_predictions", "cv_accuracy",
+           "search_trials", "trial_parameters", "best_trial", "score_fixtures", "save_feature_list", "load_feature_list",
+           "log_loss"]
