@@ -47,5 +47,5 @@ def test_run_and_empty_table(spark):
 
 def test_query_names():
     names = queries.queries()
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(names)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import textkit as tk
-from touchline.llm.train import sample, sigmoid, sums
+from touchline.llm.train import labelled, sample, sigmoid, sums
 
 
 @dataclass(frozen=True)
@@ -197,7 +197,8 @@ def _stated(docs: DataFrame) -> Column:
 def trained(docs: DataFrame, labels: DataFrame, train: Column, s: Settings = Settings()) -> dict:
     """A model fitted on a bounded sample (``per_class``, ``max_bytes``) of labelled rows."""
     lean = docs.withColumn("_stated", _stated(docs))
-    rows, totals = sample(lean, labels, "quality", train, s.per_class, s.max_bytes, ["text", "_stated"])
+    known = labelled(lean, labels, "quality", train)
+    rows, totals = sample(lean, known, "quality", train, s.per_class, s.max_bytes, ["text", "_stated"])
     return fit(rows["text"].tolist(), rows["_stated"].to_numpy(float), rows["y"].to_numpy(float), totals, s)
 
 
