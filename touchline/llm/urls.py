@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.session import scratch_path
+
 #: Fixed by the task: (host, path, verdict).
 RULES = (
     ("com", "/", "allow"),
@@ -76,9 +78,15 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     order = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"))
     best = fit.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"),
                                                              F.col("r_verdict").alias("verdict")), order).alias("hit"))
-    return src.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("hit.rule").alias("rule"),
-        F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
+    # the hits are a table before pages join them, so Spark can split the join at a place of
+    # many pages; URLs without a host, of which there may be most, need none
+    path = scratch_path(pages.sparkSession, "url-hits")
+    best.write.parquet(path)
+    hits = pages.sparkSession.read.parquet(path)
+    bare = src.where("host = ''").withColumn("hit", F.lit(None).cast(hits.schema["hit"].dataType))
+    judged = src.where("host <> ''").join(hits, ["host", "path"], "left").select(*bare.columns).unionByName(bare)
+    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"),
+                         F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
 
 
 def task_rules(spark) -> DataFrame:
