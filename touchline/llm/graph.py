@@ -62,7 +62,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     (large star), then every smaller neighbour likewise (small star); the
     rounds grow with the logarithm of a component's size.  Edges stay in Spark
     tables; each round is cut by ``checkpoint()`` into the shared folder, and
-    only a count and a checksum reach the driver.
+    only a count and a checksum reach the driver.  The smallest neighbours are
+    a table of their own before edges join them, so Spark can split the join
+    at a node with many neighbours.
     Null ends are ignored; an empty edge list gives an empty result.
     """
     checkpoint_dir(edges.sparkSession)
@@ -73,9 +75,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     seen = None
     for _ in range(rounds if tasks > 1 else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = large.checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(low, "u")
         e = (small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
              .unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint())

@@ -406,10 +406,13 @@ def near_duplicates(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     link_path = scratch_path(spark, "neardup-links")
     confirm(docs, nodes, loose, f).write.parquet(link_path)
     comp = components(spark.read.parquet(link_path))
-    of = nodes.select("fp", "first_id").join(comp, nodes["fp"] == comp["node"], "left") \
-        .select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = of.join(ids, "root").select("fp", "root", "component_id")
+    member_path, id_path = scratch_path(spark, "neardup-members"), scratch_path(spark, "neardup-ids")
+    (nodes.select("fp", "first_id").join(comp, nodes["fp"] == comp["node"], "left")
+     .select("fp", "first_id", F.coalesce("root", "fp").alias("root")).write.parquet(member_path))
+    of = spark.read.parquet(member_path)
+    # a table of its own, so that Spark can split the join at a component of many texts
+    of.groupBy("root").agg(F.min("first_id").alias("component_id")).write.parquet(id_path)
+    named = of.join(spark.read.parquet(id_path), "root").select("fp", "root", "component_id")
     out = rows.select("doc_id", "row_key", "n_shingles", "fp").join(named, "fp", "left")
     cid = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"),
@@ -424,7 +427,8 @@ def keep_one(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     plain, c = tk.numbered(docs)
     keyed = plain.withColumn("_row_key", F.xxhash64(F.col(c["doc_id"]).cast("long"), F.col(c["text"])))
     worded = F.coalesce(F.col(c["text"]), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    stay = keyed.where(worded).join(one, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    # rows repeated in full are one before they meet the kept keys
+    stay = keyed.where(worded).dropDuplicates(["_row_key"]).join(one, "_row_key", "left_semi")
     return stay.drop("_row_key").unionByName(plain.where(~worded)).toDF(*docs.columns)
 
 
