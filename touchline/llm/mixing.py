@@ -200,6 +200,6 @@ def mixed(docs: DataFrame, **kw) -> DataFrame:
     m = m.select(F.col("row_key").alias("_row_key"), "_copies")
     plain, c = tk.numbered(docs)
     keyed = plain.withColumn("_row_key", F.xxhash64(*[F.col(c[x]) for x in ("doc_id", "source", "text")]))
-    one = keyed.join(m, "_row_key").dropDuplicates(["_row_key"])
+    one = keyed.dropDuplicates(["_row_key"]).join(m, "_row_key")  # rows repeated in full are one before the join
     return (one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
             .select(*[F.col(n).alias(x) for x, n in c.items()]))
