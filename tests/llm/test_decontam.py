@@ -105,7 +105,7 @@ def test_edits_equal_plain_programming():
 
 def test_benchmark_in_blocks_and_odd_rows(spark, make_docs, case, odd_texts):
     _, _, text, items = case
-    rows = [(i, t) for i, t in enumerate(items)] + [(90, None), (91, ""), (92, "too short"), (None, items[0])]
+    rows = [(i, t) for i, t in enumerate(items)] + [(90, None), (91, ""), (92, "not there"), (None, items[0])]
     bench = spark.createDataFrame(rows, "item_id long, text string")
     docs = make_docs([*odd_texts, items[5], items[5], (None, items[7])] if False else
                      [(i, t) for i, t in enumerate(odd_texts)] + [(50, items[5]), (50, items[5]), (None, items[7])])
@@ -116,3 +116,23 @@ def test_benchmark_in_blocks_and_odd_rows(spark, make_docs, case, odd_texts):
     assert kept.columns == docs.columns and kept.count() == len(odd_texts)
     assert dc.contaminated(make_docs([]), bench).count() == 0
     assert dc.contaminated(docs, bench.limit(0)).count() == 0 and dc.clean(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_items_of_any_length(spark, make_docs):
+    """Items of one to four words are found as they are, one of thousands of words with edits."""
+    rng = random.Random(5)
+    v = [f"w{i}" for i in range(4000)]
+    long = [rng.choice(v) for _ in range(5000)]
+    items = ["Zebra", "only two", "three little words", "now four short words", " ".join(long)]
+    filler = lambda n: [rng.choice(v) for _ in range(n)]
+    texts = {0: " ".join([*filler(30), "zebra,", *filler(30)]), 1: "zebras only three little word now four short",
+             2: " ".join([*filler(9), "Only", "two"]), 3: "three  little\nwords", 4: "x now four short words y",
+             5: " ".join([*filler(200), *edit(rng, v, long, 700), *filler(200)]), 6: " ".join(filler(6000)),
+             7: " ".join([*long[:3500], *filler(1500)]), 8: "two only little three words"}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = make_docs(list(texts.items()))
+    got = sorted((r.doc_id, r.item_id, r.item_words) for r in dc.contaminated(docs, bench).collect())
+    assert got == [(0, 0, 1), (2, 1, 2), (3, 2, 3), (4, 3, 4), (5, 4, 5000)]
+    assert {r.doc_id for r in dc.clean(docs, bench).collect()} == {1, 6, 7, 8}
+    held = dc.Settings(min_words=5)
+    assert {r.doc_id for r in dc.contaminated(docs, bench, held).collect()} == {5}

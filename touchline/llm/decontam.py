@@ -37,9 +37,10 @@ class Settings:
     repeats: int = 48
     bits: int = 3
     stretch: int = 3  # output length of the walk, times the window
-    min_words: int = 5  # shorter items say nothing
+    min_words: int = 1  # shorter items are passed over; below 5 words no edit is allowed
     chunk_bytes: int = 4 << 20  # of text searched at a time in a task
     block_bytes: int = 4 << 20  # of benchmark text sent to the tasks at once
+    cells: int = 1 << 21  # of a matrix of windows and their words that is held at a time
 
 
 _SPACE = tk.SPACE
@@ -98,6 +99,10 @@ def edits(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.min())
 
 
+#: Items of more words are verified in wide stretches, each once.
+LONG = 256
+
+
 class Bench:
     """One block of the benchmark, prepared for look-ups in the tasks."""
 
@@ -138,6 +143,7 @@ class Bench:
     def find(self, h: np.ndarray, wo: np.ndarray, s: Settings) -> dict[tuple[int, int], int]:
         """Item and edits for each document (by its place) that holds the item."""
         found: dict[tuple[int, int], int] = {}
+        self.looked: dict[tuple[int, int], list[tuple[int, int]]] = {}
         if not self.sizes or len(h) == 0:
             return found
         code = np.full(len(h), -1, np.int64)
@@ -154,25 +160,36 @@ class Bench:
         for n in self.sizes:
             allow = int(s.rate * n)
             keys, owner, mine, key = self.tables[n]
-            on = key[code[at_key]]
-            if not on.any():
+            on = np.flatnonzero(key[code[at_key]])
+            if not len(on):
                 continue
             # windows of n words with a key; near a text's end they are shorter
-            start = (at_key[on][:, None] - np.arange(n)[None, :])
-            first = wo[doc[on]][:, None]
-            mark[start[start >= first]] = True
+            step = max(1, s.cells // n)
+            for lo in range(0, len(on), step):
+                some = on[lo:lo + step]
+                start = (at_key[some][:, None] - np.arange(n)[None, :])
+                first = wo[doc[some]][:, None]
+                mark[start[start >= first]] = True
             start = np.flatnonzero(mark)
             mark[start] = False
             d = np.searchsorted(wo, start, side="right") - 1
             stop = np.minimum(start + n, wo[d + 1])
             ok = bad[stop] - bad[start] + (n - (stop - start)) <= allow
             start, stop, d = start[ok], stop[ok], d[ok]
-            for lo in range(0, len(start), 4096):
-                self._match(h, wo, code, start[lo:lo + 4096], stop[lo:lo + 4096], d[lo:lo + 4096], n, allow, s, found)
+            step = min(4096, max(1, s.cells // n)) if n <= LONG else 64
+            for lo in range(0, len(start), step):
+                self._match(h, wo, code, start[lo:lo + step], stop[lo:lo + step], d[lo:lo + step], n, allow, s, found)
         return found
 
     def _match(self, h, wo, code, start, stop, doc, n: int, allow: int, s: Settings, found: dict) -> None:
         keys, owner, mine, _ = self.tables[n]
+        own = np.unique(owner).tolist()
+        if n > LONG and len(own) <= 8:  # windows within stretches that were verified for every item of this length
+            fresh = np.array([not all(any(a <= x <= z for a, z in self.looked.get((d, q), ())) for q in own)
+                              for x, d in zip(start.tolist(), doc.tolist(), strict=True)], bool)
+            start, stop, doc = start[fresh], stop[fresh], doc[fresh]
+            if not len(start):
+                return
         at = start[:, None] + np.arange(n)[None, :]
         inside = at < stop[:, None]
         at = np.minimum(at, len(h) - 1)
@@ -181,7 +198,7 @@ class Bench:
         if not good.any():
             return
         start, doc, at, inside = start[good], doc[good], at[good], inside[good]
-        sig = samples(np.where(inside, h[at], np.uint64(0)), n, s)
+        sig = samples(np.where(inside, h[at], np.uint64(0)), n, s, max(1, min(1024, s.cells // n)))
         lo = np.searchsorted(keys, sig, side="left")
         count = np.searchsorted(keys, sig, side="right") - lo
         r, rep = np.nonzero(count)
@@ -191,21 +208,37 @@ class Bench:
         place = np.repeat(lo[r, rep] - np.cumsum(times) + times, times) + np.arange(times.sum())
         pairs = np.unique(np.repeat(r, times) * (1 << 32) + owner[place])
         pairs = np.stack([pairs >> 32, pairs & ((1 << 32) - 1)], axis=1)
-        reach = np.arange(n + 2 * allow)[None, :] - allow
-        enough = []
-        for p in range(0, len(pairs), 512):  # too few of the item's words near the window: not verified
-            i, q = pairs[p:p + 512, 0], pairs[p:p + 512, 1]
-            near = start[i][:, None] + reach
-            inside = (near >= wo[doc[i]][:, None]) & (near < wo[doc[i] + 1][:, None])
-            near = np.where(inside, code[np.clip(near, 0, len(h) - 1)], -1)
-            enough.append((self.codes[n][self.row[q]][:, :, None] == near[:, None, :]).any(axis=2).sum(axis=1) >= n - allow)
-        for i, q in pairs[np.concatenate(enough)].tolist():
-            d = int(doc[i])
-            if found.get((d, q), n) == 0:
+        if n <= LONG:  # too few of the item's words near the window: not verified
+            reach = np.arange(n + 2 * allow)[None, :] - allow
+            enough = []
+            step = min(512, max(1, 8 * s.cells // (n * (n + 2 * allow))))
+            for p in range(0, len(pairs), step):
+                i, q = pairs[p:p + step, 0], pairs[p:p + step, 1]
+                near = start[i][:, None] + reach
+                inside = (near >= wo[doc[i]][:, None]) & (near < wo[doc[i] + 1][:, None])
+                near = np.where(inside, code[np.clip(near, 0, len(h) - 1)], -1)
+                enough.append((self.codes[n][self.row[q]][:, :, None] == near[:, None, :]).any(axis=2).sum(axis=1) >= n - allow)
+            pairs = pairs[np.concatenate(enough)]
+        # windows of an item that overlap are verified together, a long item's in a wide stretch
+        wide = n if n > LONG else 0
+        pairs = pairs[np.lexsort((start[pairs[:, 0]], doc[pairs[:, 0]], pairs[:, 1]))]
+        done: tuple[int, int, int] = (-1, -1, -1)
+        for p, (i, q) in enumerate(pairs.tolist()):
+            d, at = int(doc[i]), int(start[i])
+            if found.get((d, q), n) == 0 or (done[:2] == (d, q) and at <= done[2]):
                 continue
-            item = self.items[q][1]
-            a, b = max(int(wo[d]), int(start[i]) - allow), min(int(wo[d + 1]), int(start[i]) + n + allow)
-            dist = edits(item, h[a:b])
+            last = at
+            for j, r in pairs[p + 1:p + 1 + 4 * n].tolist():
+                if r != q or doc[j] != d or start[j] - last > n or start[j] - at > 4 * n:
+                    break
+                last = int(start[j])
+            done = (d, q, last + wide)
+            a, b = max(int(wo[d]), at - wide - allow), min(int(wo[d + 1]), last + wide + n + allow)
+            if wide:
+                self.looked.setdefault((d, q), []).append((at - wide, last + wide))
+                if np.isin(self.codes[n][self.row[q]], code[a:b]).sum() < n - allow:
+                    continue
+            dist = edits(self.items[q][1], h[a:b])
             if dist <= allow and dist < found.get((d, q), n):
                 found[(d, q)] = dist
 
@@ -231,10 +264,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     """``doc_id, item_id, edits, item_words`` for each document that holds an
     item (rows of clean documents do not appear).
 
-    Whole texts are searched.  Null or empty texts hold nothing; items that
-    are null or have fewer than ``min_words`` words are never found; rows that
-    repeat are reported once; a null doc_id is reported as null.  Extra
-    columns are ignored; empty tables give an empty result."""
+    Whole texts are searched.  Null or empty texts hold nothing; items of any
+    length are searched, those of fewer than five words without edits; items
+    that are null or have no word (or fewer than ``min_words``) are never
+    found; rows that repeat are reported once; a null doc_id is reported as
+    null.  Extra columns are ignored; empty tables give an empty result."""
     schema = "doc_id long, item_id long, edits int, item_words int"
     out = docs.sparkSession.createDataFrame([], schema)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -260,7 +294,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
 
 def clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows and columns as they were.
-    Decided row by row where the text is, so nothing is joined back."""
+    Decided row by row where the text is, so nothing is joined back.  Rows with a null or empty
+    text stay, as do rows that repeat and rows with a null doc_id, by their text alone; columns
+    may have any names; empty tables are fine."""
     names = docs.columns
     for ids, texts in _blocks(benchmark, s):
         held = docs.sparkSession.sparkContext.broadcast(Bench(ids, texts, s))
