@@ -444,14 +444,14 @@ def scores(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> DataF
     # block is (a part of) what one task reads, so the text does not move yet
     blocks = max(1, math.ceil(total / s.block_bytes))
     near = docs.coalesce(blocks)
-    cut = max(1, round(total / s.block_bytes / max(1, near.rdd.getNumPartitions())))
+    parts = max(1, near.rdd.getNumPartitions())
+    cut = max(1, round(total / s.block_bytes / parts))
     block = F.spark_partition_id().cast("long") * cut + F.pmod(F.xxhash64("doc_id", "text"), F.lit(cut))
     path = scratch_path(spark, "ctw-texts")
     src = near.select(block.alias("block"), (~held_out).alias("train"), F.col("doc_id").cast("long").alias("doc_id"),
                       held_out.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     src.sortWithinPartitions("block", "train").write.option("compression", "zstd").parquet(path)
     src = spark.read.parquet(path)
-    tasks = min(4 * blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 10_000))
     path = scratch_path(spark, "ctw-counts")
     (src.select("block", "train", "text").mapInArrow(_count(s), "block long, kind int, key long, n long")
      .write.option("compression", "zstd").parquet(path))
@@ -477,7 +477,8 @@ def scores(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> DataF
     part = part.unionByName(words.where("value > 0").select("block", F.lit(WORD).alias("kind"), "key", "value", *empty))
     rows = part.unionByName(src.select("block", F.lit(DOC).alias("kind"), F.lit(0).cast("long").alias("key"),
                                        F.lit(0.0).alias("value"), "doc_id", "held_out", "text"))
-    out = rows.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(
+    # a task for each block: block numbers are partition numbers
+    out = rows.repartitionById(parts * cut, F.col("block").cast("int")).sortWithinPartitions("block", "kind").mapInArrow(
         _score(s, train_tokens, kinds, ends),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, log2 double, n_symbols long")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"),
