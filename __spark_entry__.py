@@ -94,6 +94,20 @@ def q_fixture_features(spark, sf_dir):
     return fe.fixture_features(m, _fixtures(m))
 
 
+def q_states_incremental(spark, sf_dir):
+    """W-1..W-6 from a store that was built before the last three match days and
+    had these merged in: the fixtures' features, which must be those of the
+    whole history."""
+    from touchline.plans.incremental import StateStore
+    from touchline.session import scratch_path
+    m = _matches(spark, sf_dir)
+    days = [r[0] for r in m.select("match_date").distinct().orderBy(F.desc("match_date")).limit(3).collect()]
+    store = StateStore.build(m.where(F.col("match_date") < min(days)), scratch_path(spark, "state-store"))
+    for day in sorted(days):
+        store.add(m.where(F.col("match_date") == day))
+    return fe.fixture_features(None, _fixtures(m), saved=store.saved())
+
+
 def q_teams(spark, sf_dir):
     return su.teams(_matches(spark, sf_dir))
 
@@ -141,16 +155,18 @@ _ODDS_HEADERS = [("B365H", "b365h"), ("B365D", "b365d"), ("B365A", "b365a")]
 
 
 def _land_raw_seasons(spark, sf_dir) -> str:
-    """Stand-in input: the test tables written out as ragged season CSV files.
-    Seasons up to 1995 use a short header with two-digit years; later seasons
-    add Div/Time and woodwork/offside columns in another order, with
-    four-digit unpadded dates.  Rows without a result are written too."""
+    """Stand-in input: the test tables written out as ragged season CSV files in
+    ISO-8859-1, with an é in every team name.  Seasons up to 1995 use a short
+    header with two-digit years; later seasons add Div/Time and woodwork and
+    offside columns in another order, with four-digit unpadded dates.  Rows
+    without a result are written too, and a file of over-long rows, which a
+    reader must skip."""
     from touchline.functions.columns import season_year
     from touchline.session import scratch_path
     from touchline.sources.seasons import write_season_csv
     raw = adapter.raw_matches(spark, sf_dir).withColumn("season_year", season_year("match_date"))
     root = scratch_path(spark, "raw-seasons")
-    s = lambda c: F.col(c).cast("string")
+    s = lambda c: F.regexp_replace(c, "^T", "Té") if c.endswith("_team") else F.col(c).cast("string")
     old = ([("Date", F.date_format("match_date", "dd/MM/yy")), ("HomeTeam", s("home_team")),
             ("AwayTeam", s("away_team"))] + [(h, s(c)) for h, c in _STAT_HEADERS[:2]]
            + [("FTR", s("ftr"))] + [(h, s(c)) for h, c in _STAT_HEADERS[2:4]] + [("HTR", s("htr"))]
@@ -162,6 +178,11 @@ def _land_raw_seasons(spark, sf_dir) -> str:
            + [(h, s(c)) for h, c in reversed(_ODDS_HEADERS)])
     write_season_csv(raw.where(F.col("season_year") <= 1995), f"{root}/short", old)
     write_season_csv(raw.where(F.col("season_year") > 1995), f"{root}/long", new)
+    # more fields than the header names: the surplus holds text, or nothing (a trailing comma)
+    line = F.concat_ws(",", F.date_format("match_date", "dd/MM/yy"), "home_team", "away_team", F.lit("H"),
+                       F.when(F.col("match_id") % 2 == 0, "surplus").otherwise(""))
+    (raw.where("match_id % 50 = 0").select(line.alias("Date,HomeTeam,AwayTeam,FTR"))  # one column, so nothing is quoted
+     .write.option("header", True).option("sep", "\u0001").option("encoding", "ISO-8859-1").csv(f"{root}/surplus"))
     return root
 
 
@@ -184,7 +205,7 @@ def q_dates_parse(spark, sf_dir):
 
 
 def q_seasons_union(spark, sf_dir):
-    """SRC-1..5: ragged season CSVs read per header and unioned by name."""
+    """SRC-1..5: ragged season CSVs, in Latin-1 and with over-long rows, in one scan."""
     from touchline.sources.seasons import load_seasons
     return load_seasons(spark, _land_raw_seasons(spark, sf_dir)).select(*_COMPARABLE)
 
@@ -259,6 +280,12 @@ def q_stratified_folds(spark, sf_dir):
     return prep.stratified_folds(_train_rows(spark, sf_dir).select("match_id", "outcome"))
 
 
+def q_rolling_folds(spark, sf_dir):
+    """D5 option for ML-9: folds that train on earlier days only, with an embargo."""
+    feats = _split_features(spark, sf_dir).select("match_id")
+    return prep.rolling_folds(feats.join(_matches(spark, sf_dir).select("match_id", "match_date"), "match_id"))
+
+
 def q_class_weights(spark, sf_dir):
     return prep.class_weights(_train_rows(spark, sf_dir))
 
@@ -499,17 +526,30 @@ def q_score_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def _texts_agree():
+    """Whether a prediction's texts say what its numbers say: the label of the
+    class with the largest probability, and percentages to one digit."""
+    label = F.element_at(F.array(F.lit("Home win"), F.lit("Draw"), F.lit("Away win")), (ev.argmax3(*[F.col(p) for p in ev.P]) + 1).cast("int"))
+    ok = F.col("prediction") == label
+    for p in ev.P:
+        text = F.col(f"{p}_text")
+        number = F.regexp_extract(text, r"^(\d+\.\d)%$", 1).try_cast("double")
+        ok = ok & F.coalesce(F.abs(number - F.col(p) * 100) <= 0.0500001, F.lit(False))
+    return ok & (F.abs(F.col(ev.P[0]) + F.col(ev.P[1]) + F.col(ev.P[2]) - 1) < 1e-9)
+
+
 def q_score_fixtures_check(spark, sf_dir):
-    """The columns of ``score_fixtures`` that do not depend on the fit."""
+    """The columns of ``score_fixtures`` that do not depend on the fit, and
+    whether its texts agree with its numbers."""
     out = q_score_fixtures(spark, sf_dir)
-    return out.select("home_team", "away_team", "match_date", "summary", F.col("prediction").isNotNull().alias("scored"))
+    return out.select("home_team", "away_team", "match_date", "summary", F.coalesce(_texts_agree(), F.lit(False)).alias("scored"))
 
 
 def q_score_stream_check(spark, sf_dir):
-    """The columns of ``score_stream`` that do not depend on the fit."""
+    """The same of ``score_stream``; requests that are not ok have no texts."""
     out = q_score_stream(spark, sf_dir)
     return out.select(F.trim(F.coalesce("home_input", F.lit(""))).alias("home_input"), "away_input", "status", "home_team",
-                      "away_team", "match_date", F.col("prediction").isNotNull().alias("scored"))
+                      "away_team", "match_date", F.coalesce(_texts_agree(), F.lit(False)).alias("scored"))
 
 
 def q_season_refresh_guard(spark, sf_dir):
@@ -551,6 +591,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "interactions": q_interactions,
         "training_features": q_training_features,
         "fixture_features": q_fixture_features,
+        "states_incremental": q_states_incremental,
         "teams": q_teams,
         "team_exists": q_team_exists,
         "pair_matches": q_pair_matches,
@@ -566,6 +607,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "train_test_split": q_train_test_split,
         "time_split": q_time_split,
         "stratified_folds": q_stratified_folds,
+        "rolling_folds": q_rolling_folds,
         "class_weights": q_class_weights,
         "standardise": q_standardise,
         "soft_vote": q_soft_vote,
@@ -619,6 +661,7 @@ def oracle_sql() -> dict[str, str]:
         "interactions": osql.interactions_sql(),
         "training_features": osql.training_sql(),
         "fixture_features": osql.fixture_sql(),
+        "states_incremental": osql.fixture_sql(),
         "teams": ssql.teams(),
         "team_exists": ssql.team_exists(),
         "pair_matches": ssql.pair_matches(),
@@ -634,6 +677,7 @@ def oracle_sql() -> dict[str, str]:
         "train_test_split": msql.train_test_split(),
         "time_split": msql.time_split(),
         "stratified_folds": msql.stratified_folds(),
+        "rolling_folds": msql.rolling_folds(),
         "class_weights": msql.class_weights(),
         "standardise": msql.standardise(),
         "soft_vote": msql.soft_vote(),

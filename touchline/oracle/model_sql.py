@@ -70,6 +70,18 @@ def stratified_folds() -> str:
         " AS INTEGER) AS fold FROM tr")
 
 
+def rolling_folds() -> str:
+    """Every match's part in each of 5 folds by day, with a week's embargo."""
+    return training_ctes() + (
+        ", dm AS (SELECT tf.match_id, mm.match_date FROM tf JOIN (SELECT match_id AS mid, match_date FROM m) mm "
+        "ON mm.mid = tf.match_id)"
+        ", bl AS (SELECT match_id, match_date, CAST(FLOOR((SELECT COUNT(*) FROM dm e WHERE e.match_date < dm.match_date) * 6 "
+        "/ CAST((SELECT COUNT(*) FROM dm) AS DOUBLE)) AS INTEGER) AS b FROM dm)"
+        ", st AS (SELECT CAST(b - 1 AS INTEGER) AS fold, MIN(match_date) AS first_day FROM bl WHERE b > 0 GROUP BY b)"
+        " SELECT fold, match_id, CASE WHEN b = fold + 1 THEN 'test' WHEN first_day - match_date <= 7 THEN 'embargo' "
+        "ELSE 'train' END AS part FROM bl JOIN st ON b <= fold + 1")
+
+
 def class_weights() -> str:
     return training_ctes() + (
         f" SELECT outcome, COUNT(*) AS n_class, CAST(SUM(COUNT(*)) OVER () AS DOUBLE) / "

@@ -51,6 +51,30 @@ def time_split(df: DataFrame, cutoff_date, date_col: str = "match_date") -> Data
                          .otherwise("test"))
 
 
+def rolling_folds(df: DataFrame, k: int = 5, embargo_days: int = 7, date_col: str = "match_date",
+                  id_col: str = "match_id") -> DataFrame:
+    """D5 option for CV: ``fold, <id>, part`` with part 'train', 'embargo' or
+    'test', so that a fold trains on what was played before its test rows.
+
+    The days are cut, in order, into k + 1 blocks of about equal numbers of
+    rows (a day is never cut).  Fold f tests on block f + 1 and trains on all
+    earlier blocks but the last ``embargo_days`` days before it.  Rows are
+    counted by day first; the running count is over days, one row each."""
+    day = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.orderBy(date_col)  # a row per day: bounded by the calendar
+    every = Window.partitionBy()
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    block = F.floor(before * F.lit(k + 1) / F.sum("_n").over(every)).cast("int")
+    days = day.select(date_col, block.alias("_block"))
+    starts = days.groupBy("_block").agg(F.min(date_col).alias("_first")).where("_block > 0") \
+        .select((F.col("_block") - 1).alias("fold"), F.col("_first"))  # k rows
+    parts = days.join(F.broadcast(starts), F.col("_block") <= F.col("fold") + 1).select(
+        F.col(date_col).alias("_day"), "fold",
+        F.when(F.col("_block") == F.col("fold") + 1, "test")
+        .when(F.datediff("_first", date_col) <= embargo_days, "embargo").otherwise("train").alias("part"))
+    return df.join(parts, F.col(date_col) == F.col("_day")).select("fold", id_col, "part")
+
+
 def stratified_folds(df: DataFrame, k: int = 5, label: str = "outcome", id_col: str = "match_id",
                      bucket_rows: int = 4096, seed: int = 42) -> DataFrame:
     """ML-9: ``fold`` in 0..k-1, dealt round-robin within each class in a

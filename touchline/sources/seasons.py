@@ -1,17 +1,16 @@
 """Season CSV files -> canonical match table (SRC-1..8), season refresh (SNK-1).
 
 Season files are ragged: columns differ between seasons and appear in any
-order, so files are grouped by their header line and each group is read with
-its own all-string schema; groups are then projected onto the canonical
-schema (missing columns become typed nulls) and unioned.  One multi-file read
-would map columns by position and shift them.
+order.  One job finds the header of each file; then all files are read in one
+text scan, whatever the number of headers: each line meets the header of its
+file (a small table of the places of the canonical columns), is split once by
+``from_csv`` and its fields are picked by place, so a missing column is a typed
+null.  A multi-file CSV read would map columns by position and shift them.
 
 Rows with more fields than the header are skipped, shorter rows are kept with
-a null tail (the pandas ``on_bad_lines='skip'`` rule).  Spark flags both as
-malformed, so the loader counts the fields of a flagged row outside quotes.
-The flag is only set when the parser tokenises every column, so the reader
-turns column pruning off and the row filter references every field (a narrow
-or count-only query would otherwise let the parser skip them).
+a null tail (the pandas ``on_bad_lines='skip'`` rule); fields are counted
+outside quotes.  Header lines have no date and fall with all other rows
+without one.
 
 ``match_id`` hashes the parsed row and numbers rows that repeat, so it is the
 same whatever file, folder or header a row comes with, and no two rows share it.
@@ -21,7 +20,6 @@ from __future__ import annotations
 
 import csv
 from collections import defaultdict
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,7 +30,6 @@ from touchline.schema import MATCH_COLUMNS, OUTCOME_LABELS, RAW_COLUMNS, SEASON_
 from touchline.session import scratch_path
 
 LATIN1 = "ISO-8859-1"
-CORRUPT = "_corrupt_record"
 
 
 def headers(spark: SparkSession, source: str, pattern: str = "*.csv") -> dict[tuple, list[str]]:
@@ -65,13 +62,11 @@ def _number(v: F.Column) -> F.Column:
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
-def _canonical(raw: DataFrame, header: tuple) -> list[F.Column]:
+def _canonical(field) -> list[F.Column]:
+    """Canonical columns; ``field(raw name)`` is the text of a raw column."""
     cols = []
     for raw_name, (name, typ) in RAW_COLUMNS.items():
-        if raw_name not in header:
-            cols.append(F.lit(None).cast(typ).alias(name))
-            continue
-        v = F.col(f"`{raw_name}`")
+        v = field(raw_name)
         if name == "match_date":
             cols.append(parse_match_date(v).alias(name))
         elif isinstance(typ, T.IntegerType):
@@ -83,49 +78,60 @@ def _canonical(raw: DataFrame, header: tuple) -> list[F.Column]:
     return cols
 
 
-def read_group(spark: SparkSession, paths: list[str], header: tuple, encoding: str = LATIN1,
+def read_lines(spark: SparkSession, source: str, found: dict[tuple, list[str]], encoding: str = LATIN1,
                strict: bool = False) -> DataFrame:
-    """Files sharing one header -> canonical columns.
+    """The rows of all files under their headers (``found``) in one scan.
 
     ``strict=False`` skips over-long rows (SRC-3); ``strict=True`` fails the
     job on the first one (SRC-4).
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header]
-                          + [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).option("encoding", encoding)
-           .option("columnPruning", "false").csv(paths))
-    long_row = F.col(CORRUPT).isNotNull() & (_field_count(F.col(CORRUPT)) > len(header))
-    # Always true, but it references every field, so even a narrow or
-    # count-only query makes the parser tokenise whole rows and flag long ones.
-    every_field = F.length(F.concat_ws("\u0001", *[F.col(f"`{c}`") for c in header])) >= 0
+    names = list(RAW_COLUMNS)
+    places = [(path, len(header), [header.index(n) if n in header else None for n in names])
+              for header, paths in sorted(found.items()) for path in paths]  # a row per file
+    heads = spark.createDataFrame(places, "head_path string, width int, place array<int>")
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(source)
+             .select("value", F.col("_metadata.file_path").alias("path")))
+    # the text source keeps a line's bytes as they are
+    text = F.col("value") if encoding.upper().replace("-", "") == "UTF8" else F.decode(F.col("value").cast("binary"), encoding)
+    met = lines.join(heads, F.col("path") == F.col("head_path")).select(text.alias("line"), "width", "place")
+    most = max(len(h) for h in found)
+    long_row = _field_count(F.col("line")) > F.col("width")
     if strict:
-        raw = raw.where(every_field & F.when(long_row, F.raise_error(
-            F.concat(F.lit("too many fields: "), F.col(CORRUPT)))).otherwise(F.lit(True)))
+        met = met.where(F.when(long_row, F.raise_error(F.concat(F.lit("too many fields: "), F.col("line")))).otherwise(F.lit(True)))
     else:
-        raw = raw.where(every_field & ~long_row)
-    return raw.select(*_canonical(raw, header))
+        met = met.where(~long_row)
+    fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(most)), {"mode": "PERMISSIVE"})
+    split = met.select(F.array(*[fields[f"c{i}"] for i in range(most)]).alias("field"), "place")
+    return split.select(*_canonical(lambda raw: F.get(F.col("field"), F.get(F.col("place"), names.index(raw)))))
 
 
 def with_match_id(rows: DataFrame) -> DataFrame:
     """Adds ``match_id``: a hash of the whole row; rows that share it (repeats,
-    or a chance collision) are numbered and hashed again with their number."""
+    or a chance collision) are numbered and hashed again with their number.
+    Repeats are counted before any of them meet, so a line that is repeated
+    without end is one row until its copies get their numbers."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in rows.columns]
-    base = rows.withColumn("_h", F.xxhash64(*cols)).withColumn("_tie", F.xxhash64(F.lit(1), *cols))
-    nth = F.row_number().over(Window.partitionBy("_h").orderBy("_tie"))
-    return base.withColumn("match_id", F.when(nth == 1, F.col("_h")).otherwise(F.xxhash64("_h", nth))).drop("_h", "_tie")
+    once = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumn("_h", F.xxhash64(*cols)).withColumn("_tie", F.xxhash64(F.lit(1), *cols))
+    before = Window.partitionBy("_h").orderBy("_tie").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("_n").over(before), F.lit(0))  # more than one row only after a collision
+    block = F.explode(F.expr("sequence(0L, (_n - 1) div 65536)"))
+    nth = F.explode(F.expr("sequence(_b * 65536 + 1, least(_n, (_b + 1) * 65536))"))
+    each = once.withColumn("_f", first).withColumn("_b", block).withColumn("_i", nth)
+    number = F.col("_f") + F.col("_i")
+    return each.withColumn("match_id", F.when(number == 1, F.col("_h")).otherwise(F.xxhash64("_h", number.cast("int")))) \
+        .select(*rows.columns, "match_id")
 
 
 def read_seasons(spark: SparkSession, source: str, encoding: str = LATIN1, strict: bool = False,
                  start_month: int = SEASON_START_MONTH) -> DataFrame:
-    """All season files under ``source``: one read per distinct header, union
-    by name, drop rows without date or result (PF-1), add ``season_year``.
-    Rows whose result is not H, D or A raise: they could not be labelled."""
-    parts = [read_group(spark, ps, h, encoding, strict) for h, ps in sorted(headers(spark, source).items())]
-    if not parts:
+    """All season files under ``source``: one scan under the files' headers,
+    rows without date or result dropped (PF-1), ``season_year`` added.  Rows
+    whose result is not H, D or A raise: they could not be labelled."""
+    found = headers(spark, source)
+    if not found:
         raise FileNotFoundError(f"no CSV files under {source}")
-    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    df = known_results(df.dropna(subset=["match_date", "ftr"]))
+    df = known_results(read_lines(spark, source, found, encoding, strict).dropna(subset=["match_date", "ftr"]))
     return with_match_id(df).withColumn("season_year", season_year("match_date", start_month)).select(*MATCH_COLUMNS)
 
 
