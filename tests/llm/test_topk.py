@@ -55,3 +55,33 @@ def test_odd_rows(spark):
     shared = [(0, [1.0, 2.0]), (0, [3.0, 1.0]), (7, [1.0, 1.0]), (7, [2.0, 2.0])]
     got = run(spark, shared)
     assert got and all(r[2] == 7 for r in got)
+
+
+def test_any_length_and_size(spark):
+    """Shorter vectors go on with zeros; products beyond 2^53 stay exact; what may not fit a long raises."""
+    def padded(rows):
+        dim = max((len(e) for _, e in rows), default=0)
+        return [(i, [*e, *[0.0] * (dim - len(e))]) for i, e in rows]
+    rows = [(0, [1.0, 0.5]), (50, []), (1, [2.0]), (2, [0.5, 0.25, -3.0]), (3, []), (100, [0.0, 0.0, 1.0]), (4, [-1.0])]
+    assert run(spark, rows) == brute(padded(rows))
+    assert run(spark, [(0, []), (7, []), (8, [])]) == [(0, 1, 7, 0), (0, 2, 8, 0)]
+    rng = np.random.default_rng(0)
+    large = [(i, (rng.integers(-2**22, 2**22, 3) + rng.integers(0, 256, 3) / 256).astype(np.float32).tolist()) for i in range(200)]
+    exact = [(i, [float(np.float32(x)) for x in e]) for i, e in large]
+    want = []
+    for q, x in exact:
+        if q % 50 == 0:
+            v = lambda e: [math.floor(256 * c) for c in e]
+            s = sorted((-sum(a * b for a, b in zip(v(x), v(y))), j) for j, y in exact if j != q)[:5]
+            want += [(q, r + 1, j, -t) for r, (t, j) in enumerate(s)]
+    assert run(spark, large, pivots=4, rings=3) == sorted(want)
+    with pytest.raises(ValueError, match="fit a long"):
+        run(spark, [(0, [1e30, 1.0]), (1, [1.0, 1.0])])
+
+
+def test_batches_of_queries(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), e.astype(np.float32).tolist()) for i, e in enumerate(rng.normal(size=(300, 4)))]
+    got = topk.search(spark.createDataFrame([(i, e, 1, 2, 3) for i, e in rows], SCHEMA), F.col("vec_id") % 2 == 0,
+                      topk.Settings(pivots=4, rings=4, block=32, batch=20))
+    assert sorted(map(tuple, got.collect())) == brute(rows, every=2)

@@ -40,6 +40,7 @@ class Settings:
     rings: int = 32  # annuli of a pivot
     block: int = 2048  # vectors of a block, on average
     queries: int = 512  # queries that meet a block at once
+    batch: int = 16384  # queries that come to a block's task, on average
 
 
 def quantised(vectors: DataFrame, s: Settings) -> DataFrame:
@@ -81,8 +82,17 @@ def _lift(x: np.ndarray, r2: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(r2 - (x * x).sum(axis=1), 0.0))[:, None]], axis=1)
 
 
-def _score_blocks(s: Settings, dim: int):
-    """Per block of the index and batch of queries: each query's k best."""
+def _score_blocks(s: Settings, dim: int, most: int):
+    """Per block of the index and batch of queries: each query's k best.
+    Products are exact: of doubles while all sums stay below 2^53, else of
+    64-bit integers."""
+    fast = dim * most * most < 1 << 53
+
+    def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if fast:
+            return np.rint(x @ y.T).astype(np.int64)
+        return x.astype(np.int64) @ y.astype(np.int64).T
+
     def run(queries: pa.Table, block: pa.Table) -> pa.Table:
         names = ["qid", "id", "score"]
         if queries.num_rows == 0 or block.num_rows == 0:
@@ -94,7 +104,7 @@ def _score_blocks(s: Settings, dim: int):
         for lo in range(0, queries.num_rows, s.queries):
             part = queries.slice(lo, s.queries)
             qid, low = part["qid"].to_numpy(), part["low"].to_numpy()
-            score = np.rint(_matrix(part["v"], dim) @ x.T).astype(np.int64)
+            score = product(_matrix(part["v"], dim), x)
             none = np.iinfo(np.int64).min
             score[ids[None, :] == qid[:, None]] = none  # a query leaves itself out
             if score.shape[1] > s.k:
@@ -124,22 +134,27 @@ def search(vectors: DataFrame, is_query, s: Settings = Settings()) -> DataFrame:
     all other vectors (all, if fewer), ties to the smaller vec_id.
 
     Null vectors, vectors with a null or non-finite component and vectors
-    without an id take no part.  Vectors must have one length.  Rows that
-    repeat a vec_id: the query leaves out every row of its own id, and equal
-    rows count once.  An empty table gives an empty result; extra columns are
-    ignored."""
+    without an id take no part.  A vector that is shorter than the longest
+    counts as followed by zeros, so an empty one has the product 0 with all.
+    Rows that repeat a vec_id: the query leaves out every row of its own id,
+    and equal rows count once.  An empty table gives an empty result; extra
+    columns are ignored.  Components so large that a product might not fit a
+    long raise."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
     path = scratch_path(spark, "topk-vectors")
     quantised(vectors, s).write.parquet(path)
     rows = spark.read.parquet(path)
-    stats = rows.agg(F.max(F.size("v")).alias("dim"), F.min(F.size("v")).alias("least"), F.max(F.aggregate(
-        "v", F.lit(0).cast("long"), lambda a, c: a + c * c)).alias("r2")).first()
+    stats = rows.agg(F.max(F.size("v")).alias("dim"), F.min(F.size("v")).alias("least"), F.max(F.greatest(
+        F.array_max("v"), -F.greatest(F.coalesce(F.array_min("v"), F.lit(0)), F.lit(-(2**62))))).alias("most"), F.max(F.aggregate(
+            "v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))).alias("r2")).first()
     if stats["dim"] is None:
         return spark.createDataFrame([], schema)
-    if stats["dim"] != stats["least"]:
-        raise ValueError("vectors of different lengths")
-    dim, r2 = stats["dim"], float(stats["r2"])
+    dim, r2, most = max(1, stats["dim"]), float(stats["r2"]), stats["most"] or 0
+    if dim * most * most >= 1 << 63:
+        raise ValueError(f"components up to {most}: products of {dim} of them may not fit a long")
+    if stats["least"] < dim:
+        rows = rows.select("id", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v"))).alias("v"))
     # equal vectors: their smallest ids, aggregated before any of them meet
     w = Window.partitionBy("v").orderBy("id")
     uniq = rows.distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= s.k + 1).drop("_r")
@@ -214,13 +229,17 @@ def search(vectors: DataFrame, is_query, s: Settings = Settings()) -> DataFrame:
     def meet(queries: DataFrame, first: bool) -> DataFrame:
         spread = queries.mapInArrow(lambda it: visits(it, first), "qid long, v array<long>, low long, cell long")
         spread = spread.join(F.broadcast(number.select("cell", "blocks")), "cell").withColumn(
-            "part", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("blocks")
-        return spread.groupBy("cell", "part").cogroup(stored.groupBy("cell", "part")).applyInArrow(
-            _score_blocks(s, dim), out_schema)
+            "part", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("blocks").withColumn(
+            "turn", F.pmod(F.xxhash64("qid"), F.lit(batches)))
+        # a block comes once for each batch of queries, so that both sides of a group are bounded
+        turns = stored.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))))
+        key = ["cell", "part", "turn"]
+        return spread.groupBy(*key).cogroup(turns.groupBy(*key)).applyInArrow(_score_blocks(s, dim, most), out_schema)
 
     least = F.lit(-(2**62)).cast("long")
     asked = rows.withColumnRenamed("id", "vec_id").where(is_query).select(
         F.col("vec_id").alias("qid"), "v").distinct().withColumn("low", least)
+    batches = max(1, -(-asked.count() // s.batch))
     near_path = scratch_path(spark, "topk-near")
     _best(meet(asked, True), s.k).write.parquet(near_path)
     near = spark.read.parquet(near_path)
