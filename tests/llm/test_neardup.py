@@ -149,3 +149,12 @@ def test_candidates_do_not_depend_on_the_partitions(spark, make_docs):
         for k, v in zip(keys, old, strict=True):
             spark.conf.set(k, v)
     assert groups[0] == groups[1]
+
+
+def test_groups_are_bounded_in_bytes_too(make_docs):
+    """Sets of about 1.6 KB each, of which four or so may meet at a time: no link is lost."""
+    rows = star(random.Random(7), 60)
+    long = " ".join(f"z{i}" for i in range(4000))
+    rows += [(100, long), (101, long.replace("z7 ", "y7 ")), (102, long + " end"), (103, "z1 z2 z3 z4 z5 z6")]
+    assert result(nd.near_duplicates(make_docs(rows), nd.Forest(leaf_bytes=6400))) == brute(rows)
+    assert result(nd.near_duplicates(make_docs(rows), nd.Forest(leaf=8, leaf_bytes=3000))) == brute(rows)

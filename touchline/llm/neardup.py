@@ -21,9 +21,10 @@
 5. The forests give loose groups, outside of which there is no candidate pair.
    The full shingle sets of a loose group meet once; every candidate pair that
    is not yet connected is confirmed on them, and the confirmed links give the
-   components.  The sets of a loose group of more than ``leaf`` nodes meet
-   along the sorted orders first, in every tree, and what that leaves apart
-   meets in pairs of blocks.
+   components.  The sets of a loose group of more than ``leaf`` nodes, or of
+   more than ``leaf_bytes`` in all, meet along the sorted orders first, in every
+   tree, and what that leaves apart meets in pairs of blocks; parts and blocks
+   are bounded in rows and bytes, so few long texts are cut like many short ones.
 
 A pair at the threshold (0.85) shares a region in one of 16 trees with
 probability 1 - (1 - 0.85^4)^16 = 0.999992.
@@ -50,6 +51,7 @@ class Forest:
     width: int = 8
     min_depth: int = 4
     leaf: int = 4096
+    leaf_bytes: int = 64 << 20  # of shingle sets that meet whole
     probe: float = 0.70
     numerator: int = 85  # links need 100 * intersection >= numerator * union
     shingle: int = 5
@@ -139,14 +141,15 @@ def _orders(f: Forest):
 def _runs(f: Forest, work, columns: int, cut: bool = True, note: bool = False):
     """Arrow function over rows sorted by their first column (a key):
     ``work`` gets the other columns of the rows of one key as lists and gives
-    pairs.  More than ``leaf`` rows of a key are worked on in parts of that
-    size, each sharing half of its rows with the next (not so without ``cut``).
+    pairs.  More than ``leaf`` rows of a key, or rows whose last column has more
+    than ``leaf_bytes`` if it holds sets, are worked on in parts of that size,
+    each sharing half of its rows with the next (not so without ``cut``).
     With ``note``, a third column names the keys whose rows did not surely all
     meet: those in parts, and the first and last key of the task."""
     names = ["a", "b", "key"] if note else ["a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, fresh = None, [[] for _ in range(columns)], 0
+        key, held, fresh, size = None, [[] for _ in range(columns)], 0, 0
         noted: list[int] = []
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -159,15 +162,17 @@ def _runs(f: Forest, work, columns: int, cut: bool = True, note: bool = False):
 
         for batch in batches:
             for k, *row in zip(*(batch.column(i).to_pylist() for i in range(columns + 1)), strict=True):
-                if k != key or (cut and len(held[0]) >= f.leaf):
+                if k != key or (cut and (len(held[0]) >= f.leaf or (size >= f.leaf_bytes and len(held[0]) > 1))):
                     yield from out()
                     if note and (k == key or not noted) and k not in noted[-1:]:
                         noted.append(k)
                     for h in held:
-                        del h[:(len(h) if k != key else f.leaf - f.leaf // 2)]
+                        del h[:(len(h) if k != key else len(h) - len(h) // 2)]
                     key, fresh = k, 0
+                    size = sum(map(len, held[-1])) if columns == 3 else 0
                 for h, x in zip(held, row, strict=True):
                     h.append(x)
+                size += len(row[-1]) if columns == 3 else 0  # whole sets come last of three
                 fresh += 1
         yield from out()
         if note and key is not None:
@@ -272,13 +277,17 @@ def _across(rows: DataFrame, f: Forest, whole: bool = False) -> DataFrame:
     """Links ``(a, b)`` between nodes of one ``group`` that differ in ``root``,
     of ``(group, fp, brief, root)`` and ``shingles`` if ``whole``.
 
-    The nodes of a group are dealt to blocks of half a leaf or so, a root with
-    more nodes than that to blocks of its own; each pair of blocks meets in a
-    task of its own, except two blocks of one root."""
-    size = max(1, f.leaf // 2)
+    The nodes of a group are dealt to blocks of half a leaf or so (in rows, and
+    in bytes of whole sets), a root with more nodes than that to blocks of its
+    own; each pair of blocks meets in a task of its own, except two blocks of
+    one root."""
+    size, room = max(1, f.leaf // 2), max(1, f.leaf_bytes // 2)
     spark = rows.sparkSession
     path = scratch_path(spark, "neardup-blocks")
-    rows.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    weight = F.sum(F.length("shingles")) if whole else F.lit(0)
+    # a node weighs as much of a block as its row or its bytes take, whichever is more
+    rows.groupBy("group", "root").agg(F.greatest(F.count(F.lit(1)).cast("double"), weight * F.lit(size / room)).alias("n")) \
+        .write.parquet(path)
     counts = spark.read.parquet(path)
     blocks = F.ceil(F.col("n") / F.lit(size))
     before = Window.partitionBy("group").orderBy("root").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -350,8 +359,10 @@ def confirm(docs: DataFrame, nodes: DataFrame, loose: DataFrame, f: Forest = For
                      tk.binary_array(rows)], names=["group", "fp", "brief", "shingles"])
 
     path = scratch_path(spark, "neardup-sizes")
-    loose.groupBy("root").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    weighed = loose.join(nodes.select("fp", "shingle_count"), F.col("node") == F.col("fp"))
+    weighed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("shingle_count") * 8).alias("bytes")).write.parquet(path)
     sizes = spark.read.parquet(path)
+    small = (F.col("n") <= f.leaf) & (F.col("bytes") <= f.leaf_bytes)
     keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row_key"),
                         F.col("text").cast("string").alias("text"))
 
@@ -363,9 +374,9 @@ def confirm(docs: DataFrame, nodes: DataFrame, loose: DataFrame, f: Forest = For
         return texts.select("text", "group", "sig").mapInArrow(
             sets, "group binary, fp binary, brief binary, shingles binary")
 
-    whole = (full(sizes.where(F.col("n") <= f.leaf)).repartition("group").sortWithinPartitions("group")
+    whole = (full(sizes.where(small)).repartition("group").sortWithinPartitions("group")
              .mapInArrow(_runs(f, _confirmed(f), 3), "a binary, b binary"))
-    large = sizes.where(F.col("n") > f.leaf)
+    large = sizes.where(~small)
     if large.isEmpty():
         return whole
     path = scratch_path(spark, "neardup-sets")
@@ -399,7 +410,8 @@ def near_duplicates(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     rows = spark.read.parquet(path)
     node_path = scratch_path(spark, "neardup-nodes")
     (rows.where("n_shingles > 0").groupBy("fp")
-     .agg(F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.first("sig").alias("sig"))
+     .agg(F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.first("sig").alias("sig"),
+          F.first("n_shingles").alias("shingle_count"))
      .write.parquet(node_path))
     nodes = spark.read.parquet(node_path)
     loose = components(candidates(nodes, f))
