@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.oracle import sql as osql
@@ -383,11 +382,17 @@ def _vote_rows(spark, sf_dir):
 
 
 def _sound(df, probs, *extra):
-    """Keys of predictions with what must hold for any fitted model: the
-    probabilities sum to 1, and the class is their arg-max."""
+    """Keys of predictions with what must hold for any model that has learned:
+    the probabilities sum to 1, the class is their arg-max, and the log loss of
+    all rows is a tenth below that of the class shares (a constant guess fails)."""
     p = [F.col(c) for c in probs]
+    own = F.when(F.col("outcome") == 0, p[0]).when(F.col("outcome") == 1, p[1]).otherwise(p[2])
+    share = F.count(F.lit(1)) / F.sum(F.count(F.lit(1))).over(Window.partitionBy())  # over three rows
+    shares = df.groupBy("outcome").agg(F.sum(-F.log(F.greatest(own, F.lit(1e-15)))).alias("loss"),
+                                       F.count(F.lit(1)).alias("n"), share.alias("share"))
+    loss, guess = shares.agg(F.sum("loss"), F.sum(-F.log("share") * F.col("n"))).first()  # two numbers
     return df.select("match_id", "outcome", *extra, (F.abs(p[0] + p[1] + p[2] - 1) < 1e-9).alias("sums_to_one"),
-                     (F.col("predicted") == ev.argmax3(*p)).alias("is_argmax"))
+                     (F.col("predicted") == ev.argmax3(*p)).alias("is_argmax"), F.lit(loss < 0.9 * guess).alias("beats_shares"))
 
 
 def q_feature_importance(spark, sf_dir):

@@ -176,8 +176,8 @@ def auc() -> str:
 
 
 def sound(more: str = "") -> str:
-    """Keys of the test rows with the flags that hold for any fitted model."""
-    return training_ctes() + (f" SELECT match_id, outcome{more}, TRUE AS sums_to_one, TRUE AS is_argmax "
+    """Keys of the test rows with the flags that hold for any model that has learned."""
+    return training_ctes() + (f" SELECT match_id, outcome{more}, TRUE AS sums_to_one, TRUE AS is_argmax, TRUE AS beats_shares "
                               f"FROM tf WHERE {SPLIT} = 'test'")
 
 
