@@ -88,6 +88,12 @@ def q_training_features(spark, sf_dir):
     return fe.training_features(_matches(spark, sf_dir))
 
 
+def q_training_features_saved(spark, sf_dir):
+    """The training features from states and probes that were saved bucketed."""
+    from touchline.plans import saved
+    return saved.training_features(saved.save_training_states(_matches(spark, sf_dir)))
+
+
 def q_fixture_features(spark, sf_dir):
     m = _matches(spark, sf_dir)
     return fe.fixture_features(m, _fixtures(m))
@@ -595,6 +601,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "league_form": q_league_form,
         "interactions": q_interactions,
         "training_features": q_training_features,
+        "training_features_saved": q_training_features_saved,
         "fixture_features": q_fixture_features,
         "states_incremental": q_states_incremental,
         "teams": q_teams,
@@ -665,6 +672,7 @@ def oracle_sql() -> dict[str, str]:
         "league_form": osql.block_sql("E"),
         "interactions": osql.interactions_sql(),
         "training_features": osql.training_sql(),
+        "training_features_saved": osql.training_sql(),
         "fixture_features": osql.fixture_sql(),
         "states_incremental": osql.fixture_sql(),
         "teams": ssql.teams(),

@@ -41,3 +41,30 @@ def test_scans_are_pruned(spark):
     for line in scans:
         schema = line.split("ReadSchema: ")[1] if "ReadSchema: " in line else ""
         assert "away_team" not in schema, line   # block B never reads the away side
+
+
+def test_saved_states_need_few_exchanges(spark):
+    """With broadcasts off: only the stitch by match_id moves rows, and no ratio or interaction among them."""
+    from touchline.plans import saved
+    from touchline.plans.features import training_features
+    from touchline.sources import adapter
+    history = adapter.landed_matches(spark, SF_SMALL)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        states = saved.save_training_states(history, 8)
+        got = saved.training_features(states)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange " in line]
+        assert 0 < len(exchanges) <= 4 and all("match_id" in line for line in exchanges)
+        stitched = saved._stitched(states).columns
+        assert sorted(stitched) == sorted(["match_id", "lo", "home_team", "ftr", *[f"sums_{b}" for b in "ABCE"]])
+        assert all(t != "double" or n.endswith("_s") for b in "ABCE" for n, t in
+                   saved._stitched(states).select(f"sums_{b}.*").dtypes)  # sums of odds only
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = training_features(history)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

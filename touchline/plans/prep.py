@@ -68,7 +68,8 @@ def rolling_folds(df: DataFrame, k: int = 5, embargo_days: int = 7, date_col: st
     days = day.select(date_col, block.alias("_block"))
     starts = days.groupBy("_block").agg(F.min(date_col).alias("_first")).where("_block > 0") \
         .select((F.col("_block") - 1).alias("fold"), F.col("_first"))  # k rows
-    parts = days.join(F.broadcast(starts), F.col("_block") <= F.col("fold") + 1).select(
+    asked = F.explode(F.sequence(F.greatest(F.col("_block") - 1, F.lit(0)), F.lit(k - 1)))  # folds whose test is not earlier
+    parts = days.withColumn("fold", asked).join(F.broadcast(starts), "fold").select(
         F.col(date_col).alias("_day"), "fold",
         F.when(F.col("_block") == F.col("fold") + 1, "test")
         .when(F.datediff("_first", date_col) <= embargo_days, "embargo").otherwise("train").alias("part"))
