@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from touchline.llm import urls
 
 URLS = [None, "", "no scheme", "http://", "http://a.com", "http://a.com/", "HTTP://A.COM/En/", "http://www.example.com/en/x",
@@ -53,3 +55,31 @@ def test_rules_of_any_shape(spark):
 def test_empty_tables(spark):
     assert run(spark, [], list(urls.RULES)) == []
     assert run(spark, [(1, "http://a.com/")], []) == [(1, "a.com", "/", None, "allow")]
+
+
+HOT = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+       "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+       "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+def test_a_dominant_url_is_split(spark):
+    """Nine in ten pages of one place: Spark can split them between tasks, and URLs without a host meet nothing."""
+    old = {k: spark.conf.get(k, None) for k in HOT}
+    for k, v in HOT.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [(i, "http://www.example.com/en/hot" if i % 10 else f"http://x{i}.net/es/{i}") for i in range(20_000)]
+        rows += [(20_000 + i, None) for i in range(20_000)]
+        df = spark.createDataFrame(rows, "page_id long, url string").repartition(8)
+        out = urls.judge(df, urls.task_rules(spark))
+        got = {(r.verdict, r.rule): r["count"] for r in out.groupBy("verdict", "rule").count().collect()}
+        assert got == {("allow", "www.example.com/en/"): 18_000, ("block", "net/es/"): 2_000, ("allow", None): 20_000}
+        out = urls.judge(df, urls.task_rules(spark))
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+        per_task = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert max(per_task) < 12_000  # of 18,000 rows of the hot place
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
