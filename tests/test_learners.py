@@ -317,3 +317,60 @@ def test_a_stopped_search_goes_on_where_it_was(spark):
     whole = se.search(se.Ledger.at(spark), scorer, draws, 3, 9, 5, batch=2)
     assert got == whole and len(got) == 9 and [p for _, p, _ in got[:4]] == draws
     assert se.Ledger(spark, path).rows().count() == 27
+
+
+# ---------------------------------------------------------------- scoring and fits of many rows
+def test_walks_equal_plain_ones_and_take_less_time():
+    """Leaves of a forest and of heaps, against the step-by-step walk that took over twice as long."""
+    import time
+    x, y, key = data(6000, 20, seed=5)
+    p = mb.VoteParams(tree_n_estimators=32, tree_min_samples_split=2, tree_min_samples_leaf=1, xgb_n_estimators=5)
+    forest, soft = mb.fit("tree", x, y, key, p), mb.fit("xgb", x, y, key, p)
+
+    def votes(t, codes):
+        out = np.zeros((len(codes), t.value.shape[1]))
+        for i in range(t.trees):
+            node = np.full(len(codes), i, np.int64)
+            rows = np.flatnonzero(t.feature[node] >= 0)
+            while len(rows):
+                at = node[rows]
+                node[rows] = t.left[at] + (codes[rows, t.feature[at]] > t.cut[at])
+                rows = rows[t.feature[node[rows]] >= 0]
+            out += t.value[node]
+        return out
+
+    def heap_leaf(t, codes):
+        node = np.zeros(len(codes), np.int64)
+        for _ in range(int(len(t.value)).bit_length() - 1):
+            node = 2 * node + 1 + (codes[np.arange(len(codes)), t.feature[node]] > t.cut[node])
+        return node - (len(t.value) - 1)
+
+    tx, _, _ = data(20_000, 20, seed=6)
+    plain, fast = [], []
+    for _ in range(3):
+        start = time.process_time()
+        want = sum(votes(t, tx) for t in forest.trees)
+        plain.append(time.process_time() - start)
+        start = time.process_time()
+        got = forest.probabilities(tx)
+        fast.append(time.process_time() - start)
+    assert (got == want / want.sum(axis=1, keepdims=True)).all()
+    assert min(fast) < 0.75 * min(plain)
+    assert all((h.leaf(tx) == heap_leaf(h, tx)).all() for r in soft.rounds for h in r)
+    assert forest.probabilities(tx[:0]).shape == soft.probabilities(tx[:0]).shape == (0, 3)
+
+
+@pytest.mark.parametrize("bins, width, n", [(32, 5, 70_000), (16, 4, 300), (4, 1, 0)])
+def test_sums_of_column_pairs(bins, width, n):
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, 256, (n, width), dtype=np.uint8)
+    place, fields = rng.integers(0, 3, n), [rng.integers(-255, 256, n), rng.integers(0, 256, n), np.ones(n, np.int64)]
+    pairs = grow.ColumnPairs(x, bins)
+    for pick in (None, np.flatnonzero(rng.random(n) < 0.5)):
+        at = np.arange(n) if pick is None else pick
+        got = pairs.sums(pick, place[at], [f[at] for f in fields], 3)
+        for f, g in zip(fields, got, strict=True):
+            want = np.zeros((3, width, bins))
+            np.add.at(want, (place[at][:, None], np.arange(width), x[at] // (256 // bins)), f[at][:, None])
+            assert (g == want).all()
+
