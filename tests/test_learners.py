@@ -374,3 +374,18 @@ def test_sums_of_column_pairs(bins, width, n):
             np.add.at(want, (place[at][:, None], np.arange(width), x[at] // (256 // bins)), f[at][:, None])
             assert (g == want).all()
 
+
+def test_a_booster_is_one_job_a_stretch_and_tasks_may_share_its_rows(spark, monkeypatch):
+    """Jobs do not grow with rounds and levels (one a level before), and rows in two tasks give the same trees."""
+    x, y, key = data(400, 4)
+    p = mb.VoteParams(xgb_n_estimators=2, xgb_max_depth=2, cat_iterations=6, cat_depth=3)
+    rows = as_rows(spark, x, y, key)
+    sc = spark.sparkContext
+    sc.setJobGroup("boosters", "boosters")
+    one = large.fit_symmetric(rows, 4, p)
+    assert len(sc.statusTracker().getJobIdsForGroup("boosters")) <= 6
+    assert (one.arrays()["cut"] == mb.fit_symmetric(x, y, key, p).arrays()["cut"]).all()
+    monkeypatch.setattr(large, "BOOSTER_ROWS", 200)
+    assert large.tasks_at_once(spark) > 1
+    many, want = large.fit_softmax(rows, 4, p).arrays(), mb.fit_softmax(x, y, key, p).arrays()
+    assert all(np.array_equal(many[k], want[k]) for k in ("feature", "cut", "value"))
