@@ -69,3 +69,29 @@ def test_empty_increment(spark, matches):
     before = rows_of(store._read("A"))
     store.add(matches.limit(0))
     assert rows_of(store._read("A")) == before
+
+
+def test_rings_of_other_keys_are_not_shuffled(spark, matches):
+    """A merge moves the day's rings only; before, three exchanges moved the whole buckets."""
+    store = StateStore.build(matches, scratch_path(spark, "store"), 4)
+    day = matches.where(F.col("match_date") == matches.agg(F.max("match_date")).first()[0])
+    for name in [*RINGS, "totals"]:
+        old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            plan = store.merged(name, day)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan, plan
+
+
+def test_rings_without_a_key_are_merged_too(spark, matches):
+    """A null key is a key like any other."""
+    nameless = matches.withColumn("home_team", F.when(F.col("match_id") % 7 > 0, F.col("home_team")))
+    last = matches.agg(F.max("match_date")).first()[0]
+    store = StateStore.build(nameless.where(F.col("match_date") < last), scratch_path(spark, "store"), 4)
+    store.add(nameless.where(F.col("match_date") == last))
+    whole = StateStore.build(nameless, scratch_path(spark, "store"), 4)
+    assert rows_of(store._read("B")) == rows_of(whole._read("B"))

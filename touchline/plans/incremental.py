@@ -5,7 +5,8 @@ The states that fixtures are scored with follow from little: of every key
 team and season the totals by day.  A store holds these as tables cut into
 buckets by key.  A new match day is merged into the buckets of its keys: the
 old rings of these buckets and the day's rows give the new rings, so no match
-of earlier days is read again.  Merging a day again changes nothing.
+of earlier days is read again.  Rings of other keys in these buckets are passed
+on as they are.  Merging a day again changes nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +29,7 @@ from touchline.schema import LAST_N, SEASON_START_MONTH
 
 D = fe.D
 SEASON = ["team", "season_year"]
+SMALL_DAY = 1_000_000  # rows up to which a day is sent to the tasks that hold the store
 
 
 def _totals(matches: DataFrame) -> DataFrame:
@@ -77,10 +81,17 @@ class StateStore:
             rows, keys = RINGS[name]
             new, same = rows(day), [*keys, "match_id"]
         new = self._bucketed(new, keys)
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        old = self._read(name).where(F.col("bucket").isin(touched))
-        both = old.join(new.select(*same), same, "left_anti").unionByName(new)  # rows delivered again are replaced
-        return both if name == "totals" else _latest(both, keys)
+        per = new.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``buckets`` rows
+        small = sum(r["n"] for r in per) <= SMALL_DAY
+        sent = F.broadcast if small else (lambda df: df)
+        old = self._read(name).where(F.col("bucket").isin([r["bucket"] for r in per]))
+        kept = old.join(sent(new.select(*same)), same, "left_anti")  # rows delivered again are replaced
+        if name == "totals":
+            return kept.unionByName(new)
+        asked = new.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
+        met = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        rings = _latest(kept.join(sent(asked), met, "left_semi").unionByName(new), keys)
+        return old.join(sent(asked), met, "left_anti").unionByName(rings)
 
     def add(self, day: DataFrame) -> None:
         """Merge matches that were not there yet, or deliver days again.  A day's
