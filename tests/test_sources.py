@@ -200,3 +200,13 @@ def test_headers_take_one_job(spark):
         jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"headers-{n}")))
         sc.setJobGroup("", "")
     assert jobs[0] == jobs[1]
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    """Filters and columns take a line's fields from one parse, however many they read."""
+    (tmp_path / "a.csv").write_text("Date,HomeTeam,AwayTeam,FTR,FTHG\n01/02/96,a,b,H,1\n1/12/1997,c,d,A,\n,e,f,H,2\n")
+    df = read_seasons(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 1
+    assert sorted((r.home_team, str(r.match_date), r.ftr, r.fthg) for r in df.collect()) == [
+        ("a", "1996-02-01", "H", 1), ("c", "1997-12-01", "A", None)]

@@ -101,7 +101,8 @@ def read_lines(spark: SparkSession, source: str, found: dict[tuple, list[str]],
     else:
         met = met.where(~long_row)
     fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(most)), {"mode": "PERMISSIVE"})
-    split = met.select(F.array(*[fields[f"c{i}"] for i in range(most)]).alias("field"), "place")
+    # a generator: filters on the fields are not pushed below it, where each would parse the line again
+    split = met.select(F.inline(F.array(fields)), "place").select(F.array(*[f"c{i}" for i in range(most)]).alias("field"), "place")
     return split.select(*_canonical(lambda raw: F.get(F.col("field"), F.get(F.col("place"), names.index(raw)))))
 
 
