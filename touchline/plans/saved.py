@@ -12,35 +12,18 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.functions.columns import nz, outcome_label, pair_hi, pair_lo
-from touchline.operators.asof import last_n_before_days
+from touchline.functions.columns import outcome_label
 from touchline.plans import features as fe
-from touchline.schema import AWAY_NAMES, H2H_NAMES, HOME_NAMES, INTERACTION_NAMES, LEAGUE_NAMES, feature_names
+from touchline.schema import H2H_NAMES, INTERACTION_NAMES, LEAGUE_NAMES, feature_names
 from touchline.session import scratch_path
 
 D = fe.D
-#: Block -> key, without the day.
-KEYS = {"A": ["lo", "hi"], "B": ["team"], "C": ["team"], "E": ["team", "season_year"]}
-
-
-def raw_state(history: DataFrame, block: str) -> DataFrame:
-    """Sums and counts of a block strictly before each day of each key."""
-    if block == "A":
-        return fe.h2h_state(history)
-    if block == "E":
-        return fe.league_state(history)
-    side = fe.HOME if block == "B" else fe.AWAY
-    return last_n_before_days(fe._form_rows(history, side), ["team"], fe._form_aggs(), lag_cols=["pts"])
-
-
-def probes(history: DataFrame, block: str) -> DataFrame:
-    """``match_id``, the block's key and the day of each match; the label with block A."""
-    own = {"A": [pair_lo().alias("lo"), pair_hi().alias("hi"), "home_team", "ftr"], "B": [F.col("home_team").alias("team")],
-           "C": [F.col("away_team").alias("team")], "E": [F.col("home_team").alias("team"), "season_year"]}[block]
-    return history.select("match_id", *own, D)
+KEYS = fe.KEYS
+raw_state = fe.raw_state
+probes = fe.block_probes
 
 
 @dataclass(frozen=True)
@@ -82,21 +65,12 @@ def _stitched(saved: TrainingStates) -> DataFrame:
     return out
 
 
-def _expanded(df: DataFrame, block: str, features: list[Column], count: Column | None) -> DataFrame:
-    """Replaces a block's sums by its features (and ``_n<block>``)."""
-    rest = [c for c in df.columns if c != f"sums_{block}"]
-    wide = df.select(*rest, f"sums_{block}.*")
-    return wide.select(*rest, *([nz(count).alias(f"_n{block}")] if count is not None else []), *features)
-
-
 def training_features(saved: TrainingStates, fix_away_efficiency: bool = False) -> DataFrame:
     """As ``features.training_features``, from saved states."""
     out = _stitched(saved)
-    n = F.col("n")
-    out = _expanded(out, "A", fe.h2h_features(), n).drop("lo", "home_team")
-    out = _expanded(out, "B", [nz(c).alias(name) for c, name in zip(fe._form_features(fe.HOME), HOME_NAMES, strict=True)], n)
-    out = _expanded(out, "C", [nz(c).alias(name) for c, name in zip(fe._form_features(fe.AWAY), AWAY_NAMES, strict=True)], n)
-    out = _expanded(out, "E", fe.league_features(), None)
+    out = fe.expanded(out, "A").drop("lo", "home_team")
+    for block in ("B", "C", "E"):
+        out = fe.expanded(out, block)
     out = out.select("*", *fe.interaction_features(fix_away_efficiency))
     assert {*H2H_NAMES, *LEAGUE_NAMES, *INTERACTION_NAMES} <= set(out.columns)
     out = out.where((F.col("_nA") + F.col("_nB") + F.col("_nC")) > 0)  # PF-10
