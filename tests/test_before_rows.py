@@ -48,3 +48,32 @@ def test_training_features_move_rows_once_a_block(spark):
     # A, B, C: key and match id; E: totals, tails, their join, probe and match id
     assert plan.count("Exchange hashpartitioning") <= 16
     assert "REPARTITION_BY_COL" not in plan
+
+
+@pytest.mark.parametrize("busy, most", [((), 100), ((2, 3, 7), 100), ((2, 3, 7), 0)])
+def test_counted_days_give_the_same_state(spark, busy, most):
+    rows = _rows(spark, busy)
+    aggs = {"n": F.count(F.lit(1)), "s": F.sum("v")}
+    want = last_n_before_days(rows, ["k"], aggs, ["v"])
+    got = last_n_before_days(rows, ["k"], aggs, ["v"], counted=True, most=most)
+    assert got.columns == want.columns
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
+def test_saved_states_rank_no_quiet_day_and_grow_in_buckets(spark, monkeypatch):
+    """Rows of days with few matches move once to their key; large histories get more buckets
+    and stitch partitions; days before which a key has no rows are not stored."""
+    from touchline.plans import saved
+    history = adapter.landed_matches(spark, SF_SMALL)
+    quiet = history.dropDuplicates(["match_date"])
+    plan = fe.raw_state(quiet, "A")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "_rd" not in plan
+    monkeypatch.setattr(fe, "STITCH_ROWS", history.count() // 70)
+    states = saved.save_training_states(history)
+    assert states.parts >= 70
+    detail = spark.sql(f"DESCRIBE FORMATTED {states.states['B']}").where("col_name = 'Num Buckets'").first()
+    assert int(detail["data_type"]) >= 70
+    assert spark.table(states.states["A"]).where("n = 0").isEmpty()
+    got, want = saved.training_features(states), fe.training_features(history)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

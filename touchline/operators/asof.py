@@ -74,13 +74,46 @@ def _tails(history: DataFrame, keys: Sequence[str], date_col: str, id_col: str,
     return history.withColumn("_rd", F.row_number().over(w)).where(F.col("_rd") <= n).drop("_rd")
 
 
+def _busy_days(rows: DataFrame, days: Sequence[str], n: int) -> tuple[DataFrame, int]:
+    """The days on which a key has more than ``n`` rows, counted in narrow form and written; their number."""
+    path = scratch_path(rows.sparkSession, "busy-days")
+    rows.groupBy(*days).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > n).select(*days).write.parquet(path)
+    busy_days = rows.sparkSession.read.parquet(path)
+    return busy_days, busy_days.count()
+
+
+def _on_days(busy_days: DataFrame, days: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The busy days as the small side of a join, and its condition."""
+    few = F.broadcast(busy_days.select(*[F.col(c).alias(f"_b_{c}") for c in days]))
+    return few, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in days])
+
+
+def _counted_tails(history: DataFrame, keys: Sequence[str], date_col: str, id_col: str, n: int, most: int) -> DataFrame:
+    """The rows of :func:`_tails`, where only those of busy days are ranked: all
+    others are tails as they are, so they are neither sorted nor moved for it.
+    More than ``most`` busy days: all rows are ranked."""
+    days = [*keys, date_col]
+    busy_days, busy = _busy_days(history, days, n)
+    if busy > most:
+        return _tails(history, keys, date_col, id_col, n)
+    if not busy:
+        return history
+    few, same = _on_days(busy_days, days)
+    ranked = _tails(history.join(few, same, "left_semi"), keys, date_col, id_col, n)
+    return history.join(few, same, "left_anti").unionByName(ranked)
+
+
 def last_n_before_days(history: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
                        lag_cols: Sequence[str] = (), n: int = LAST_N,
-                       date_col: str = "match_date", id_col: str = "match_id") -> DataFrame:
+                       date_col: str = "match_date", id_col: str = "match_id", counted: bool = False,
+                       most: int = 100_000) -> DataFrame:
     """One row per (keys, day) present in ``history``: ``aggs`` over the ``n``
     latest rows of the key strictly before that day, plus ``{c}__{i}`` = value
-    of ``c`` in the i-th latest of those rows (i = 1 is the newest)."""
-    tails = _tails(history, keys, date_col, id_col, n)
+    of ``c`` in the i-th latest of those rows (i = 1 is the newest).
+
+    ``counted``: a job first counts the days on which a key has more than ``n``
+    rows, and only the rows of these are ranked (unless there are over ``most``)."""
+    tails = _counted_tails(history, keys, date_col, id_col, n, most) if counted else _tails(history, keys, date_col, id_col, n)
     cols = _frame_cols(id(aggs), _Ref((aggs,)), tuple(keys), tuple(lag_cols), n, date_col, id_col, False)
     first_of_day = F.col("_prev_day").isNull() | (F.col("_prev_day") != F.col(date_col))
     return tails.select(*cols).where(first_of_day).drop("_prev_day")
@@ -101,17 +134,13 @@ def last_n_before_rows(history: DataFrame, keys: Sequence[str], aggs: Mapping[st
     values = [*aggs, *[f"{c}__{i}" for c in lag_cols for i in range(1, n + 1)]]
     known = reduce(and_, [F.col(c).isNotNull() for c in keys])
     placed = history.where(known)  # undated rows come before all days, as in last_n_before_days
-    path = scratch_path(history.sparkSession, "busy-days")
-    placed.groupBy(*days).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > n).select(*days).write.parquet(path)
-    busy_days = history.sparkSession.read.parquet(path)
-    busy = busy_days.count()
+    busy_days, busy = _busy_days(placed, days, n)
     if busy > most:
         state = last_n_before_days(history, keys, aggs, lag_cols, n, date_col, id_col)
         return history.select(*own, *days).join(state, days, "left").select(*own, *values)
     tails = placed
     if busy:
-        few = F.broadcast(busy_days.select(*[F.col(c).alias(f"_b_{c}") for c in days]))
-        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in days])
+        few, same = _on_days(busy_days, days)
         rank = F.row_number().over(Window.partitionBy(*days).orderBy(F.col(id_col).desc()))
         ranked = placed.join(few, same, "left_semi").withColumn("_rd", rank)
         tails = placed.join(few, same, "left_anti").unionByName(ranked.where(F.col("_rd") <= n).drop("_rd"))

@@ -10,6 +10,7 @@ computed after the last join and move nowhere.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,7 @@ class TrainingStates:
     spark: SparkSession
     states: dict[str, str]
     probes: dict[str, str]
+    parts: int = 0  # partitions of the stitch; 0: the session's
 
 
 def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str) -> str:
@@ -41,14 +43,25 @@ def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str) -> str:
     return table
 
 
-def save_training_states(history: DataFrame, buckets: int = 64) -> TrainingStates:
-    """Write states and probes of all blocks, bucketed alike by key and day."""
-    states, asked = {}, {}
-    for block, keys in KEYS.items():
-        on = [*keys, D]
-        states[block] = _bucketed(raw_state(history, block), on, buckets, f"state_{block}")
-        asked[block] = _bucketed(probes(history, block), on, buckets, f"probe_{block}")
-    return TrainingStates(history.sparkSession, states, asked)
+def save_training_states(history: DataFrame, buckets: int | None = None) -> TrainingStates:
+    """Write states and probes of all blocks, bucketed alike by key and day: at
+    least 64 buckets, and one for every ``features.STITCH_ROWS`` matches.  The
+    blocks are written side by side.
+
+    A day before which its key has no rows gets no state (blocks A, B, C): a
+    probe that meets none has the same features, those of a count of 0."""
+    buckets = buckets or max(64, history.count() // fe.STITCH_ROWS)
+
+    def save(block: str) -> tuple[str, str]:
+        on, state = [*KEYS[block], D], raw_state(history, block)
+        state = state if block == "E" else state.where(F.col("n") > 0)
+        return (_bucketed(state, on, buckets, f"state_{block}"),
+                _bucketed(probes(history, block), on, buckets, f"probe_{block}"))
+
+    with ThreadPoolExecutor(max_workers=len(KEYS)) as pool:
+        made = dict(zip(KEYS, pool.map(save, KEYS), strict=True))
+    return TrainingStates(history.sparkSession, {b: s for b, (s, _) in made.items()}, {b: p for b, (_, p) in made.items()},
+                          fe.stitch_parts(history))
 
 
 def _stitched(saved: TrainingStates) -> DataFrame:
@@ -61,6 +74,7 @@ def _stitched(saved: TrainingStates) -> DataFrame:
         state = state.select(*on, sums)
         carried = [c for c in probe.columns if c not in on]
         part = probe.join(state, on, "left").select(*carried, *(["lo"] if block == "A" else []), f"sums_{block}")
+        part = part.repartition(saved.parts, "match_id") if saved.parts else part
         out = part if out is None else out.join(part, "match_id", "left")
     return out
 
