@@ -389,3 +389,13 @@ def test_a_booster_is_one_job_a_stretch_and_tasks_may_share_its_rows(spark, monk
     assert large.tasks_at_once(spark) > 1
     many, want = large.fit_softmax(rows, 4, p).arrays(), mb.fit_softmax(x, y, key, p).arrays()
     assert all(np.array_equal(many[k], want[k]) for k in ("feature", "cut", "value"))
+
+
+def test_cut_points_build_their_percentages_once(spark, monkeypatch):
+    from touchline.learners import codes as cd
+    asked, plain = [], cd.F.percentile_approx
+    monkeypatch.setattr(cd.F, "percentile_approx", lambda c, at, acc: asked.append(at) or plain(c, at, acc))
+    rows = spark.createDataFrame([(float(i), float(-i)) for i in range(512)], "a double, b double")
+    cuts = cd.cut_points(rows, ["a", "b"])
+    assert len({id(at) for at in asked}) == 1 and not isinstance(asked[0], list)
+    assert cuts.shape == (2, 255) and cuts[0].tolist() == [float(2 * i + 1) for i in range(255)]

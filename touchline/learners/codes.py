@@ -20,7 +20,7 @@ CUTS = 255
 def cut_points(rows: DataFrame, features: list[str], accuracy: int = 10_000) -> np.ndarray:
     """``features x 255`` cut points: quantiles of all rows by one aggregate
     (nulls count as 0).  No rows: all cut points are 0."""
-    at = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
+    at = F.array(*[F.lit((i + 1) / (CUTS + 1)) for i in range(CUTS)])  # built once: a call into the JVM per number
     got = rows.agg(*[F.percentile_approx(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), at, accuracy).alias(f"q{i}")
                      for i, f in enumerate(features)]).first()  # one row
     return np.array([q if q is not None else [0.0] * CUTS for q in got], np.float64).reshape(len(features), CUTS)
