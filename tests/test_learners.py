@@ -399,3 +399,39 @@ def test_cut_points_build_their_percentages_once(spark, monkeypatch):
     cuts = cd.cut_points(rows, ["a", "b"])
     assert len({id(at) for at in asked}) == 1 and not isinstance(asked[0], list)
     assert cuts.shape == (2, 255) and cuts[0].tolist() == [float(2 * i + 1) for i in range(255)]
+
+
+def test_whole_columns_lead_to_the_leaves_of_a_walk():
+    """Forest and boosters compare nodes for all rows at once; every row ends where
+    it would alone, also in trees shallower than the levels that are compared."""
+    r = np.random.default_rng(5)
+    x = r.integers(0, 256, (3000, 7)).astype(np.uint8)
+    y, key = (x[:, 0] // 86 + (x[:, 1] > 200)).clip(0, 2).astype(np.int64), np.arange(3000)
+    for rules in (grow.ForestRules(30, 2, 1), grow.ForestRules(3, 2, 1)):
+        trees, _ = grow.forest_trees(x, y, key, mb.balanced(y), rules, list(range(20)), 3)
+        want = np.zeros((3000, 3))
+        for root in range(trees.trees):
+            at = np.full(3000, root)
+            while len(go := np.flatnonzero(trees.feature[at] >= 0)):
+                node = at[go]
+                at[go] = trees.left[node] + (x[go, trees.feature[node]] > trees.cut[node])
+            want += trees.value[at]
+        assert np.array_equal(trees.votes(x), want) and trees.votes(x[:0]).shape == (0, 3)
+    for depth in (1, 3, 7, 8):
+        feature, cut = r.integers(0, 7, (5, 2 ** depth - 1)), r.integers(0, 256, (5, 2 ** depth - 1))
+        leaves = grow.heap_leaves(np.ascontiguousarray(x.T), feature, cut)
+        for i in range(5):
+            assert np.array_equal(leaves[i], grow.Heap(feature[i], cut[i], np.zeros(2 ** depth)).leaf(x))
+
+
+def test_rows_are_scored_in_few_numpy_calls(monkeypatch):
+    """Rows are not followed through the upper levels of a tree one level at a time."""
+    r = np.random.default_rng(6)
+    x = r.integers(0, 256, (2000, 5)).astype(np.uint8)
+    y, key = (x[:, 0] // 86).astype(np.int64), np.arange(2000)
+    forest, _ = mb.fit_forest(x, y, key, mb.VoteParams(tree_n_estimators=4, tree_max_depth=6))
+    soft = mb.fit_softmax(x, y, key, mb.VoteParams(xgb_n_estimators=3))
+    steps, below = [], grow.below
+    monkeypatch.setattr(grow, "below", lambda *a: steps.append(1) or below(*a))
+    forest.probabilities(x), soft.probabilities(x)
+    assert not steps

@@ -86,6 +86,25 @@ def test_vote_fit_save_load_round_trip(spark):
     assert b == {r.match_id: (r.predicted, round(r.p_home, 12)) for r in a.collect()}
 
 
+def test_features_do_not_come_back_from_the_model(spark):
+    """Scores come with the columns that are asked for; equal to those next to all columns."""
+    import __spark_entry__ as E
+    feats = ["H2H_hometeam_wins", "home_win_rate", "away_win_rate", "points_per_game", "momentum_difference"]
+    model = ml.fit_vote(E._train_rows(spark, SF_SMALL), feats, ml.VoteParams(
+        tree_n_estimators=5, xgb_n_estimators=2, xgb_max_depth=9, cat_iterations=2, cat_depth=2))
+    test = E._test_rows(spark, SF_SMALL).select("match_id", "outcome", *feats)
+    got = model.member_probs(test, ["match_id"])
+    probs = [f"p_{m}_{c}" for m in ("tree", "xgb", "cat") for c in range(3)]
+    assert got.columns == ["match_id", *probs]
+    assert sorted(got.collect()) == sorted(model.member_probs(test).select("match_id", *probs).collect())
+    scored = ml.score_fixtures(model, test, ["match_id"])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.splitlines() if "MapInArrow" in x)
+    assert line.split("[", 1)[1].count(",") <= 1 + len(probs)  # match_id and the members' columns
+    want = {r.match_id: r.predicted for r in model.transform(test).collect()}
+    assert {r.match_id: r.predicted for r in scored.collect()} == want
+
+
 def test_large_tables_are_fitted_in_many_tasks(spark, monkeypatch):
     import __spark_entry__ as E
     tr = E._train_rows(spark, SF_SMALL)
