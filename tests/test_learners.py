@@ -215,6 +215,76 @@ def test_forest_of_shuffled_bootstraps(spark):
     assert (f.probabilities(x).argmax(axis=1) == y).mean() > 0.75 > max(counts.values()) / 2000
 
 
+def test_every_tree_has_a_bootstrap_of_all_rows(spark):
+    """Fully grown trees know the class of every row that n draws of n rows give them, whether its
+    node was split by counts or grew in a task; a tree's part of the importance adds up to 1."""
+    x, y, key = data(2000, 9, seed=3)
+    p = mb.VoteParams(tree_n_estimators=6, tree_max_depth=99, tree_min_samples_split=2, tree_min_samples_leaf=1)
+    counts = {c: int((y == c).sum()) for c in range(3)}
+    table = spark.read.parquet(large.forest_table(as_rows(spark, x, y, key), 9, p, 2000, counts, 300)).orderBy("part").collect()
+    limits = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720)])
+    assert [r["part"] for r in table] == list(range(6))
+    for r in table:
+        rows = np.flatnonzero(np.searchsorted(limits, grow.uniform(key, p.seed, r["part"]), side="right"))
+        assert 1150 < len(rows) < 1380  # 1 - 1/e of 2,000
+        votes = mb.from_bytes(bytes(r["blob"])).votes(x[rows])
+        assert (votes.argmax(axis=1) == y[rows]).all() and (votes.max(axis=1) == 1).all()
+        assert sum(r["importance"]) == pytest.approx(1.0) and np.argmax(r["importance"]) in (0, 1, 2)
+
+
+def test_best_split_by_counts_is_that_of_the_rows():
+    x, y, _ = data(300, 4, seed=6)
+    times = np.random.default_rng(1).integers(1, 4, 300)
+    weight = np.array([0.7, 1.0, 1.9])
+    counts = np.zeros((4, 256, 4), np.int64)
+    for i in range(300):
+        for j in range(4):
+            counts[j, x[i, j], y[i]] += times[i]
+            counts[j, x[i, j], 3] += 1
+    rules = grow.ForestRules(min_leaf=20)
+    w, best = times * weight[y], (-1.0, None)
+    mass = lambda rows: np.bincount(y[rows], weights=w[rows], minlength=3)
+    for j in range(4):
+        for c in np.unique(x[:, j])[:-1]:
+            sides = [np.flatnonzero(x[:, j] <= c), np.flatnonzero(x[:, j] > c)]
+            if min(map(len, sides)) >= 20:
+                best = max(best, (sum((mass(s) ** 2).sum() / mass(s).sum() for s in sides), (j, int(c))))
+    at, code, fall = large.best_split(counts, weight, rules)
+    assert (at, code) == best[1]
+    assert fall == pytest.approx(best[0] - (mass(np.arange(300)) ** 2).sum() / w.sum())
+    assert large.best_split(counts, weight, grow.ForestRules(min_leaf=200))[0] == -1
+
+
+def test_shuffles_end_with_their_query(spark):
+    """Files of a shuffle are gone once the query that wrote them has ended."""
+    import glob
+    import time
+
+    from touchline.session import scratch_path, shuffles_freed
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in local for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = files()
+    with shuffles_freed(spark):
+        spark.range(1000).repartition(7).groupBy("id").count().write.parquet(scratch_path(spark, "freed"))
+        kept = spark.range(1000).repartition(5).groupBy("id").count().collect()
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert len(kept) == 1000 and not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_boosters_of_a_task_sum_pairs_of_columns(monkeypatch):
+    x, y, key = data(700, 7, seed=9)
+    p = mb.VoteParams(xgb_n_estimators=4, xgb_subsample=0.8, xgb_colsample_bytree=0.8, cat_iterations=4)
+    plain = {m: large.fit_booster(m, x, y, key, p) for m in ("xgb", "cat")}
+    monkeypatch.setattr(large, "PAIRED_ROWS", 0)
+    for m, want in plain.items():
+        got = large.fit_booster(m, x, y, key, p)
+        assert all(np.array_equal(got.arrays()[k], want.arrays()[k]) for k in ("feature", "cut", "value"))
+        assert np.array_equal(want.probabilities(x), mb.fit(m, x, y, key, p).probabilities(x))
+
+
 # ---------------------------------------------------------------- members
 @pytest.mark.parametrize("member", mb.MEMBERS)
 def test_members_learn_and_travel(member):

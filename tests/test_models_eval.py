@@ -160,6 +160,72 @@ def test_search_scores_the_whole_train_split(spark, monkeypatch):
     assert ledgers[0].rows().agg(F.sum("n")).first()[0] == 3000
 
 
+SMALL = ml.VoteParams(tree_n_estimators=4, xgb_n_estimators=2, cat_iterations=2)
+
+
+def _known(spark, n):
+    """Rows whose class follows from ``x``."""
+    k = (F.col("id") * 7) % 3
+    return spark.range(n).select(F.col("id").alias("match_id"), k.cast("int").alias("outcome"), (k + F.rand(1) * 0.9).alias("x"))
+
+
+def _seen_fits(monkeypatch):
+    """Rows that each fit of a job uses, and the codes its boosters tell apart."""
+    from touchline.learners import fit as ft
+    seen, fitted = [], ft.fitted
+
+    def fits(session, sample, jobs):
+        seen.extend((j.fold, j.member, len(sample.value.without(j.fold)[1]), j.params.bins) for j in jobs)
+        return fitted(session, sample, jobs)
+
+    monkeypatch.setattr(ft, "fitted", fits)
+    return seen
+
+
+def _entry_over(monkeypatch, train):
+    import __spark_entry__ as E
+    monkeypatch.setattr(E, "_train_rows", lambda *_: train)
+    monkeypatch.setattr(E, "_top", lambda *_: ["x"])
+    monkeypatch.setattr(E, "_FITTED", {})
+    monkeypatch.setattr(ml, "VoteParams", type("Small", (), {"__new__": lambda cls: SMALL, "of": staticmethod(lambda r: SMALL)}))
+    monkeypatch.setattr(ml, "TRIALS", 1)
+    return E
+
+
+def test_the_vote_is_fitted_on_the_whole_train_split(spark, monkeypatch):
+    E = _entry_over(monkeypatch, _known(spark, 26_000))
+    assert E._fit_rows(spark, "none").count() == 26_000
+    seen = _seen_fits(monkeypatch)
+    E._vote(spark, "none")
+    assert {n for _, _, n, _ in seen} == {26_000}
+
+
+def test_votes_on_rows_in_many_tasks(spark, monkeypatch):
+    """CV, importance and a saved vote with a forest that is a table and is scored a group of trees at a time."""
+    from touchline.learners import held as hm
+    from touchline.learners import members as mb
+    train = _known(spark, 3000).withColumn("noise", F.rand(2))
+    folds = train.withColumn("fold", (F.col("match_id") % 2).cast("int"))
+    seen = _seen_fits(monkeypatch)
+    monkeypatch.setattr(ml, "TASK_ROWS", 500)
+    monkeypatch.setattr(ml, "TREE_ROWS", 700)
+    monkeypatch.setattr(hm, "GROUP_BYTES", 2000)
+    assert ml.cv_accuracy(folds, ["x", "noise"], SMALL, 2) > 0.95 and not seen
+    imp = {r.feature: r.importance for r in ml.feature_importance(train, ["x", "noise"], num_trees=4).collect()}
+    assert imp["x"] > 0.5 > imp["noise"] and sum(imp.values()) == pytest.approx(1.0)
+    model = ml.fit_vote(train, ["x", "noise"], SMALL)
+    assert isinstance(model.members["tree"], mb.StoredForest) and len(list(hm.tree_groups(spark, model.members["tree"]))) > 1
+    a = {r.match_id: r for r in model.member_probs(train).collect()}
+    path = tempfile.mkdtemp(prefix="vote-") + "/m"
+    model.save(path)
+    monkeypatch.setattr(hm, "GROUP_BYTES", 1 << 30)  # one group
+    b = {r.match_id: r for r in ml.VoteModel.load(spark, path).member_probs(train).collect()}
+    assert len(a) == len(b) == 3000
+    for i, r in a.items():
+        assert all(r[f"p_{m}_{c}"] == pytest.approx(b[i][f"p_{m}_{c}"], abs=1e-12) for m in ml.MEMBERS for c in range(3))
+    assert sum(max(range(3), key=lambda c: r[f"p_tree_{c}"]) == r.outcome for r in a.values()) > 2900
+
+
 def test_standardise_uses_train_statistics(spark):
     train = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, 5.0), (3, 6.0, 5.0)], "match_id long, a double, b double")
     test = spark.createDataFrame([(4, 3.0, 7.0)], "match_id long, a double, b double")
