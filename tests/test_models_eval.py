@@ -200,6 +200,12 @@ def test_the_vote_is_fitted_on_the_whole_train_split(spark, monkeypatch):
     assert {n for _, _, n, _ in seen} == {26_000}
 
 
+def test_cv_fits_use_all_rows_outside_their_fold(spark, monkeypatch):
+    E, seen = _entry_over(monkeypatch, _known(spark, 26_000)), _seen_fits(monkeypatch)
+    assert E.q_cv_score(spark, "none").first().cv_accuracy > 0.9
+    assert len(seen) == 15 and all(abs(n - 20_800) <= 3 for _, _, n, _ in seen)
+
+
 def test_votes_on_rows_in_many_tasks(spark, monkeypatch):
     """CV, importance and a saved vote with a forest that is a table and is scored a group of trees at a time."""
     from touchline.learners import held as hm
