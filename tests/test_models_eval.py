@@ -206,6 +206,13 @@ def test_cv_fits_use_all_rows_outside_their_fold(spark, monkeypatch):
     assert len(seen) == 15 and all(abs(n - 20_800) <= 3 for _, _, n, _ in seen)
 
 
+def test_search_fits_use_all_rows_outside_their_fold(spark, monkeypatch):
+    """With the codes of the fits that the best trial is refit with."""
+    E, seen = _entry_over(monkeypatch, _known(spark, 3000)), _seen_fits(monkeypatch)
+    assert E.q_search_trials(spark, "none").first().cv_accuracy > 0.9
+    assert len(seen) == 15 and all(abs(n - 2400) <= 3 and bins == SMALL.bins for _, _, n, bins in seen)
+
+
 def test_votes_on_rows_in_many_tasks(spark, monkeypatch):
     """CV, importance and a saved vote with a forest that is a table and is scored a group of trees at a time."""
     from touchline.learners import held as hm
