@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import tempfile
 
 import pytest
@@ -251,6 +252,20 @@ def test_standardise_uses_train_statistics(spark):
     assert stats["a"].mean == 3.0 and stats["a"].std == pytest.approx(std) and stats["b"].std == 0
 
 
+def test_statistics_of_many_features_are_compiled(spark):
+    """An aggregate of all columns at once is interpreted; rows and values are as before."""
+    train = spark.range(500).select(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)).cast("double").alias(f"f{i}") for i in range(60)])
+    names = train.columns
+    got = prep.standardise_stats(train, names)
+    rows = {r.feature: r for r in got.collect()}
+    want = train.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.avg, F.stddev_pop)]).first()
+    assert [rows[c].ord for c in names] == list(range(60)) and got.columns == ["feature", "ord", "mean", "std"]
+    for c in names:
+        assert rows[c].mean == pytest.approx(want[f"avg_{c}"]) and rows[c].std == pytest.approx(want[f"stddev_pop_{c}"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\*\(\d+\) HashAggregate\(keys=\[\], functions=\[partial_avg", plan)) == 5  # * marks what is compiled
+
+
 def test_folds_keep_rows_without_a_label(spark):
     df = spark.createDataFrame([(1, 0), (2, None), (3, 0), (4, 1), (5, None)], "match_id long, outcome int")
     assert sorted(r.match_id for r in prep.stratified_folds(df, k=2).collect()) == [1, 2, 3, 4, 5]

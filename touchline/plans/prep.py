@@ -3,6 +3,8 @@ standardisation (ML-2).  All deterministic and independent of partitioning."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,18 +106,23 @@ def with_weights(df: DataFrame, label: str = "outcome") -> DataFrame:
     return df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label, "left")
 
 
-def standardise_stats(train: DataFrame, features: list[str]) -> DataFrame:
+def standardise_stats(train: DataFrame, features: list[str], side: int = 12) -> DataFrame:
     """ML-2: mean and population standard deviation per feature on the
-    training rows; one row per feature (a single aggregate pass, unpivoted)."""
-    aggs = []
-    for i, c in enumerate(features):
-        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
-    one = train.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("ord"),
-                              F.col(f"m{i}").alias("mean"),
-                              F.col(f"s{i}").alias("std"))
-                     for i, c in enumerate(features)])
-    return one.select(F.inline(rows))
+    training rows; one row per feature.  ``side`` features at a time are
+    aggregated and unpivoted: Spark compiles an aggregate only while its
+    columns, five per feature, are fewer than ``spark.sql.codegen.maxFields``."""
+    def some(first: int) -> DataFrame:
+        own = list(enumerate(features[first:first + side], first))
+        aggs = []
+        for i, c in own:
+            aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
+        rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("ord"),
+                                  F.col(f"m{i}").alias("mean"),
+                                  F.col(f"s{i}").alias("std"))
+                         for i, c in own])
+        return train.agg(*aggs).select(F.inline(rows))
+
+    return reduce(DataFrame.unionByName, [some(first) for first in range(0, len(features), side)])
 
 
 def standardise(df: DataFrame, features: list[str], train: DataFrame | None = None) -> DataFrame:
