@@ -1,9 +1,14 @@
 """Plan-shape guards for the registered queries (design rules, not values)."""
 
+import datetime
+
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
+from touchline.schema import MATCH_COLUMNS
 
 #: Queries that fit models; the corpus queries have tests of their own.
 MODEL_KEYS = {"feature_importance", "top_features", "importance_report", "cv_score", "search_trials", "best_model"}
@@ -68,3 +73,28 @@ def test_saved_states_need_few_exchanges(spark):
     want = training_features(history)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_scored_fixtures_do_not_move_with_their_features(spark):
+    """Team states are sent to the fixtures even where Spark by itself would shuffle both; same rows either way."""
+    from touchline.plans import features as fe
+    rows = [(i, datetime.date(2020, 9, 1) + datetime.timedelta(days=i // 3), f"T{i % 7}", f"T{(i * 3 + 1) % 7 + 7}", "HDA"[i % 3]) for i in range(60)]
+    m = spark.createDataFrame(rows, "match_id long, match_date date, home_team string, away_team string, ftr string")
+    zero = [F.lit(1).cast("long").alias(c) for c in MATCH_COLUMNS if c not in (*m.columns, "htr", "season_year")]
+    m = m.select("*", F.col("ftr").alias("htr"), F.lit(2020).alias("season_year"), *zero)
+    pairs = m.select("home_team", "away_team").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = fe.fixture_features(m, pairs)
+        a = sorted(got.collect())
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        fe.SENT_TEAMS, limit = 0, fe.SENT_TEAMS
+        try:
+            b = sorted(fe.fixture_features(m, pairs).collect())
+        finally:
+            fe.SENT_TEAMS = limit
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert a == b and len(a) == pairs.count()
+    assert plan.count("BroadcastHashJoin") == 3
